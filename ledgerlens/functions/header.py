@@ -57,12 +57,15 @@ def by_label(text: Column, field: str) -> Column:
         value.alias("value"), header_score(score(LABEL_BASE), value).alias("confidence")))
 
 
-def by_anchor(lines: Column, field: str, window: int = WINDOW) -> Column:
+def by_anchor(lines: Column, field: str, window: int = WINDOW, anchors: Sequence[str] | None = None,
+              first_line_only: bool = False) -> Column:
     """struct<value, confidence> behind an anchor in the line, else in the next lines; null when none.
 
-    Highest confidence wins, then the earlier line, then the earlier anchor.
+    Highest confidence wins, then the earlier line, then the earlier anchor. With ``first_line_only``
+    the anchor must be in the first line.
     """
-    anchors, shape = ANCHORS[field]
+    words, shape = ANCHORS[field]
+    anchors = anchors or words
 
     def value_in(text: Column) -> Column:
         v = F.trim(F.regexp_replace(F.regexp_extract(text, shape, 1), r"^\s+|\s+$", ""))
@@ -80,24 +83,8 @@ def by_anchor(lines: Column, field: str, window: int = WINDOW) -> Column:
         candidate = F.struct(conf.alias("confidence"), (-i).alias("line"), F.lit(-turn).alias("turn"), hit["value"].alias("value"))
         return F.when((pos > 0) & hit.isNotNull(), candidate)
 
-    per_line = F.transform(lines, lambda line, i: F.array_max(
+    searched = F.slice(lines, 1, 1) if first_line_only else lines
+    per_line = F.transform(searched, lambda line, i: F.array_max(
         F.array(*[at_anchor(line, i, turn, a) for turn, a in enumerate(anchors)])))
     best = F.array_max(per_line)
     return F.when(best.isNotNull(), F.struct(best["value"].alias("value"), best["confidence"].alias("confidence")))
-
-
-def results(fields: Sequence[str], text: Column, lines: Column) -> Column:
-    """Array of struct<field_name, stage_no, stage, value, confidence> of the label and anchor stages.
-
-    Anchors run only for fields that the labels left at or below 0.5 (``when`` skips the rest).
-    """
-    out = []
-    for f in fields:
-        label = by_label(text, f)
-        weak = F.coalesce(label["confidence"] <= 0.5, F.lit(True))
-        anchor = F.when(weak, by_anchor(lines, f))
-        for no, stage, hit in ((1, "template", label), (2, "regex", anchor)):
-            out.append(F.when(hit.isNotNull(), F.struct(
-                F.lit(f).alias("field_name"), F.lit(no).alias("stage_no"), F.lit(stage).alias("stage"),
-                hit["value"].alias("value"), hit["confidence"].alias("confidence"))))
-    return F.filter(F.array(*out), lambda r: r.isNotNull())

@@ -203,7 +203,7 @@ def sessions(corrections: DataFrame, fields: DataFrame, gap_minutes: int = 30) -
     p = bucketed_window(c, ["user_id"], order, day, previous={"prev_at": F.col("corrected_at")})
     gap = F.unix_micros(F.col("corrected_at").cast("timestamp")) - F.unix_micros(F.col("prev_at").cast("timestamp"))
     starts = F.when(F.col("prev_at").isNull() | (gap >= gap_minutes * 60 * 1000000), 1).otherwise(0)
-    return bucketed_window(p.drop("prev_at").withColumn("starts", starts), ["user_id"], order, day,
+    return bucketed_window(p.withColumn("starts", starts).drop("prev_at"), ["user_id"], order, day,
                            running={"session_no": F.col("starts")}).drop("starts")
 
 

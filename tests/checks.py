@@ -30,6 +30,9 @@ def duck(sf_dir: str):
     return con
 
 
+TIMES = [0.0, 0.0]
+
+
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted(columns), sorted((tuple(r[i] for i in order) for r in rows), key=repr)
@@ -37,10 +40,13 @@ def rows_of(columns, rows):
 
 def compare(df, con, sql: str) -> str | None:
     """None when equal, else the first difference."""
+    start = time.time()
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    mid = time.time()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want = rows_of(names, cur.fetchall())
+    TIMES[:] = [mid - start, time.time() - mid]
     if got[0] != want[0]:
         return f"columns {got[0]} != {want[0]}"
     if len(got[1]) != len(want[1]):
@@ -70,7 +76,7 @@ def main(argv: list[str]) -> None:
         except Exception as e:  # noqa: BLE001
             issue = f"{type(e).__name__}: {str(e)[:600]}"
         bad += issue is not None
-        print(f"{'ok  ' if issue is None else 'BAD '} {n} {time.time() - start:.1f}s {issue or ''}", flush=True)
+        print(f"{'ok  ' if issue is None else 'BAD '} {n} {time.time() - start:.1f}s (spark {TIMES[0]:.1f}, sql {TIMES[1]:.1f}) {issue or ''}", flush=True)
     print(f"{len(names) - bad} of {len(names)} ok")
 
 
