@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.confidence import header_score, proximity_score
-from ledgerlens.functions.normalize import amount_text, parse_amount, score
+from ledgerlens.functions.normalize import SCORE, amount_text, score
 
 AMOUNT_FIELDS = ["subtotal", "vat", "total_amount"]
 
@@ -44,47 +44,55 @@ def label_pattern(field: str) -> str:
     return r"(?im)(?<![\p{L}\p{N}])" + LABEL_PATTERNS[field]
 
 
-def by_label(text: Column, field: str) -> Column:
-    """struct<value, confidence> by label pattern; null when the label is not there."""
-    found = F.trim(F.regexp_extract(text, label_pattern(field), 1))
+def label_text(text: Column, field: str) -> Column:
+    """What stands behind the label; empty when the label is not there."""
+    return F.trim(F.regexp_extract(text, label_pattern(field), 1))
+
+
+def label_value(found: Column, amount: Column | None, field: str) -> Column:
+    """Normalized value of a label text; ``amount`` is its parsed form for money fields."""
     if field in AMOUNT_FIELDS:
-        value = F.coalesce(amount_text(parse_amount(found)), found)
-    elif field == "invoice_number":
-        value = F.upper(found)
-    else:
-        value = found
-    return F.when(found != "", F.struct(
-        value.alias("value"), header_score(score(LABEL_BASE), value).alias("confidence")))
+        return F.coalesce(amount_text(amount), found)
+    return F.upper(found) if field == "invoice_number" else found
+
 
+def label_result(value: Column) -> Column:
+    """struct<value, confidence>; null for an empty value."""
+    return F.when(value != "", F.struct(value.alias("value"), header_score(score(LABEL_BASE), value).alias("confidence")))
 
-def by_anchor(lines: Column, field: str, window: int = WINDOW, anchors: Sequence[str] | None = None,
-              first_line_only: bool = False) -> Column:
+
+def by_anchor(lines: Column, lower: Column, field: str, window: int = WINDOW, anchors: Sequence[str] | None = None) -> Column:
     """struct<value, confidence> behind an anchor in the line, else in the next lines; null when none.
 
-    Highest confidence wins, then the earlier line, then the earlier anchor. With ``first_line_only``
-    the anchor must be in the first line.
+    ``lower`` holds the lines in lower case. Highest confidence wins, then the earlier line, then the
+    earlier anchor. Each step maps the hits of the step before, so a pattern runs once per hit and line.
     """
     words, shape = ANCHORS[field]
-    anchors = anchors or words
+    words = anchors or words
 
     def value_in(text: Column) -> Column:
-        v = F.trim(F.regexp_replace(F.regexp_extract(text, shape, 1), r"^\s+|\s+$", ""))
-        return F.when(v != "", v)
-
-    def at_anchor(line: Column, i: Column, turn: int, anchor: str) -> Column:
-        pos = F.instr(F.lower(line), anchor)
-        rest = F.substr(line, pos + len(anchor))
-        options = [F.struct(value_in(rest).alias("value"), score(ANCHOR_BASE).alias("base"), F.lit(0).alias("distance"))]
-        for k in range(1, window + 1):
-            options.append(F.struct(
-                value_in(F.get(lines, i + k)).alias("value"), score(0.7 - 0.1 * k).alias("base"), F.lit(k).alias("distance")))
-        hit = F.coalesce(*[F.when(o["value"].isNotNull(), o) for o in options])
-        conf = header_score(hit["base"], hit["value"], proximity_score(hit["distance"]))
-        candidate = F.struct(conf.alias("confidence"), (-i).alias("line"), F.lit(-turn).alias("turn"), hit["value"].alias("value"))
-        return F.when((pos > 0) & hit.isNotNull(), candidate)
-
-    searched = F.slice(lines, 1, 1) if first_line_only else lines
-    per_line = F.transform(searched, lambda line, i: F.array_max(
-        F.array(*[at_anchor(line, i, turn, a) for turn, a in enumerate(anchors)])))
-    best = F.array_max(per_line)
-    return F.when(best.isNotNull(), F.struct(best["value"].alias("value"), best["confidence"].alias("confidence")))
+        return F.trim(F.coalesce(F.regexp_extract(text, shape, 1), F.lit("")), F.lit(" \t\r\n"))
+
+    def hit(i, turn, w, low):
+        rest = F.substr(F.get(lines, i), F.instr(low, w) + len(w))
+        return F.when(F.contains(low, F.lit(w)), F.struct(i.alias("line"), F.lit(turn).alias("turn"), rest.alias("rest")))
+
+    hits = F.flatten(F.transform(lower, lambda low, i: F.filter(
+        F.array(*[hit(i, turn, w, low) for turn, w in enumerate(words)]), lambda h: h.isNotNull())))
+    steps = F.transform(hits, lambda h: F.struct(
+        h["line"].alias("line"), h["turn"].alias("turn"), value_in(h["rest"]).alias("value"), F.lit(0).alias("distance")))
+
+    def look_ahead(k):
+        return lambda h: F.when(h["value"] != "", h).otherwise(F.struct(
+            h["line"].alias("line"), h["turn"].alias("turn"), value_in(F.get(lines, h["line"] + k)).alias("value"), F.lit(k).alias("distance")))
+
+    for k in range(1, window + 1):
+        steps = F.transform(steps, look_ahead(k))
+    found = F.filter(steps, lambda h: h["value"] != "")
+
+    def candidate(h):
+        base = F.when(h["distance"] == 0, score(ANCHOR_BASE)).otherwise((score(0.7) - h["distance"] * score(0.1)).cast(SCORE))
+        return F.struct(header_score(base, h["value"], proximity_score(h["distance"])).alias("confidence"),
+                        (-h["line"]).alias("line"), (-h["turn"]).alias("turn"), h["value"].alias("value"))
+
+    return F.array_max(F.transform(found, candidate))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import header
-from ledgerlens.functions.normalize import SCORE
+from ledgerlens.functions.normalize import SCORE, clean_amount, parse_clean_amount
 from ledgerlens.schemas import HEADER_FIELDS
 
 # Stage order and the confidence a stage's result must exceed.
@@ -26,15 +26,33 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("lines", F.split(F.col(text), "\n"))
 
 
+def _with_labels(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Adds ``l_<field>`` results of the label stage. Every step is a projection of its own: one regex per field."""
+    money = [f for f in fields if f in header.AMOUNT_FIELDS]
+    d = docs.withColumns({f"f_{f}": header.label_text(F.col("text"), f) for f in fields})
+    d = d.withColumns({f"c_{f}": clean_amount(f"f_{f}") for f in money}) if money else d
+    d = d.withColumns({f"m_{f}": parse_clean_amount(F.col(f"c_{f}")) for f in money}) if money else d
+    d = d.withColumns({f"v_{f}": header.label_value(F.col(f"f_{f}"), F.col(f"m_{f}") if f in money else None, f) for f in fields})
+    return d.select(*docs.columns, *[header.label_result(F.col(f"v_{f}")).alias(f"l_{f}") for f in fields])
+
+
+def _with_anchors(docs: DataFrame, fields: Sequence[str], above: float | None = None) -> DataFrame:
+    """Adds ``a_<field>`` results of the anchor stage; with ``above`` only where the label result is not above it."""
+    d = docs.withColumn("lower", F.transform("lines", F.lower))
+
+    def stage(f):
+        hit = header.by_anchor(F.col("lines"), F.col("lower"), f)
+        return hit if above is None else F.when(~F.coalesce(F.col(f"l_{f}.confidence") > above, F.lit(False)), hit)
+
+    return d.withColumns({f"a_{f}": stage(f) for f in fields}).drop("lower")
+
+
 def header_results(docs: DataFrame, fields: Sequence[str] = HEADER_FIELDS) -> DataFrame:
     """All stage results, long form: doc_id, field_name, stage_no, stage, value, confidence.
 
-    Labels are projected once; anchors run only where the label result is weak.
+    Anchors run only where the label result is weak.
     """
-    d = docs.select("doc_id", "text", "lines").withColumns({f"l_{f}": header.by_label(F.col("text"), f) for f in fields})
-    d = d.withColumns({
-        f"a_{f}": F.when(F.coalesce(F.col(f"l_{f}.confidence") <= 0.5, F.lit(True)), header.by_anchor(F.col("lines"), f))
-        for f in fields})
+    d = _with_anchors(_with_labels(docs.select("doc_id", "text", "lines"), fields), fields, STAGES[1][1])
     rows = F.array(*[
         F.struct(F.lit(f).alias("field_name"), F.lit(no).alias("stage_no"), F.lit(STAGES[no][0]).alias("stage"),
                  F.col(f"{p}_{f}.value").alias("value"), F.col(f"{p}_{f}.confidence").alias("confidence"))
@@ -44,33 +62,32 @@ def header_results(docs: DataFrame, fields: Sequence[str] = HEADER_FIELDS) -> Da
 
 def chosen_headers(docs: DataFrame, fields: Sequence[str] = HEADER_FIELDS, keep: Sequence[str] = ()) -> DataFrame:
     """First stage result that passes its threshold, chosen inside the document's row: no shuffle."""
-    d = docs.select("doc_id", *keep, "text", "lines").withColumns({f"l_{f}": header.by_label(F.col("text"), f) for f in fields})
-    sure = {f: F.coalesce(F.col(f"l_{f}.confidence") > STAGES[1][1], F.lit(False)) for f in fields}
-    d = d.withColumns({f"a_{f}": F.when(~sure[f], header.by_anchor(F.col("lines"), f)) for f in fields})
+    d = _with_anchors(_with_labels(docs.select("doc_id", *keep, "text", "lines"), fields), fields, STAGES[1][1])
 
     def pick(f):
         def as_result(no, p):
             return F.struct(F.lit(f).alias("field_name"), F.lit(no).alias("stage_no"), F.col(f"{p}_{f}.value").alias("value"),
                             F.col(f"{p}_{f}.confidence").alias("confidence"))
-        return F.when(sure[f], as_result(1, "l")).when(F.col(f"a_{f}.confidence") > STAGES[2][1], as_result(2, "a"))
+        return F.when(F.col(f"l_{f}.confidence") > STAGES[1][1], as_result(1, "l")).when(
+            F.col(f"a_{f}.confidence") > STAGES[2][1], as_result(2, "a"))
 
     return d.select("doc_id", *keep, F.inline(F.filter(F.array(*[pick(f) for f in fields]), lambda r: r.isNotNull())))
 
 
+def _single_stage(d: DataFrame, prefix: str, fields: Sequence[str]) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"{prefix}_{f}.value").alias("value"),
+                              F.col(f"{prefix}_{f}.confidence").alias("confidence")) for f in fields])
+    return d.select("doc_id", F.inline(F.filter(rows, lambda r: r["value"].isNotNull())))
+
+
 def anchor_results(docs: DataFrame, fields: Sequence[str] = HEADER_FIELDS) -> DataFrame:
     """Anchor stage alone for every field."""
-    d = docs.select("doc_id", "lines").withColumns({f"a_{f}": header.by_anchor(F.col("lines"), f) for f in fields})
-    rows = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"a_{f}.value").alias("value"),
-                              F.col(f"a_{f}.confidence").alias("confidence")) for f in fields])
-    return d.select("doc_id", F.inline(F.filter(rows, lambda r: r["value"].isNotNull())))
+    return _single_stage(_with_anchors(docs.select("doc_id", "lines"), fields), "a", fields)
 
 
 def label_results(docs: DataFrame, fields: Sequence[str] = HEADER_FIELDS) -> DataFrame:
     """Template stage alone for every field."""
-    d = docs.select("doc_id", "text").withColumns({f"l_{f}": header.by_label(F.col("text"), f) for f in fields})
-    rows = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"l_{f}.value").alias("value"),
-                              F.col(f"l_{f}.confidence").alias("confidence")) for f in fields])
-    return d.select("doc_id", F.inline(F.filter(rows, lambda r: r["value"].isNotNull())))
+    return _single_stage(_with_labels(docs.select("doc_id", "text"), fields), "l", fields)
 
 
 def best_candidates(candidates: DataFrame) -> DataFrame:

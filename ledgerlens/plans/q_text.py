@@ -264,20 +264,16 @@ def final_stage_distribution(t):
 select doc_id, field_name, value, confidence, line_no from (select *, row_number() over (partition by doc_id, field_name order by confidence desc, line_no) as rn from anchor_all
   where turn = 0) where rn = 1""")
 def best_candidates(t):
-    """Candidates of the first anchor of each field as a long table, best one per (document, field)."""
+    """Candidates of the first anchor of each field, line by line, as a long table; the best per (document, field)."""
     from ledgerlens.functions.header import by_anchor
 
-    lines = t.doc_lines
-    first = F.array(*[F.struct(F.lit(f).alias("field_name"), F.lit(a[0]).alias("anchor")) for f, (a, _) in ANCHORS.items()])
-    d = E.document_text(lines).select("doc_id", "lines", F.posexplode("lines").alias("line_no", "line"))
-    cand = d.select("doc_id", "line_no", "line", "lines", F.inline(first)).where(F.contains(F.lower("line"), F.col("anchor")))
+    d = E.document_text(t.doc_lines).select("doc_id", "lines", F.posexplode(F.transform("lines", F.lower)).alias("line_no", "low"))
     tail = F.slice("lines", F.col("line_no") + 1, 4)
-    value = None
-    for f, (words, _) in ANCHORS.items():
-        hit = by_anchor(tail, f, first_line_only=True, anchors=words[:1])
-        value = F.when(F.col("field_name") == f, hit) if value is None else value.when(F.col("field_name") == f, hit)
-    cand = cand.withColumn("h", value).where(F.col("h").isNotNull()).select(
-        "doc_id", "field_name", "line_no", F.lit(0).alias("anchor_no"), "h.value", "h.confidence")
+    hits = d.select("doc_id", "line_no", *[
+        F.when(F.contains("low", F.lit(a[0])), by_anchor(tail, F.array("low"), f, anchors=a[:1])).alias(f) for f, (a, _) in ANCHORS.items()])
+    rows = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"{f}.value").alias("value"), F.col(f"{f}.confidence").alias("confidence"))
+                     for f in ANCHORS])
+    cand = hits.select("doc_id", "line_no", F.lit(0).alias("anchor_no"), F.inline(F.filter(rows, lambda r: r["value"].isNotNull())))
     return E.best_candidates(cand)
 
 
@@ -304,7 +300,7 @@ BATCH = RESULTS + ", " + pattern_sql("select id, text from dt", ", ".join(
     f"({i}, {lit(n)}, {lit(w)})" for i, (n, ws) in enumerate(K.PATTERNS.items()) for w in ws)) + r""",
 f as (select c.*, case when field_name in ('subtotal', 'vat', 'total_amount') then 'currency' when field_name = 'invoice_date' then 'date' else 'text' end as kind,
   regexp_extract(value, '(\d{1,2})/(\d{1,2})/(\d{4})', ['d', 'm', 'y']) as p from chosen c),
-d as (select *, case when kind = 'date' then try_cast(concat_ws('-', case when cast(p.y as int) >= 2400 then cast(p.y as int) - 543 else cast(p.y as int) end, p.m, p.d) as date) end as day,
+d as (select *, case when kind = 'date' then try_cast(concat_ws('-', case when try_cast(p.y as int) >= 2400 then try_cast(p.y as int) - 543 else try_cast(p.y as int) end, p.m, p.d) as date) end as day,
   case when kind = 'currency' then try_cast(value as decimal(20,4)) end as amount from f),
 k as (select *, case kind when 'date' then day is not null and day <= date '2024-06-30' when 'currency' then amount is not null else true end as ok,
   case kind when 'date' then case when day is null then 0.4 when day > date '2024-06-30' then 0.2 else 0.05 end
