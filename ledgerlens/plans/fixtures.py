@@ -155,6 +155,49 @@ class Tables:
         rows = F.array(*[F.struct(F.lit(i).alias("line_no"), t.alias("text")) for i, t in enumerate(texts)])
         return self.invoice_docs.select("doc_id", F.inline(rows))
 
+    @cached_property
+    def raw_values(self) -> DataFrame:
+        """Dates, amounts, ids and integers per order, in the forms that documents show."""
+        k, d = F.col("o_orderkey"), F.col("o_orderdate")
+        dd, mm = F.lpad(F.dayofmonth(d).cast("string"), 2, "0"), F.lpad(F.month(d).cast("string"), 2, "0")
+        yy, be = F.year(d).cast("string"), (F.year(d) + 543).cast("string")
+        thai = F.translate(F.concat(dd, F.lit("/"), mm, F.lit("/"), be), "0123456789", "๐๑๒๓๔๕๖๗๘๙")
+        date = (
+            F.when(k % 7 == 0, F.concat(dd, F.lit("/"), mm, F.lit("/"), be)).when(k % 7 == 1, F.concat(yy, F.lit("-"), mm, F.lit("-"), dd))
+            .when(k % 7 == 2, F.concat(dd, F.lit("/"), mm, F.lit("/"), F.substring(yy, 3, 2))).when(k % 7 == 3, F.concat(dd, F.lit("-"), mm, F.lit("-"), yy))
+            .when(k % 7 == 4, F.concat(F.lit("31/02/"), yy)).when(k % 7 == 5, thai)
+            .otherwise(F.concat(dd, F.lit(" กุมภาพันธ์ "), be)))
+        price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+        us = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
+        amount = (
+            F.when(k % 6 == 0, price).when(k % 6 == 1, F.concat(F.lit("$"), us)).when(k % 6 == 2, F.translate(us, ",.", ".,"))
+            .when(k % 6 == 3, F.concat(k.cast("string"), F.lit(",5"))).when(k % 6 == 4, F.lit("about ten")).otherwise(F.lit("")))
+        base = F.lpad((k * 7919 + 13).cast("string"), 13, "1")
+        tax = F.when(k % 4 == 1, F.concat(F.substring(base, 1, 1), F.lit("-"), F.substr(base, F.lit(2)))).when(
+            k % 4 == 2, F.substring(base, 1, 5)).otherwise(base)
+        whole = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.concat(F.lit("No. 00"), k.cast("string"))).otherwise(F.lit("none"))
+        pairs = F.array(*[F.struct(F.lit(n).alias("kind"), v.alias("field_value")) for n, v in (
+            ("date", date), ("currency", amount), ("tax_id", tax), ("integer", whole))])
+        return self.orders.select(k.alias("value_id"), F.inline(pairs))
+
+    @cached_property
+    def item_fields(self) -> DataFrame:
+        """Line items as named fields item_<n>_<column>; numbers have gaps."""
+        lines = self.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+            F.min(F.struct("l_partkey", "l_quantity", "l_extendedprice")).alias("m"))
+        o, n = F.col("l_orderkey"), F.col("l_linenumber")
+
+        def item(i, name, value, conf):
+            return F.struct((o * 1000 + n * 10 + i).alias("field_id"), F.concat(F.lit("item_"), n.cast("string"), F.lit("_" + name)).alias("field_name"),
+                            value.cast("string").alias("field_value"), conf.cast("decimal(5,4)").alias("confidence"))
+
+        pct = (o * 7 + n) % 101 * F.expr("0.01")
+        rows = F.array(
+            item(1, "description", F.concat(F.lit("Part "), F.col("m.l_partkey").cast("string")), F.lit(0.9)),
+            item(2, "quantity", F.col("m.l_quantity").cast("decimal(18,2)"), pct),
+            item(3, "amount", F.col("m.l_extendedprice").cast("decimal(18,2)"), F.when(n % 2 == 0, pct)))
+        return lines.select(o.alias("doc_id"), F.inline(rows))
+
     @cached_property
     def job_events(self) -> DataFrame:
         return job_events_of(self.events)
@@ -252,6 +295,20 @@ union all select doc_id, 3, concat('Vendor: ', vendor_name) from invoice_docs
 union all select doc_id, 4, concat('Subtotal: ', cast(subtotal as varchar)) from invoice_docs
 union all select doc_id, 5, concat('VAT: ', cast(vat as varchar)) from invoice_docs
 union all select doc_id, 6, concat('Total: ', cast(total_amount as varchar)) from invoice_docs""",
+    "raw_values": """
+with o as (select o_orderkey as k, lpad(cast(day(o_orderdate) as varchar), 2, '0') as dd, lpad(cast(month(o_orderdate) as varchar), 2, '0') as mm,
+  cast(year(o_orderdate) as varchar) as yy, cast(year(o_orderdate) + 543 as varchar) as be, cast(o_totalprice as decimal(18,2)) as price,
+  format('{:,.2f}', o_totalprice) as us, lpad(cast(o_orderkey * 7919 + 13 as varchar), 13, '1') as base from orders)
+select k as value_id, 'date' as kind, case k % 7 when 0 then concat(dd, '/', mm, '/', be) when 1 then concat(yy, '-', mm, '-', dd) when 2 then concat(dd, '/', mm, '/', substr(yy, 3, 2))
+  when 3 then concat(dd, '-', mm, '-', yy) when 4 then concat('31/02/', yy) when 5 then translate(concat(dd, '/', mm, '/', be), '0123456789', '๐๑๒๓๔๕๖๗๘๙') else concat(dd, ' กุมภาพันธ์ ', be) end as field_value from o
+union all select k, 'currency', case k % 6 when 0 then cast(price as varchar) when 1 then concat('$', us) when 2 then translate(us, ',.', '.,') when 3 then concat(cast(k as varchar), ',5') when 4 then 'about ten' else '' end from o
+union all select k, 'tax_id', case k % 4 when 1 then concat(substr(base, 1, 1), '-', substr(base, 2)) when 2 then substr(base, 1, 5) else base end from o
+union all select k, 'integer', case k % 3 when 0 then cast(k as varchar) when 1 then concat('No. 00', cast(k as varchar)) else 'none' end from o""",
+    "item_fields": """
+with li as (select l_orderkey as o, l_linenumber as n, l_partkey, l_quantity, l_extendedprice from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_quantity, l_extendedprice) as rn from lineitem) where rn = 1)
+select o as doc_id, o * 1000 + n * 10 + 1 as field_id, concat('item_', cast(n as varchar), '_description') as field_name, concat('Part ', cast(l_partkey as varchar)) as field_value, cast(0.9 as decimal(5,4)) as confidence from li
+union all select o, o * 1000 + n * 10 + 2, concat('item_', cast(n as varchar), '_quantity'), cast(cast(l_quantity as decimal(18,2)) as varchar), cast((o * 7 + n) % 101 * 0.01 as decimal(5,4)) from li
+union all select o, o * 1000 + n * 10 + 3, concat('item_', cast(n as varchar), '_amount'), cast(cast(l_extendedprice as decimal(18,2)) as varchar), case when n % 2 = 0 then cast((o * 7 + n) % 101 * 0.01 as decimal(5,4)) end from li""",
     "job_events": """
 select event_id, event_id // 8 as job_id, (event_id // 8) + 1 as document_id, case when (event_id // 8) % 3 = 0 then 'external' else 'easyocr' end as provider,
   case event_type when 'signup' then 'pending' when 'click' then 'triggered' when 'view' then 'running' when 'purchase' then 'completed' else 'error' end as status, ts as event_time
