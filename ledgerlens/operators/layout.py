@@ -6,7 +6,7 @@ starts, header cells), so cells meet them by a join that adaptive execution can
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -92,30 +92,28 @@ def row_islands(boxes: DataFrame, gap: float = ROW_GAP) -> DataFrame:
 def row_groups_exact(boxes: DataFrame, threshold: float = ROW_GAP) -> DataFrame:
     """Order-exact row grouping: a box joins the first row whose running mean height is within ``threshold``.
 
-    The result depends on the box order, so a page is one group here; ``row_islands`` is the form
-    for pages of any size.
+    Pages stream through their task in box order; only the sums of the current page's rows are held.
     """
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("box_id")
-        sums: list[float] = []
-        counts: list[int] = []
-        out = []
-        for y in ((pdf.y_min + pdf.y_max) / 2).tolist():
-            for i, (s, n) in enumerate(zip(sums, counts)):
-                if abs(y - s / n) < threshold:
-                    sums[i] += y
-                    counts[i] += 1
-                    out.append(i)
-                    break
-            else:
-                sums.append(y)
-                counts.append(1)
-                out.append(len(sums) - 1)
-        return pdf[["page_id", "box_id"]].assign(row_idx=out)
-
-    cols = ["page_id", "box_id", "y_min", "y_max"]
-    return boxes.select(*cols).groupBy("page_id").applyInPandas(assign, "page_id long, box_id long, row_idx int")
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, sums, counts = None, [], []
+        for pdf in frames:
+            out = []
+            for p, y in zip(pdf.page_id.tolist(), ((pdf.y_min + pdf.y_max) / 2).tolist()):
+                if p != page:
+                    page, sums, counts = p, [], []
+                row = next((i for i, (s, n) in enumerate(zip(sums, counts)) if abs(y - s / n) < threshold), None)
+                if row is None:
+                    row = len(sums)
+                    sums.append(0.0)
+                    counts.append(0)
+                sums[row] += y
+                counts[row] += 1
+                out.append(row)
+            yield pdf[["page_id", "box_id"]].assign(row_idx=out)
+
+    ordered = boxes.select("page_id", "box_id", "y_min", "y_max").repartition("page_id").sortWithinPartitions("page_id", "box_id")
+    return ordered.mapInPandas(assign, "page_id long, box_id long, row_idx int")
 
 
 def _page_rows(boxes: DataFrame, gap: float) -> DataFrame:
@@ -286,11 +284,11 @@ def neighbour_counts(boxes: DataFrame, distance: float = NEAR) -> DataFrame:
         "page_id", F.col("id").alias("box_id"), "neighbours")
 
 
-def cluster_boxes(boxes: DataFrame, distance: float = NEAR, page_limit: int = 5000) -> DataFrame:
+def cluster_boxes(boxes: DataFrame, distance: float = NEAR, page_limit: int = 1000) -> DataFrame:
     """Ordered clustering: a box joins the earliest cluster that holds an earlier near box, else starts one.
 
-    Pages up to ``page_limit`` boxes run as groups; larger ones go through the distributed form with
-    the same result, so no page has to fit into one task.
+    Pages up to ``page_limit`` boxes are folded as one array each; larger ones go through the distributed
+    form with the same result, so no page has to fit into one task.
     """
     sizes = boxes.groupBy("page_id").agg(F.count("*").alias("n"))
     big = sizes.where(F.col("n") > page_limit).select("page_id")
@@ -302,23 +300,20 @@ def cluster_boxes(boxes: DataFrame, distance: float = NEAR, page_limit: int = 50
 
 
 def _cluster_small(boxes: DataFrame, distance: float) -> DataFrame:
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values("box_id", kind="stable")
-        x0, x1, y0, y1 = (pdf[c].to_numpy() for c in ("x_min", "x_max", "y_min", "y_max"))
-        xc, yc = (x0 + x1) / 2, (y0 + y1) / 2
-        label = np.arange(len(pdf))
-        for j in range(1, len(pdf)):
-            gx = np.minimum(np.minimum(abs(x0[j] - x1[:j]), abs(x0[:j] - x1[j])), abs(xc[j] - xc[:j]))
-            gy = np.minimum(np.minimum(abs(y0[j] - y1[:j]), abs(y0[:j] - y1[j])), abs(yc[j] - yc[:j]))
-            near = (gx < distance) & (gy < distance)
-            if near.any():
-                label[j] = label[:j][near].min()
-        return pdf[["page_id", "box_id"]].assign(cluster_id=pdf["box_id"].to_numpy()[label])
-
-    cols = ["page_id", "box_id", "x_min", "x_max", "y_min", "y_max"]
-    return boxes.select(*cols).groupBy("page_id").applyInPandas(assign, "page_id long, box_id long, cluster_id long")
+    names = ["box_id", "x_min", "y_min", "x_max", "y_max"]
+    pages = boxes.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("b"))
+    start = F.array().cast("array<struct<" + ",".join(f"{n}:{'bigint' if n == 'box_id' else 'double'}" for n in names) + ",label:bigint>>")
+
+    def near(a, b):
+        return (axis_gap(a["x_min"], a["x_max"], b["x_min"], b["x_max"]) < distance) & (
+            axis_gap(a["y_min"], a["y_max"], b["y_min"], b["y_max"]) < distance)
+
+    def place(done, b):
+        first = F.array_min(F.transform(F.filter(done, lambda a: near(a, b)), lambda a: a["label"]))
+        return F.array_append(done, F.struct(*[b[n].alias(n) for n in names], F.coalesce(first, b["box_id"]).alias("label")))
+
+    return pages.select("page_id", F.inline(F.transform(
+        F.aggregate("b", start, place), lambda x: F.struct(x["box_id"].alias("box_id"), x["label"].alias("cluster_id")))))
 
 
 def _cluster_large(boxes: DataFrame, distance: float) -> DataFrame:

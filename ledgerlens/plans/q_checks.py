@@ -69,7 +69,7 @@ def integer_values(t):
 select kind, count(*) as n, count(*) filter (where ok) as valid from (
   select 'tax_id' as kind, length(d) = 13 as ok from taxes
   union all select 'currency', try_cast(trim(replace(replace(field_value, ',', ''), '$', '')) as decimal(20,4)) is not null from raw_values where kind = 'currency'
-  union all select 'date', coalesce(try_cast(field_value as date), try_cast(concat_ws('-', p.c, p.a, p.b) as date), try_cast(concat_ws('-', p.c, p.b, p.a) as date)) is not null
+  union all select 'date', coalesce(case when regexp_matches(field_value, '^[0-9]{{4}}-') then try_cast(field_value as date) end, try_cast(concat_ws('-', p.c, p.a, p.b) as date), try_cast(concat_ws('-', p.c, p.b, p.a) as date)) is not null
     from (select field_value, regexp_extract(field_value, '^([0-9]+)/([0-9]+)/([0-9]{{4}})$', ['a', 'b', 'c']) as p from raw_values where kind = 'date')) group by kind""")
 def plain_validators(t):
     v, k = F.col("field_value"), F.col("kind")
