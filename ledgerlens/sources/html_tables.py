@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS = r"(?s)<tr[^>]*>(.*?)</tr>"
 CELLS = r"(?s)<t[dh]([^>]*)>.*?</t[dh]>"
 CELL_TEXT = r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"
 
 
-@F.pandas_udf("array<array<int>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
 def free_columns(spans: pd.Series) -> pd.Series:
     """Column of each cell: the next one that no earlier row span occupies. Input per row: [rowspan, colspan] pairs."""
 
@@ -51,5 +52,5 @@ def html_cells(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     zipped = F.transform(F.arrays_zip("spans", "texts", "cols"), lambda r: F.arrays_zip(
         r["spans"].alias("span"), r["texts"].alias("text"), r["cols"].alias("col")))
     return p.select(key, F.posexplode(zipped).alias("row_idx", "cells")).select(key, "row_idx", F.explode("cells").alias("c")).select(
-        key, "row_idx", F.col("c")["2"].alias("col_idx"), F.col("c")["0"][0].alias("row_span"), F.col("c")["0"][1].alias("col_span"),
-        F.col("c")["1"].alias("text"))
+        key, "row_idx", F.col("c.col").alias("col_idx"), F.col("c.span")[0].alias("row_span"), F.col("c.span")[1].alias("col_span"),
+        F.col("c.text").alias("text"))
