@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.confidence import header_score, proximity_score
-from ledgerlens.functions.normalize import SCORE, amount_text, score
+from ledgerlens.functions.confidence import header_score
+from ledgerlens.functions.normalize import amount_text, score
 
 AMOUNT_FIELDS = ["subtotal", "vat", "total_amount"]
 
@@ -65,7 +66,7 @@ def by_anchor(lines: Column, lower: Column, field: str, window: int = WINDOW, an
     """struct<value, confidence> behind an anchor in the line, else in the next lines; null when none.
 
     ``lower`` holds the lines in lower case. Highest confidence wins, then the earlier line, then the
-    earlier anchor. Each step maps the hits of the step before, so a pattern runs once per hit and line.
+    earlier anchor. The pattern runs only on lines that hold an anchor and on the lines after them.
     """
     words, shape = ANCHORS[field]
     words = anchors or words
@@ -75,24 +76,24 @@ def by_anchor(lines: Column, lower: Column, field: str, window: int = WINDOW, an
 
     def hit(i, turn, w, low):
         rest = F.substr(F.get(lines, i), F.instr(low, w) + len(w))
-        return F.when(F.contains(low, F.lit(w)), F.struct(i.alias("line"), F.lit(turn).alias("turn"), rest.alias("rest")))
+        near = F.array(rest, *[F.get(lines, i + k) for k in range(1, window + 1)])
+        return F.when(F.contains(low, F.lit(w)), F.struct(
+            (-i).alias("line"), F.lit(-turn).alias("turn"), F.filter(F.transform(near, lambda t, d: F.struct(
+                value_in(t).alias("value"), d.alias("distance"))), lambda v: v["value"] != "")[0].alias("v")))
 
     hits = F.flatten(F.transform(lower, lambda low, i: F.filter(
-        F.array(*[hit(i, turn, w, low) for turn, w in enumerate(words)]), lambda h: h.isNotNull())))
-    steps = F.transform(hits, lambda h: F.struct(
-        h["line"].alias("line"), h["turn"].alias("turn"), value_in(h["rest"]).alias("value"), F.lit(0).alias("distance")))
+        F.array(*[hit(i, turn, w, low) for turn, w in enumerate(words)]), lambda h: h.isNotNull() & h["v"].isNotNull())))
 
-    def look_ahead(k):
-        return lambda h: F.when(h["value"] != "", h).otherwise(F.struct(
-            h["line"].alias("line"), h["turn"].alias("turn"), value_in(F.get(lines, h["line"] + k)).alias("value"), F.lit(k).alias("distance")))
+    def candidate(h):
+        conf = F.element_at(F.when(F.length(h["v"]["value"]) < 2, scores(0.5)).otherwise(scores(1.0)), h["v"]["distance"] + 1)
+        return F.struct(conf.alias("confidence"), h["line"].alias("line"), h["turn"].alias("turn"), h["v"]["value"].alias("value"))
 
-    for k in range(1, window + 1):
-        steps = F.transform(steps, look_ahead(k))
-    found = F.filter(steps, lambda h: h["value"] != "")
+    def scores(factor):
+        return F.array(*[F.lit(Decimal(str(round(x * factor, 4)))) for x in anchor_scores(window)]).cast("array<decimal(5,4)>")
+
+    return F.array_max(F.transform(hits, candidate))
 
-    def candidate(h):
-        base = F.when(h["distance"] == 0, score(ANCHOR_BASE)).otherwise((score(0.7) - h["distance"] * score(0.1)).cast(SCORE))
-        return F.struct(header_score(base, h["value"], proximity_score(h["distance"])).alias("confidence"),
-                        (-h["line"]).alias("line"), (-h["turn"]).alias("turn"), h["value"].alias("value"))
 
-    return F.array_max(F.transform(found, candidate))
+def anchor_scores(window: int) -> list[float]:
+    """Confidence of an anchored value by its distance in lines: base of the distance times its proximity."""
+    return [ANCHOR_BASE] + [(0.7 - 0.1 * k) * max(0.1, 1.0 - 0.15 * k) for k in range(1, window + 1)]

@@ -116,46 +116,60 @@ def row_groups_exact(boxes: DataFrame, threshold: float = ROW_GAP) -> DataFrame:
     return ordered.mapInPandas(assign, "page_id long, box_id long, row_idx int")
 
 
-def _page_rows(boxes: DataFrame, gap: float) -> DataFrame:
-    """Per page: region and the sorted heights at which rows start."""
-    yc = center(F.col("y_min"), F.col("y_max"))
-    page = boxes.groupBy("page_id").agg(
-        F.count("*").alias("cells"), F.min("x_min").alias("rx_min"), F.min("y_min").alias("ry_min"),
-        F.max("x_max").alias("rx_max"), F.max("y_max").alias("ry_max"), F.sort_array(F.collect_set(yc)).alias("ys"))
-    starts = F.filter("ys", lambda y, i: (i == 0) | (y - F.get("ys", i - 1) >= gap))
-    return page.withColumn("row_starts", starts).drop("ys")
+def page_summary(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = 4, candidates: int = 3) -> DataFrame:
+    """One row per table page: region, row starts, header row and its confidence.
+
+    Boxes shrink to one row per (page, height) before they meet per page. The header is the best scored
+    of the first rows; a single row is row 0 at confidence 0.5.
+    """
+    t = F.lower("text")
+    heights = boxes.groupBy("page_id", center(F.col("y_min"), F.col("y_max")).alias("yc")).agg(
+        F.count("*").alias("n"), F.count_if(contains_any(t, HEADER_WORDS)).alias("marked"), F.sum(F.length("text")).alias("chars"),
+        F.min("x_min").alias("x0"), F.min("y_min").alias("y0"), F.max("x_max").alias("x1"), F.max("y_max").alias("y1"))
+    page = heights.groupBy("page_id").agg(
+        F.sum("n").alias("cells"), F.min("x0").alias("rx_min"), F.min("y0").alias("ry_min"), F.max("x1").alias("rx_max"),
+        F.max("y1").alias("ry_max"), F.sort_array(F.collect_list(F.struct("yc", "n", "marked", "chars"))).alias("h")).where(
+        F.col("cells") >= min_cells)
+    starts = F.transform(F.filter("h", lambda h, i: (i == 0) | (h["yc"] - F.get("h", i - 1)["yc"] >= gap)), lambda h: h["yc"])
+    page = page.withColumn("row_starts", starts).withColumn("num_rows", F.size("row_starts"))
+
+    def total(name, r):
+        low, high = F.get("row_starts", F.lit(r)), F.get("row_starts", F.lit(r + 1))
+        mine = F.filter("h", lambda h: (h["yc"] >= low) & (high.isNull() | (h["yc"] < high)))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, h: acc + h[name])
+
+    page = page.withColumns({f"{c}_{r}": total(c, r) for r in range(candidates) for c in ("n", "marked", "chars")})
+
+    def scored(r):
+        n = F.col(f"n_{r}")
+        position = F.lit(1.0) - F.lit(r) / (F.col("num_rows") + 1)
+        length = F.when((F.col(f"chars_{r}") / n).between(5, 30), 1.0).otherwise(0.6)
+        points = F.col(f"marked_{r}") / n * 0.5 + position * 0.3 + length * 0.2
+        return F.when(F.col("num_rows") > r, F.struct(points.alias("score"), F.lit(-r).alias("turn")))
+
+    page = page.withColumn("best", F.array_max(F.array(*[scored(r) for r in range(candidates)])))
+    single = F.col("num_rows") < 2
+    return page.select(
+        "page_id", "rx_min", "ry_min", "rx_max", "ry_max", "row_starts", "num_rows",
+        F.when(single, 0).otherwise(-F.col("best.turn")).alias("header_row"),
+        F.when(single, 0.5).otherwise(F.least(F.lit(1.0), F.col("best.score") * 1.2)).alias("header_confidence"))
 
 
 def with_rows(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = 4) -> DataFrame:
-    """Boxes of table pages with ``row_idx``, ``num_rows`` and the page's region."""
-    page = _page_rows(boxes, gap).where(F.col("cells") >= min_cells)
+    """Boxes of table pages with ``row_idx`` and the page's summary."""
+    page = page_summary(boxes, gap, min_cells)
     b = boxes.withColumns({"xc": center(F.col("x_min"), F.col("x_max")), "yc": center(F.col("y_min"), F.col("y_max"))})
-    j = b.join(page, "page_id")
     row = F.size(F.filter("row_starts", lambda s: s <= F.col("yc"))) - 1
-    return j.withColumns({"row_idx": row, "num_rows": F.size("row_starts")}).drop("row_starts")
+    return b.join(page, "page_id").withColumn("row_idx", row).drop("row_starts")
 
 
-def header_rows(rowed: DataFrame, candidates: int = 3) -> DataFrame:
-    """Header row per page: best score among the first rows; 0 at confidence 0.5 for a single row."""
-    t = F.lower("text")
-    n = F.count("*")
-    per_row = rowed.where(F.col("row_idx") < candidates).groupBy("page_id", "row_idx").agg(
-        n.alias("n"), F.count_if(contains_any(t, HEADER_WORDS)).alias("marked"), F.sum(F.length("text")).alias("chars"),
-        F.max("num_rows").alias("num_rows"))
-    position = F.lit(1.0) - F.col("row_idx") / (F.col("num_rows") + 1)
-    length = F.when((F.col("chars") / F.col("n")).between(5, 30), 1.0).otherwise(0.6)
-    total = F.col("marked") / F.col("n") * 0.5 + position * 0.3 + length * 0.2
-    best = per_row.withColumn("score", total).groupBy("page_id").agg(
-        F.max_by(F.struct("row_idx", "score"), F.struct("score", -F.col("row_idx"))).alias("b"), F.max("num_rows").alias("num_rows"))
-    single = F.col("num_rows") < 2
-    return best.select(
-        "page_id", F.when(single, 0).otherwise(F.col("b.row_idx")).alias("header_row"),
-        F.when(single, 0.5).otherwise(F.least(F.lit(1.0), F.col("b.score") * 1.2)).alias("header_confidence"))
+def header_rows(boxes: DataFrame) -> DataFrame:
+    return page_summary(boxes).select("page_id", "header_row", "header_confidence")
 
 
-def header_columns(rowed: DataFrame, headers: DataFrame) -> DataFrame:
+def header_columns(rowed: DataFrame) -> DataFrame:
     """Columns of the header row in order: x range from this header to the next, the last to the region's edge."""
-    h = rowed.join(headers, "page_id").where(F.col("row_idx") == F.col("header_row"))
+    h = rowed.where(F.col("row_idx") == F.col("header_row"))
     w = Window.partitionBy("page_id").orderBy("xc", "box_id")
     name = standard_column(F.col("text"))
     return h.select(
@@ -183,10 +197,7 @@ def assign_columns(cells_df: DataFrame, columns: DataFrame) -> DataFrame:
 def table_cells(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = 4) -> DataFrame:
     """Data cells of each page's table: the longest text per (row, column), the header row left out."""
     rowed = with_rows(boxes, gap, min_cells)
-    headers = header_rows(rowed)
-    columns = header_columns(rowed, headers)
-    data = rowed.join(headers, "page_id").where(F.col("row_idx") != F.col("header_row"))
-    placed = assign_columns(data, columns)
+    placed = assign_columns(rowed.where(F.col("row_idx") != F.col("header_row")), header_columns(rowed))
     cell = placed.groupBy("page_id", "row_idx", "col_idx").agg(
         F.max_by(F.struct("text", "standard_name"), F.struct(F.length("text"), -F.col("box_id"))).alias("c"),
         F.min("x_min").alias("x_min"), F.min("y_min").alias("y_min"), F.max("x_max").alias("x_max"), F.max("y_max").alias("y_max"))

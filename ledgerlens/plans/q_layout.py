@@ -71,13 +71,12 @@ def table_row_boxes(t):
 
 @query("X17", views="ocr_boxes", sql="with " + HEADER + " select page_id, header_row, header_confidence from hd")
 def header_row_detection(t):
-    return L.header_rows(L.with_rows(t.ocr_boxes))
+    return L.header_rows(t.ocr_boxes)
 
 
 @query("W6 X18", views="ocr_boxes", sql="with " + COLUMNS + " select * from cl")
 def header_columns(t):
-    r = L.with_rows(t.ocr_boxes)
-    return L.header_columns(r, L.header_rows(r))
+    return L.header_columns(L.with_rows(t.ocr_boxes))
 
 
 @query("J10 X21 X22 H8", views="ocr_boxes", sql="with " + CELLS + " select page_id, row_idx, col_idx, standard_name, value, is_valid, confidence, x_min, y_max from cells")
