@@ -78,8 +78,8 @@ def by_anchor(lines: Column, lower: Column, field: str, window: int = WINDOW, an
         rest = F.substr(F.get(lines, i), F.instr(low, w) + len(w))
         near = F.array(rest, *[F.get(lines, i + k) for k in range(1, window + 1)])
         return F.when(F.contains(low, F.lit(w)), F.struct(
-            (-i).alias("line"), F.lit(-turn).alias("turn"), F.filter(F.transform(near, lambda t, d: F.struct(
-                value_in(t).alias("value"), d.alias("distance"))), lambda v: v["value"] != "")[0].alias("v")))
+            (-i).alias("line"), F.lit(-turn).alias("turn"), F.get(F.filter(F.transform(near, lambda t, d: F.struct(
+                value_in(t).alias("value"), d.alias("distance"))), lambda v: v["value"] != ""), F.lit(0)).alias("v")))
 
     hits = F.flatten(F.transform(lower, lambda low, i: F.filter(
         F.array(*[hit(i, turn, w, low) for turn, w in enumerate(words)]), lambda h: h.isNotNull() & h["v"].isNotNull())))

@@ -115,3 +115,49 @@ def test_hooks(spark):
     out = hooks.model_stage(df, lambda p: p.assign(field_name="f", value=p.text.str.upper(), confidence=0.7)).first()
     assert (out["value"], out["confidence"]) == ("ABC", 0.7)
     assert df.select(hooks.VALIDATORS["currency"](F.lit("1,5")).alias("r")).first()["r"]
+
+
+def test_staged_extraction_asks_the_layout_stage_only_for_open_documents(spark):
+    from ledgerlens.operators import layout as L
+
+    fields = ["invoice_number", "total_amount", "tax_id"]
+    texts = [(1, "Invoice No: A-1\nTotal: 10.00\nTax ID: 99-1"), (2, "Invoice No: B-2\nno more here")]
+    docs = E.lines_of(spark.createDataFrame(texts, "doc_id long, text string"))
+    boxes = spark.createDataFrame(
+        [(d, 1, "Total", 0.0, 0.0, 40.0, 20.0) for d in (1, 2)] + [(d, 2, "77.5", 60.0, 0.0, 100.0, 20.0) for d in (1, 2)],
+        "page_id long, box_id long, text string, x_min double, y_min double, x_max double, y_max double")
+    asked = []
+
+    def layout_stage(open_docs):
+        asked.extend(r["doc_id"] for r in open_docs.collect())
+        return L.layout_results(boxes.join(open_docs.withColumnRenamed("doc_id", "page_id"), "page_id", "left_semi"))
+
+    got = {(r["doc_id"], r["field_name"]): (r["value"], r["stage_no"]) for r in E.staged_extract(docs, fields, layout_stage).collect()}
+    assert asked == [2]
+    assert got[(1, "total_amount")] == ("10.0", 1) and got[(2, "total_amount")] == ("77.5", 3) and got[(2, "invoice_number")] == ("B-2", 1)
+
+
+def test_document_job_writes_and_reads_back(spark, tmp_path):
+    from ledgerlens.plans import document_job
+    from ledgerlens.plans.fixtures import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    document_job.run(t.doc_lines, t.ocr_boxes, "2024-06-30", str(tmp_path))
+    stored = spark.read.parquet(f"{tmp_path}/documents")
+    assert stored.count() == t.invoice_docs.count() and spark.read.parquet(f"{tmp_path}/table_cells").count() > 0
+    assert sorted(map(tuple, stored.collect()), key=repr) == sorted(map(tuple, document_job.process(t.doc_lines, "2024-06-30").collect()), key=repr)
+
+
+def test_export_sinks(spark, tmp_path):
+    from ledgerlens.sources import export as X2
+
+    docs = spark.createDataFrame([(1, "invoice"), (2, "receipt")], "doc_id long, type string")
+    mapped = spark.createDataFrame([(1, 'say "x"', None), (2, "b;c", "d")], "doc_id long, A string, B string")
+    X2.write_csv(mapped, f"{tmp_path}/csv", delimiter=";")
+    back = spark.read.option("header", "true").option("sep", ";").option("escape", "\\").csv(f"{tmp_path}/csv").orderBy("doc_id").collect()
+    assert [r["A"] for r in back] == ['say "x"', "b;c"]
+    X2.write_json_export(X2.json_documents(docs, mapped, "now"), f"{tmp_path}/json", "e1", "now")
+    assert spark.read.json(f"{tmp_path}/json/envelope").first()["document_count"] == 2
+    for kind in ("jsonl", "csv", "parquet"):
+        X2.write_records(mapped, f"{tmp_path}/{kind}-out", kind)
+    assert spark.read.parquet(f"{tmp_path}/parquet-out").count() == 2
