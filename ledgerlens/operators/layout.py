@@ -133,18 +133,26 @@ def page_summary(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = 4, can
     starts = F.transform(F.filter("h", lambda h, i: (i == 0) | (h["yc"] - F.get("h", i - 1)["yc"] >= gap)), lambda h: h["yc"])
     page = page.withColumn("row_starts", starts).withColumn("num_rows", F.size("row_starts"))
 
-    def total(name, r):
-        low, high = F.get("row_starts", F.lit(r)), F.get("row_starts", F.lit(r + 1))
-        mine = F.filter("h", lambda h: (h["yc"] >= low) & (high.isNull() | (h["yc"] < high)))
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, h: acc + h[name])
+    # heights of the first rows only, each with its row
+    below = F.get("row_starts", F.lit(candidates))
+    top = F.filter("h", lambda h: below.isNull() | (h["yc"] < below))
+    page = page.withColumn("top", top).drop("h")
+    page = page.withColumn("top", F.transform("top", lambda h: F.struct(
+        (F.size(F.filter(F.slice("row_starts", 1, candidates), lambda s: s <= h["yc"])) - 1).alias("row"), h["n"].alias("n"),
+        h["marked"].alias("marked"), h["chars"].alias("chars"))))
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "marked", "chars")])
 
-    page = page.withColumns({f"{c}_{r}": total(c, r) for r in range(candidates) for c in ("n", "marked", "chars")})
+    def total(r):
+        return F.aggregate("top", zero, lambda acc, h: F.when(h["row"] == r, F.struct(
+            *[(acc[c] + h[c]).alias(c) for c in ("n", "marked", "chars")])).otherwise(acc))
+
+    page = page.withColumns({f"row_{r}": total(r) for r in range(candidates)})
 
     def scored(r):
-        n = F.col(f"n_{r}")
+        n = F.col(f"row_{r}.n")
         position = F.lit(1.0) - F.lit(r) / (F.col("num_rows") + 1)
-        length = F.when((F.col(f"chars_{r}") / n).between(5, 30), 1.0).otherwise(0.6)
-        points = F.col(f"marked_{r}") / n * 0.5 + position * 0.3 + length * 0.2
+        length = F.when((F.col(f"row_{r}.chars") / n).between(5, 30), 1.0).otherwise(0.6)
+        points = F.col(f"row_{r}.marked") / n * 0.5 + position * 0.3 + length * 0.2
         return F.when(F.col("num_rows") > r, F.struct(points.alias("score"), F.lit(-r).alias("turn")))
 
     page = page.withColumn("best", F.array_max(F.array(*[scored(r) for r in range(candidates)])))
