@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import packing, superminhash, winnowing
+from ledgerlens.llm import byte_cnn, packing, superminhash, winnowing
+from ledgerlens.llm.samples import folded
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +38,18 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = folded("doc_id", 4) == 2
+    model = byte_cnn.fit(docs.where(~held_out), "text", "lang", "doc_id")
+    return byte_cnn.identify(docs, model, "doc_id", "text", held_out.alias("held_out"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op7_superminhash": op7_superminhash,
     "op8_winnowing": op8_winnowing,
+    "op10_byte_cnn": op10_byte_cnn,
 }
 
 ORACLE_SQL: dict[str, str] = {}
