@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.samples import bounded
 from ledgerlens.llm.words import blocks, text_bytes
 
-WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 12
+WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 8
 #: Bounds of the training sample: texts per language, and windows of a text.
 TRAIN_TEXTS, TRAIN_WINDOWS = 600, 4
 UNKNOWN = "und"
@@ -46,24 +46,32 @@ class ByteCnn:
     bias: np.ndarray
     dense: np.ndarray  # features x languages
     dense_bias: np.ndarray
+    pairs: list[list[np.ndarray]] | None = None
+
+    def pair_tables(self) -> list[list[np.ndarray]]:
+        """Per width the tables of its first, third, ... two bytes."""
+        if self.pairs is None:
+            self.pairs = [[np.ascontiguousarray((t[j][:, None, :] + t[j + 1][None, :, :]).reshape(65536, -1)) for j in range(0, len(t) - 1, 2)] for t in self.filters]
+        return self.pairs
 
     def features(self, windows: np.ndarray) -> np.ndarray:
         """windows: n x WINDOW bytes."""
         n, length = windows.shape
         flat = np.ascontiguousarray(windows).reshape(-1)
-        pairs = flat[:-1].astype(np.int32) << 8 | flat[1:]
-        out = []
-        for width, tables in zip(WIDTHS, self.filters, strict=True):
-            got = None
-            for j in range(0, width - 1, 2):
-                table = (tables[j][:, None, :] + tables[j + 1][None, :, :]).reshape(65536, -1)
-                part = table.take(pairs[j : n * length - width + 1 + j], axis=0)
-                got = part if got is None else np.add(got, part, out=got)
+        pairs = np.full(len(flat) + 2, 0, np.intp)
+        pairs[: len(flat) - 1] = flat[:-1].astype(np.intp) << 8 | flat[1:]
+        single = np.concatenate([flat, np.zeros(2, np.uint8)]).astype(np.intp)
+        out, got, part = [], None, None
+        for width, tables, merged in zip(WIDTHS, self.filters, self.pair_tables(), strict=True):
+            got = np.take(merged[0], pairs[: len(flat)], axis=0, out=got, mode="clip")
+            for k, table in enumerate(merged[1:], 1):
+                part = np.take(table, pairs[2 * k : len(flat) + 2 * k], axis=0, out=part, mode="clip")
+                got += part
             if width % 2:
-                got += tables[width - 1].take(flat[width - 1 :], axis=0)
-            full = np.empty((n * length, got.shape[1]), np.float32)
-            full[: len(got)] = got
-            out.append(full.reshape(n, length, -1)[:, : length - width + 1].max(axis=1))
+                part = np.take(tables[width - 1], single[width - 1 : len(flat) + width - 1], axis=0, out=part, mode="clip")
+                got += part
+            # Places from which a filter would leave its window don't count.
+            out.append(got.reshape(n, length, -1)[:, : length - width + 1].max(axis=1))
         return np.maximum(np.concatenate(out, axis=1) + self.bias, 0)
 
     def log_probabilities(self, windows: np.ndarray) -> np.ndarray:
@@ -159,7 +167,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, doc_id: str = "doc_id", tex
             label, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
             if model is not None and len(data):
                 windows, first = windows_of(data, bounds)
-                logs = np.concatenate([model.log_probabilities(windows[i : i + 512]) for i in range(0, len(windows), 512)])
+                logs = np.concatenate([model.log_probabilities(windows[i : i + 128]) for i in range(0, len(windows), 128)])
                 some = np.flatnonzero(np.diff(first))
                 mean = np.add.reduceat(logs, first[:-1][some], axis=0) / np.diff(first)[some, None]
                 p = np.exp(mean - mean.max(axis=1, keepdims=True))
