@@ -10,10 +10,14 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+
 #: Parts a worker remembers; beyond it the cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: Bytes of text that are split at once; cuts are at white space.
 SEGMENT = 1 << 20
+#: New words of letters that are given to the tokenizer as one text.
+JOINED = 200
 
 _WORKERS: dict[str, WordIds] = {}
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
@@ -27,7 +31,12 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        #: Texts without these heads of the vocabulary's marks may be folded to lower case first, which the vocabulary does anyway.
+        self.heads = {t.content[:2].lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
@@ -45,12 +54,31 @@ class WordIds:
         bare.update(w[:-1] for w in tails)
         if tails:
             bare.update((b",", b"."))
-        bare = list(bare.difference(known))
+        bare = bare.difference(known)
+        if self.ends.any():
+            bare = self.learn_letters([w for w in bare if w.decode().isalpha()], bare)
+        bare = list(bare)
         for w, e in zip(bare, self.tokenizer.encode_batch_fast([w.decode() for w in bare], add_special_tokens=False), strict=True):
             known[w] = array("I", e.ids).tobytes()
         for w in tails:
             known[w] = known[w[:-1]] + known[w[-1:]]
 
+    def learn_letters(self, words: list[bytes], open_: set[bytes]) -> set[bytes]:
+        """Words of letters only are one unit each, whose last id is marked: many go through the tokenizer as one text.
+
+        Returns what is left to do of ``open_``.
+        """
+        done = []
+        parts = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) == len(part):
+                data = ids.astype("<u4").tobytes()
+                self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+                done += part
+        return open_.difference(done)
+
     def segments(self, text: bytes) -> Iterator[bytes]:
         at = 0
         while len(text) - at > SEGMENT:
@@ -61,10 +89,13 @@ class WordIds:
             at = to
         yield text[at:] if at else text
 
+    def folded(self, text: bytes) -> bytes:
+        low = text.lower()
+        return text if any(h in low for h in self.heads) else low
+
     def encode(self, text: bytes) -> bytes:
         out = []
-        if not any(m[:2].lower() in text.lower() for m in self.marks):
-            text = text.lower()  # the vocabulary is lower case; marks of the vocabulary are not folded
+        text = self.folded(text)
         for part in self.segments(text):
             words = part.split()
             new = set(words).difference(self.known)
@@ -78,7 +109,7 @@ class WordIds:
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """``encode`` of several texts, with the new words of all of them looked up together."""
-        low = [t.lower() if not any(m[:2].lower() in t.lower() for m in self.marks) else t for t in texts]
+        low = [self.folded(t) for t in texts]
         if sum(map(len, low)) > 4 * SEGMENT:
             return [self.encode(t) for t in texts]
         words = [t.split() for t in low]
