@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_cnn, packing, pii, superminhash, winnowing
+from ledgerlens.llm import byte_cnn, packing, pii, superminhash, toxicity, winnowing
 from ledgerlens.llm.samples import folded
 
 
@@ -26,6 +26,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = folded("doc_id", 5) == 0
+    network = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
+    return toxicity.score(docs, network, "doc_id", "text", held_out.alias("held_out"))
+
+
 def op6_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find_spans(docs, pii.fit(docs))
@@ -57,6 +64,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_boosted_pii": op6_boosted_pii,
     "op7_superminhash": op7_superminhash,
     "op8_winnowing": op8_winnowing,
