@@ -34,6 +34,8 @@ HIDDEN, WORD, PIECE = 8, 8, 8
 TRAIN_TEXTS, TRAIN_WINDOWS = 1200, 12
 #: A word or piece has a vector of its own if so many texts of the sample have it, and this share of them. Decay of those vectors.
 KEY_TEXTS, KEY_SHARE, DECAY = 4, 0.01, 0.1
+#: Texts of each label that a calibration on texts kept back needs; with fewer all texts calibrate.
+KEPT_BACK = 30
 F32 = np.float32
 
 
@@ -248,7 +250,7 @@ def train(column: pa.Array, text_of: np.ndarray, labels: np.ndarray, epochs: int
     places, first = window_rows(words.offsets)
     first_of = first[:-1]
     rows = known.rows(places[first_of])
-    held = rng.random(len(labels)) < 0.2
+    held = rng.random(len(labels)) < (0.2 if min((labels == c).sum() for c in (0, 1)) >= 8 * KEPT_BACK else 0)
     m = {k: np.zeros_like(v) for k, v in network.values.items()}
     s = {k: np.zeros_like(v) for k, v in network.values.items()}
     step = 0
@@ -276,7 +278,7 @@ def train(column: pa.Array, text_of: np.ndarray, labels: np.ndarray, epochs: int
     logit = np.concatenate([network.logits(*part(known, rows[i : i + CHUNK])) for i in range(0, len(rows), CHUNK)])
     top = np.full(len(labels), -np.inf)
     np.maximum.at(top, text_of, logit)
-    some = held if len(set(labels[held])) == 2 else np.ones(len(labels), bool)
+    some = held if min((labels[held] == c).sum() for c in (0, 1)) >= KEPT_BACK else np.ones(len(labels), bool)
     network.slope, network.shift = calibrated(top[some], labels[some])
     return network
 
