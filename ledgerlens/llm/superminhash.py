@@ -7,9 +7,8 @@ Here rank j is drawn for all elements of many documents at once, and documents w
 
 Sets that are equal form a class at once; only classes are banded (32 bands of 5 places: a pair at the threshold shares no band in
 3 of a million cases). Every class of a band bucket is compared with the smallest class there (a star, so a bucket of n classes
-gives n - 1 pairs), then classes that this left in different components are compared in blocks, without writing pairs: equal-cell
-counts of 64 cells bound the intersection from above, and only pairs within that bound are verified. Every link is confirmed on the
-full sets. Components come from large-star and small-star steps; nothing is collected.
+gives n - 1 pairs), then classes that this left in different components are compared in blocks, without writing pairs: bitmaps
+bound the intersection from above, and only pairs within that bound are verified. Every link is confirmed on the full sets. Components come from large-star and small-star steps; nothing is collected.
 
 Defined cases: null and wordless texts have no shingles and stay alone; equal ids of several rows give a row each; a null id never
 is the smallest unless the group has no other. Only the named columns are read.
@@ -29,11 +28,10 @@ from ledgerlens.llm.words import SPACE_LOWER, Words, blocks, grams, lists, mix,
 from ledgerlens.session import cut_lineage
 
 BANDS, ROWS = 32, 5
-CELLS = 64
 #: Classes in a block of the second comparison, and elements that are ranked at once.
 BLOCK, ELEMENTS = 256, 1 << 15
 _GOLD, _FRACTION = np.uint64(0x9E3779B97F4A7C15), np.uint64(24)
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 20
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,15 +103,22 @@ def set_keys(elements: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return tuple(mix(summed(mix(elements ^ np.uint64(c)), bounds)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
-def cells(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Elements of each set in each of 64 hash cells; the sum of cell-wise minima bounds an intersection from above."""
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    cell = (elements >> np.uint64(58)).astype(np.int64)
-    return np.bincount(owner * CELLS + cell, minlength=(len(bounds) - 1) * CELLS).astype(np.uint32).reshape(-1, CELLS)
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit per hash value, of about eight bits per element and a power of two in size."""
+    bits = 1 << max(9, int(8 * len(shingles) - 1).bit_length())
+    out = np.zeros(bits, bool)
+    out[(shingles.view(np.uint64) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """A smaller bitmap of the same set: the leading bits of a hash choose its place, so neighbours fall together."""
+    wide = np.unpackbits(bits).reshape(size * 8, -1).any(axis=1)
+    return np.packbits(wide)
 
 
 def sketch(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """A row per document: row, doc_id, n, k1, k2 (key of its set), bands, cells."""
+    """A row per document: row, doc_id, n, k1, k2 (key of its set), bands."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
@@ -122,13 +127,12 @@ def sketch(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows:
             hashes = band_hashes(signatures(elements, bounds, bands * rows), bands, rows)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
-                lists(hashes.reshape(-1).view(np.int64), np.arange(len(hashes) + 1) * bands, pa.int64()),
-                pa.array([c.tobytes() for c in cells(elements, bounds)], pa.binary())],
-                names=["doc_id", "n", "k1", "k2", "bands", "cells"])
+                lists(hashes.reshape(-1).view(np.int64), np.arange(len(hashes) + 1) * bands, pa.int64())],
+                names=["doc_id", "n", "k1", "k2", "bands"])
 
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    out = docs.mapInArrow(scan, f"doc_id {kind}, n long, k1 long, k2 long, bands array<long>, cells binary")
+    out = docs.mapInArrow(scan, f"doc_id {kind}, n long, k1 long, k2 long, bands array<long>")
     return out.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
@@ -194,45 +198,70 @@ def roots(links: DataFrame) -> DataFrame:
         before = after
 
 
+def with_bitmaps(sets: DataFrame) -> DataFrame:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("shingles")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class"), pa.array([bitmap(v.values.to_numpy()) for v in values], pa.binary())], names=["class", "bits"])
+
+    return sets.mapInArrow(scan, "class long, bits binary")
+
+
 def block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in the same bucket that the size and cell bounds leave, compared block by block.
+    """Pairs of different components in the same bucket that sizes and bitmaps leave, compared block by block.
 
-    members: bucket, class, comp, n, cells. Classes outside a bucket's largest component meet all classes of the bucket, so a
-    bucket that is one component already costs nothing.
+    members: bucket, class, comp, n, bits. Classes outside a bucket's largest component meet all classes of the bucket, so a
+    bucket that is one component already costs nothing. A bit set on one side only stands for at least one element that the
+    other side lacks, which bounds the intersection from above.
     """
     sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     sizes = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
     sizes = sizes.where("all > most").select(
         "bucket", "main", F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("outer"))
     rows = members.join(sizes, "bucket")
-    whole = rows.select("*", F.lit(False).alias("out"), F.expr("pmod(xxhash64(class), blocks)").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)).alias("j"))
+    whole = rows.select(
+        "*", F.lit(False).alias("out"), F.expr("pmod(xxhash64(class), blocks)").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)).alias("j"))
     out = rows.where("comp <> main").select(
         "*", F.lit(True).alias("out"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), F.expr("pmod(xxhash64(class, 1), outer)").alias("j"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group["out"]], group[~group["out"]]
         found = [np.zeros((0, 2), np.int64)]
-        rc = np.frombuffer(b"".join(right["cells"]), np.uint32).reshape(-1, CELLS)
         rn, rcomp, rid = right["n"].to_numpy(), right["comp"].to_numpy(), right["class"].to_numpy()
-        for c, n, comp, own in zip(left["cells"], left["n"], left["comp"], left["class"], strict=True):
+        maps = [np.frombuffer(b, np.uint8) for b in right["bits"]]
+        widths = np.array([len(m) for m in maps])
+        for bits, n, comp, own in zip(left["bits"], left["n"], left["comp"], left["class"], strict=True):
+            mine = np.frombuffer(bits, np.uint8)
             near = np.flatnonzero((rcomp != comp) & (100 * np.minimum(rn, n) >= percent * np.maximum(rn, n)))
-            most = np.minimum(rc[near], np.frombuffer(c, np.uint32)).sum(axis=1).astype(np.int64)
-            near = near[100 * most >= percent * (rn[near] + n - most)]
-            found.append(np.stack([np.maximum(rid[near], own), np.minimum(rid[near], own)], axis=1))
+            for width in np.unique(widths[near]):
+                some = near[widths[near] == width]
+                low = min(width, len(mine))
+                a = mine if len(mine) == low else fold(mine, low)
+                b = np.stack([maps[i] if width == low else fold(maps[i], low) for i in some])
+                most = np.minimum(n - np.bitwise_count(a & ~b).sum(axis=1), rn[some] - np.bitwise_count(b & ~a).sum(axis=1)).astype(np.int64)
+                some = some[100 * most >= percent * (rn[some] + n - most)]
+                found.append(np.stack([np.maximum(rid[some], own), np.minimum(rid[some], own)], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    columns = ["bucket", "i", "j", "class", "comp", "n", "cells", "out"]
+    columns = ["bucket", "i", "j", "class", "comp", "n", "bits", "out"]
     return whole.select(columns).union(out.select(columns)).groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
+def placed(nodes: DataFrame, components: DataFrame, node: str, root: str) -> DataFrame:
+    """``root``: the component of each ``node``, the node itself where it has no link."""
+    known = components.select(F.col("node").alias(node), F.col("root").alias("_root"))
+    return nodes.join(known, node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest id reachable by links of at least ``percent``), kept."""
     rows_ = written(sketch(docs, doc_id, text, size, bands, rows), "sketches")
     classes = rows_.where("n > 0").groupBy("k1", "k2").agg(
-        F.min("row").alias("class"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("cells").alias("cells"))
+        F.min("row").alias("class"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes, "shingle-classes")
     banded = classes.select("class", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min(F.struct("class", "n")).alias("leader"), F.count("*").alias("size")).where("size > 1")
@@ -243,20 +272,23 @@ def near_duplicates(
     star = members.where(near).select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct()
     wanted = members.select("class").union(members.select("leader")).distinct().join(classes.select("class", "k1", "k2"), "class")
     sets = written(full_sets(docs, text, size, wanted), "shingle-sets")
-    links = cut_lineage(confirmed(star, sets, percent))
-    first = roots(links)
 
-    rest = members.where("size > 2").select("bucket", "class", "n").join(first.withColumnRenamed("node", "class"), "class", "left")
-    rest = rest.select("bucket", "class", "n", F.coalesce("root", "class").alias("comp"))
+    # One leader per class first: it settles most of a large group, so that few pairs are left to the next steps.
+    known = roots(confirmed(star.groupBy("a").agg(F.min("b").alias("b")), sets, percent))
+    apart = placed(placed(star, known, "a", "ra"), known, "b", "rb").where("ra <> rb").select("a", "b")
+    edges = known.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    known = roots(edges.union(confirmed(apart, sets, percent)))
+
+    rest = placed(members.where("size > 2").select("bucket", "class", "n"), known, "class", "comp")
     mixed = rest.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    rest = rest.join(mixed, "bucket").join(classes.select("class", "cells"), "class")
-    more = confirmed(block_pairs(rest, percent), sets, percent)
-    final = roots(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-
-    placed = classes.select("k1", "k2", "class", "first_id").join(final.withColumnRenamed("node", "class"), "class", "left")
-    placed = placed.select("k1", "k2", "first_id", F.coalesce("root", "class").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    placed = placed.join(smallest, "root").select("k1", "k2", "component_id")
-    out = rows_.select("doc_id", "n", "k1", "k2").join(placed, ["k1", "k2"], "left")
+    rest = cut_lineage(rest.join(mixed, "bucket"))
+    bits = with_bitmaps(sets.join(rest.select("class").distinct(), "class", "left_semi"))
+    edges = known.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    known = roots(edges.union(confirmed(block_pairs(rest.join(bits, "class"), percent), sets, percent)))
+
+    found = placed(classes.select("k1", "k2", "class", "first_id"), known, "class", "root")
+    smallest = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    found = found.join(smallest, "root").select("k1", "k2", "component_id")
+    out = rows_.select("doc_id", "n", "k1", "k2").join(found, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
