@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_cnn, packing, pii, superminhash, toxicity, winnowing
+from ledgerlens.llm import byte_cnn, packing, perplexity, pii, superminhash, toxicity, winnowing
 from ledgerlens.llm.samples import folded
 
 
@@ -55,6 +55,12 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = perplexity.quality(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "low", "high")
+
+
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = folded("doc_id", 4) == 2
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_boosted_pii": op6_boosted_pii,
     "op7_superminhash": op7_superminhash,
     "op8_winnowing": op8_winnowing,
+    "op9_perplexity": op9_perplexity,
     "op10_byte_cnn": op10_byte_cnn,
 }
 
