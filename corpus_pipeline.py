@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over the documents table, each built on one operator of ``ledgerlens.llm``."""
+"""The corpus pipeline: stages over the documents table, each built on one operator of ``ledgerlens.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with their columns; the last returns packed pieces.
+Rows with equal ids count as one document in the near-duplicate stage. Null texts pass all filters and are packed as empty.
+"""
 
 from __future__ import annotations
 
@@ -7,26 +11,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import winnowing
+from ledgerlens.llm import packing, pii, superminhash, toxicity, winnowing
+from ledgerlens.llm.queries import tokenizer
+from ledgerlens.llm.samples import folded
 from ledgerlens.llm.words import written
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark stay.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, fitted on the labels outside the held-out fold, does not call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    seen = folded("doc_id", 5) != 0
+    network = toxicity.fit(docs.where(seen), labels.where(seen))
+    scored = toxicity.score(docs, network, "doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return scored.where("predicted = 0").select("_row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group linked by a similarity of 0.8 on five-word shingles."""
+    kept = superminhash.near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+
 
-    A verdict depends on the text alone, so documents are matched to verdicts by id and text hash.
-    """
-    kept = docs.select("*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text_hash"))
-    found = winnowing.find_contamination(kept, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="_text_hash")
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark. A verdict depends on the text alone, so texts are matched by their hash."""
+    hashed = docs.select("*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text_hash"))
+    found = winnowing.find_contamination(hashed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="_text_hash")
     bad = found.where("n_hit > 0").select(F.col("doc_id").alias("_text_hash")).distinct()
-    return kept.join(bad, "_text_hash", "left_anti").select(*docs.columns)
+    return hashed.join(bad, "_text_hash", "left_anti").select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind."""
+    rest = [c for c in docs.columns if c != "text"]
+    found = pii.find_spans(docs, pii.fit(docs), "doc_id", "text", True, F.struct(*rest).alias("_row"))
+    columns = {c: F.col(f"_row.`{c}`") for c in rest} | {"text": F.col("redacted")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.coalesce(F.length("redacted").cast(docs.schema["n_chars"].dataType), F.col("_row.n_chars"))
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens, with their ids."""
+    return packing.packed(docs, tokenizer())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near-duplicates", drop_near_duplicates),
     ("benchmark decontamination", decontaminate),
+    ("personal data", redact),
+    ("packing", pack),
 ]
 
-#: No stage before packing is exact in SQL (a trained network decides first), so the tests hold the stages against brute force.
+#: A trained network decides first and a tokenizer last, so the tests hold the stages against brute force instead.
 ORACLE_SQL: str | None = None
 
 
