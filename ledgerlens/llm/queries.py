@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_cnn, packing, perplexity, pii, superminhash, toxicity, winnowing
+from ledgerlens.llm import byte_cnn, merkle, packing, perplexity, pii, separators, superminhash, toxicity, winnowing
 from ledgerlens.llm.samples import folded
 
 
@@ -21,6 +21,24 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: End-of-text id of the vocabulary.
+END_OF_TEXT = 49407
+
+
+def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table as flat token files, and the documents found in them."""
+    folder = separators.token_folder(spark)
+    files = separators.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer(), END_OF_TEXT)
+    files.agg(F.sum("documents")).collect()
+    return separators.find_documents(spark, folder, END_OF_TEXT)
+
+
+def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table as WARC records against a replica with planted faults."""
+    records = merkle.warc_records(table(spark, sf_dir, "pages"))
+    return merkle.audit(merkle.index(records), merkle.index(merkle.damaged(records)))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed(table(spark, sf_dir, "documents"), tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -69,6 +87,8 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_separator_scan": op1_separator_scan,
+    "op2_merkle_audit": op2_merkle_audit,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_boosted_pii": op6_boosted_pii,
@@ -78,4 +98,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_cnn": op10_byte_cnn,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_merkle_audit": r"""
+with raw as (
+  select page_id, concat('segment-', cast(cast(floor(page_id / 1000) as bigint) as varchar), '.warc') as file,
+    concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10),
+      'Content-Length: ', cast(octet_length(encode(coalesce(html, ''))) as varchar), chr(13), chr(10), chr(13), chr(10),
+      coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) as payload
+  from pages),
+placed as (
+  select *, coalesce(sum(octet_length(encode(payload))) over (partition by file order by page_id rows between unbounded preceding and 1 preceding), 0) as offset_
+  from raw),
+drawn as (select *, page_id % 97 as draw from placed),
+compared as (
+  select file, cast(offset_ as bigint) as "offset", cast(1 as integer) as copy, payload,
+    case draw when 7 then null when 3 then concat('#', substr(payload, 2)) when 5 then substr(payload, 1, length(payload) - 7) else payload end as other
+  from drawn)
+select file, "offset", copy, case when other is null then 'missing' else 'changed' end as status,
+  cast(octet_length(encode(payload)) as bigint) as left_length, sha256(payload) as left_sha256,
+  cast(octet_length(encode(other)) as bigint) as right_length, sha256(other) as right_sha256
+from compared where other is distinct from payload""",
+}
