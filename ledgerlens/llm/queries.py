@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_cnn, merkle, packing, perplexity, pii, separators, superminhash, toxicity, winnowing
+from ledgerlens.llm import byte_cnn, merkle, packing, perplexity, pii, separators, suffixes, superminhash, toxicity, winnowing
 from ledgerlens.llm.samples import folded
 
 
@@ -39,6 +39,11 @@ def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(merkle.index(records), merkle.index(merkle.damaged(records)))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed(table(spark, sf_dir, "documents"), tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -89,6 +94,7 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_merkle_audit": op2_merkle_audit,
+    "op3_suffix_array": op3_suffix_array,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_boosted_pii": op6_boosted_pii,

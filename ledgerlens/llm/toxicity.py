@@ -311,7 +311,7 @@ def calibrated(logit: np.ndarray, labels: np.ndarray, ridge: float = 0.01) -> tu
     return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", steps: int = 1500) -> Network | None:
     """A network from a bounded sample of the labelled documents; None if a label value is missing."""
     known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
     chosen = bounded(known, "toxic", TRAIN_TEXTS, "doc_id")  # about twice TRAIN_TEXTS ids: small enough for every task
@@ -338,7 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     keys, text_of = np.unique(sample["key"].to_numpy(), return_inverse=True)
     by_text = np.zeros(len(keys), np.int64)
     np.maximum.at(by_text, text_of, sample["toxic"].to_numpy())
-    return train(pa.array(sample["window"].tolist(), pa.string()), text_of, by_text)
+    return train(pa.array(sample["window"].tolist(), pa.string()), text_of, by_text, steps=steps)
 
 
 def score(docs: DataFrame, network: Network | None, doc_id: str = "doc_id", text: str = "text", *extra: Column) -> DataFrame:
