@@ -15,7 +15,6 @@ own. Repeated rows and ids give a row each. Only the named columns are read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from ledgerlens.llm.words import SPACE_EXACT, blocks, grams, hash_spans, mix, te
 
 ORDER = 5
 #: Entries of the model that a task holds at once; distinct n-grams that a task adds up before it passes them on.
-SHARD, HELD = 4_000_000, 2_000_000
+SHARD, HELD = 3_000_000, 2_000_000
 SPREADS, LEAST = 6.0, 0.3
 #: Base rules: words at least, and the largest share of words in repeated three-word windows.
 MIN_WORDS, MAX_REPEAT = 50, 0.5
@@ -181,10 +180,6 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     return lower
 
 
-def salt(lang: str) -> int:
-    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
-
-
 class HashArrays:
     """Sorted hashes with a value each, found by their leading bits."""
 
@@ -216,34 +211,34 @@ def measured(docs: DataFrame, model: DataFrame, doc_id: str, text: str, lang: st
     """doc_id, lang, the text figures, n_bytes and log_p of each document."""
     shards = max(1, -(-model.count() // SHARD))
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text).alias("text"), F.lit(0.0).alias("log_p"))
+        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text).alias("text"))
+    rows = rows.select("doc_id", "lang", F.xxhash64("lang").alias("salt"), "text", F.lit(0.0).alias("log_p"))
     kind = dict(rows.dtypes)["doc_id"]
     figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes"]
     for shard in range(shards):
-        part = model.where(F.pmod(F.xxhash64("gram", "lang"), F.lit(shards)) == shard).select("lang", "gram", F.log("p").cast("float").alias("log_p"))
-        part = part.toPandas()  # at most about SHARD rows
-        hashes = np.zeros(len(part), np.uint64)
-        for name, at in part.groupby("lang").indices.items():
-            hashes[at] = mix(part["gram"].to_numpy()[at].view(np.uint64) ^ np.uint64(salt(name)))
-        shared = docs.sparkSession.sparkContext.broadcast(HashArrays(hashes, part["log_p"].to_numpy()))
+        part = model.where(F.pmod(F.xxhash64("gram", "lang"), F.lit(shards)) == shard)
+        part = part.select(F.col("gram").bitwiseXOR(F.xxhash64("lang")).alias("key"), F.log("p").cast("float").alias("log_p")).toArrow()  # at most about SHARD rows of 12 bytes
+        arrays = HashArrays(mix(part["key"].to_numpy().view(np.uint64)), part["log_p"].to_numpy())
+        del part
+        shared = docs.sparkSession.sparkContext.broadcast(arrays)
         last = shard == shards - 1
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             known = shared.value
             for batch in blocks(batches, "text"):
                 data, bounds = text_bytes(batch.column("text"))
-                salts = np.array([salt(x) for x in batch.column("lang").to_pylist()], np.uint64)
+                salts = batch.column("salt").to_numpy().view(np.uint64)
                 log_p = known.get(mix(byte_grams(data, bounds, order) ^ np.repeat(salts, np.diff(bounds)))) if len(data) else np.zeros(0)
                 total = np.concatenate([[0.0], np.cumsum(log_p, dtype=np.float64)])
                 log_p = batch.column("log_p").to_numpy() + total[bounds[1:]] - total[bounds[:-1]]
                 if not last:
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(log_p)], names=batch.schema.names)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(log_p)], names=batch.schema.names)
                     continue
                 got = text_figures(batch.column("text")) | {"n_bytes": np.diff(bounds)}
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:2], *[pa.array(got[f].astype(np.int64)) for f in figures], pa.array(log_p)], names=["doc_id", "lang", *figures, "log_p"])
+                    [*batch.columns[:3], *[pa.array(got[f].astype(np.int64)) for f in figures], pa.array(log_p)], names=["doc_id", "lang", "salt", *figures, "log_p"])
 
-        schema = f"doc_id {kind}, lang string, " + (", ".join(f"{f} long" for f in figures) if last else "text string") + ", log_p double"
+        schema = f"doc_id {kind}, lang string, salt long, " + (", ".join(f"{f} long" for f in figures) if last else "text string") + ", log_p double"
         rows = rows.mapInArrow(scan, schema)
         rows = written(rows, "measured")
     return rows
@@ -264,4 +259,5 @@ def quality(
     width = F.greatest(F.lit(least), F.lit(spreads * 1.4826) * F.col("spread"))
     bands = spread.select("lang", (F.col("middle") - width).alias("low"), (F.col("middle") + width).alias("high"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return rows.join(bands, "lang", "left").withColumn("kept", kept).drop("log_p", "n_bytes")
+    return rows.join(bands, "lang", "left").select(
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "low", "high", "base_failed", kept.alias("kept"))
