@@ -103,10 +103,10 @@ def cast_ok(value: Column | str, data_type: str) -> Column:
 
 
 def config_value(raw: Column | str, default: str | None = None) -> Column:
-    """Stored config text as text: a JSON string loses its quotes, other JSON and plain text stay."""
+    """Stored config text as text: a JSON string loses its quotes, other JSON and plain text (also JSON with more behind it) stay."""
     r = col(raw)
-    parsed = F.get_json_object(F.concat(F.lit('{"v":'), r, F.lit("}")), "$.v")
-    value = F.coalesce(parsed, r)
+    one = F.try_parse_json(r).isNotNull() & (F.json_array_length(F.concat(F.lit("["), r, F.lit("]"))) == 1)
+    value = F.when(one, F.coalesce(F.get_json_object(r, "$"), r)).otherwise(r)
     return F.coalesce(value, F.lit(default)) if default is not None else value
 
 

@@ -73,26 +73,48 @@ def effective_values(fields: DataFrame, corrections: DataFrame) -> DataFrame:
         F.when(has, "corrected").otherwise("extracted").alias("source"))
 
 
-def apply_batch(fields: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Apply (request_id, doc_id, field_name, corrected_value, confidence_adjustment) requests.
+def composed(steps: Column) -> Column:
+    """One clamped addition (shift, low, high) that stands for an ordered array of them: clamp(x + shift) to low..high."""
+    inside = lambda value, s: F.least(s["high"], F.greatest(s["low"], value))
+    kind = "struct<shift:decimal(20,4),low:decimal(20,4),high:decimal(20,4)>"
+    start = F.struct(score(0.0).alias("shift"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high")).cast(kind)
+    return F.aggregate(steps, start, lambda a, s: F.struct(
+        (a["shift"] + s["shift"]).alias("shift"), inside(a["low"] + s["shift"], s).alias("low"), inside(a["high"] + s["shift"], s).alias("high")).cast(kind))
+
+
+def apply_batch(fields: DataFrame, requests: DataFrame, block: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Apply (request_id, doc_id, field_name, corrected_value, confidence_adjustment) requests in the order of their ids.
 
     Returns the new field table, the correction records, and an error row per request whose field is
-    unknown. A later request for a field wins over an earlier one; each one leaves a record.
+    unknown. A later request for a field works on what the earlier ones left: its record has the value before it, and
+    confidences are adjusted and clamped one by one. A clamped addition composes to one, so the requests of a field are
+    folded by blocks of ids first and a field with very many requests is not gathered in one row.
     """
     target = fields.groupBy("doc_id", "field_name").agg(F.min_by(
-        F.struct("field_id", F.col("field_value").alias("original_value")), "field_id").alias("f"))
+        F.struct("field_id", F.col("field_value").alias("first_value")), "field_id").alias("f"))
     hits = requests.join(target, ["doc_id", "field_name"]).select(requests["*"], "f.*")
-    records = hits.withColumn("correction_type", correction_type(F.col("original_value"), F.col("corrected_value")))
+    part = F.floor(F.col("request_id") / block)
+    before = bucketed_window(hits, ["field_id"], ["request_id"], part, previous={"_before": F.struct("corrected_value")})
+    original = F.when(F.col("_before").isNull(), F.col("first_value")).otherwise(F.col("_before.corrected_value"))
+    records = before.withColumn("original_value", original).withColumn(
+        "correction_type", correction_type(F.col("original_value"), F.col("corrected_value"))).drop("_before", "first_value")
     errors = requests.join(target, ["doc_id", "field_name"], "left_anti").select(
         "request_id", "doc_id", "field_name",
         F.concat(F.lit("Field '"), "field_name", F.lit("' not found")).alias("message"))
-    final = hits.groupBy("field_id").agg(
-        F.max_by(F.struct("corrected_value"), "request_id").alias("w"),
-        F.sum("confidence_adjustment").alias("adj"))
+    step = F.struct(F.col("confidence_adjustment").cast("decimal(20,4)").alias("shift"), F.lit(0).cast("decimal(20,4)").alias("low"), F.lit(1).cast("decimal(20,4)").alias("high"))
+    moves = F.coalesce(F.col("confidence_adjustment"), F.lit(0)) != 0
+    ordered = lambda value, order: F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("s"))))), lambda x: x["s"])
+    blocks = hits.withColumn("part", part).withColumn("step", F.when(moves, step)).groupBy("field_id", "part").agg(
+        F.max_by(F.struct("corrected_value"), "request_id").alias("w"), composed(ordered(F.col("step"), "request_id")).alias("step"),
+        F.count_if(F.col("step").isNotNull()).alias("moves"))
+    final = blocks.groupBy("field_id").agg(
+        F.max_by("w", "part").alias("w"), composed(ordered(F.col("step"), "part")).alias("c"), F.sum("moves").alias("moves"))
+    confidence = F.col("confidence").cast(SCORE)
+    moved = F.least(F.col("c.high"), F.greatest(F.col("c.low"), F.coalesce(confidence, score(0.0)) + F.col("c.shift"))).cast(SCORE)
     updated = fields.join(final, "field_id", "left").select(
         *[c for c in fields.columns if c not in ("field_value", "confidence", "is_edited")],
         F.when(F.col("w").isNotNull(), F.col("w.corrected_value")).otherwise(F.col("field_value")).alias("field_value"),
-        adjust_confidence(F.col("confidence").cast(SCORE), F.col("adj")).alias("confidence"),
+        F.when(F.col("moves") > 0, moved).otherwise(confidence).alias("confidence"),
         (F.col("is_edited") | F.col("w").isNotNull()).alias("is_edited"))
     return updated, records, errors
 

@@ -48,9 +48,11 @@ def filter_documents(
     return docs
 
 
-def page_of(df: DataFrame, order: Sequence[Column], limit: int = 50, offset: int = 0, cap: int = 200) -> DataFrame:
-    """One page of a listing: the limit is clamped to 1..cap, the offset to >= 0."""
-    return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, cap)))
+def page_of(df: DataFrame, order: Sequence[Column], limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of a listing: ``limit`` rows after the first ``offset``."""
+    if limit < 1 or offset < 0:
+        raise ValueError(f"a page needs a limit of 1 or more and an offset of 0 or more, not {limit} and {offset}")
+    return df.orderBy(*order).offset(offset).limit(limit)
 
 
 def newest_first(key: str = "doc_id") -> list[Column]:
@@ -137,14 +139,14 @@ def documents_idle_after_cancel(states: DataFrame, cancelled: DataFrame) -> Data
 
 
 def document_details(docs: DataFrame, fields: DataFrame, pages: DataFrame) -> DataFrame:
-    """Long form of a document with its pages and fields, in (document, page, field) order."""
+    """Long form of a document with its pages and fields; a document's rows stand together, by page and field."""
     kept = docs.select("doc_id", "name", "type", "status")
     page_rows = pages.select("doc_id", F.col("page_number").cast("int").alias("page_number"), F.lit("page").alias("part"),
                              F.lit(None).cast("long").alias("field_id"), F.lit(None).cast("string").alias("field_name"),
                              F.lit(None).cast("string").alias("field_value"))
     field_rows = fields.select("doc_id", F.col("page_number").cast("int").alias("page_number"), F.lit("field").alias("part"),
                                "field_id", "field_name", "field_value")
-    return kept.join(page_rows.unionByName(field_rows), "doc_id").orderBy(
+    return kept.join(page_rows.unionByName(field_rows), "doc_id").repartition("doc_id").sortWithinPartitions(
         "doc_id", "page_number", F.col("field_id").asc_nulls_first())
 
 
@@ -188,8 +190,9 @@ def document_stats(docs: DataFrame) -> DataFrame:
 
 
 def daily_counts(docs: DataFrame, now: str, days: int) -> DataFrame:
-    """Documents per day for the last ``days`` days (1..60), days without documents as 0."""
-    days = max(1, min(days, 60))
+    """Documents per day for the last ``days`` days, days without documents as 0."""
+    if days < 1:
+        raise ValueError(f"the number of days must be 1 or more, not {days}")
     last = F.lit(now).cast("date")
     first = F.date_sub(last, days - 1)
     spark = docs.sparkSession
@@ -260,31 +263,40 @@ def apply_review_actions(docs: DataFrame, actions: DataFrame) -> DataFrame:
         *[c for c in docs.columns if c != "status"],
         F.when(F.col("action") == "approve", "completed").when(F.col("action") == "reject", "error")
         .otherwise(F.col("status")).alias("status"),
-        F.when(F.col("action") == "reject", "Rejected during manual review").alias("error_message"),
+        F.when(F.col("action") == "reject", "A reviewer turned the document down").alias("error_message"),
         F.when(F.col("action").isin("approve", "reject"), "success")
         .when(F.col("action").isNotNull(), "ignored").alias("review_result"))
 
 
-def vendor_of(fields: DataFrame) -> DataFrame:
-    """First vendor-like field value per document."""
-    v = fields.where(F.contains(F.lower("field_name"), F.lit("vendor")) & (F.col("field_value") != ""))
-    return v.groupBy("doc_id").agg(F.min_by("field_value", "field_id").alias("vendor"))
+def vendor_values(fields: DataFrame) -> DataFrame:
+    """Vendor-like field values: doc_id, field_id, vendor."""
+    return fields.where(F.contains(F.lower("field_name"), F.lit("vendor")) & (F.col("field_value") != "")).select(
+        "doc_id", "field_id", F.col("field_value").alias("vendor"))
 
 
 def similar_documents(docs: DataFrame, fields: DataFrame, k: int = 5) -> DataFrame:
-    """For every document the newest ``k`` others of its type and vendor.
+    """For every document the newest ``k`` others of its owner that share its type and its vendor.
 
-    The k + 1 newest of each (type, vendor) group serve all its members, so no pairs are formed
-    inside a group. A document without vendor is compared by type; type ``unknown`` by vendor only.
+    Type ``unknown`` and a missing vendor don't restrict: such a document is compared by the other one alone, or with all of
+    its owner's documents. Its vendor is that of its first vendor-like field; others match by any of theirs. The k + 1 newest
+    of each (owner, type, vendor), (owner, type), (owner, vendor) and (owner) serve all documents, so no pairs are formed inside a group.
     """
-    d = docs.select("doc_id", "type", "created_at").join(vendor_of(fields), "doc_id", "left").select(
-        "doc_id", "created_at",
-        F.when(F.col("type") != "unknown", F.col("type")).otherwise("").alias("t"),
-        F.coalesce("vendor", F.lit("")).alias("v"))
+    d = docs.select("doc_id", "user_id", "created_at", F.when(F.col("type") != "unknown", F.col("type")).alias("t"), F.col("type").alias("any_type"))
+    values = vendor_values(fields)
+    first = values.groupBy("doc_id").agg(F.min_by("vendor", "field_id").alias("v"))
+    asking = d.join(first, "doc_id", "left")
+    vendors = d.join(values.select("doc_id", "vendor").distinct(), "doc_id")
+    none = F.lit(None).cast("string")
+    groups = [vendors.select("doc_id", "user_id", "created_at", F.col("any_type").alias("t"), F.col("vendor").alias("v")),
+              d.select("doc_id", "user_id", "created_at", F.col("any_type").alias("t"), none.alias("v")),
+              vendors.select("doc_id", "user_id", "created_at", none.alias("t"), F.col("vendor").alias("v")),
+              d.select("doc_id", "user_id", "created_at", none.alias("t"), none.alias("v"))]
+    members = groups[0].union(groups[1]).union(groups[2]).union(groups[3])
     order = [F.col("created_at").desc(), F.col("doc_id").desc()]
-    newest = top_per_key(d, ["t", "v"], order, k + 1, "turn").groupBy("t", "v").agg(
+    newest = top_per_key(members, ["user_id", "t", "v"], order, k + 1, "turn").groupBy("user_id", "t", "v").agg(
         F.sort_array(F.collect_list(F.struct("turn", "doc_id"))).alias("top"))
+    newest = newest.select(F.col("user_id").alias("_u"), F.col("t").alias("_t"), F.col("v").alias("_v"), "top")
+    same = F.col("user_id").eqNullSafe(F.col("_u")) & F.col("t").eqNullSafe(F.col("_t")) & F.col("v").eqNullSafe(F.col("_v"))
     others = F.slice(F.filter("top", lambda x: x["doc_id"] != F.col("doc_id")), 1, k)
-    return d.join(newest, ["t", "v"]).select(
-        "doc_id", F.posexplode(others).alias("pos", "o")).select(
+    return asking.join(newest, same).select("doc_id", F.posexplode(others).alias("pos", "o")).select(
         "doc_id", (F.col("pos") + 1).alias("rank"), F.col("o.doc_id").alias("similar_id"))

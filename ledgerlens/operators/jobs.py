@@ -12,13 +12,12 @@ ORDER = ["event_time", "event_id"]
 
 def backoff_seconds(attempt: Column, base: int = 5, top: int = 60) -> Column:
     """base * 2^(attempt - 1), at most ``top``."""
-    steps = F.least(attempt - 1, F.lit(20)).cast("int")
-    return F.least(F.lit(top), F.call_function("shiftleft", F.lit(base), steps)).cast("int")
+    return F.least(F.lit(float(top)), F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1)).cast("int")
 
 
 def requeue_seconds(retry_count: Column) -> Column:
-    """Delay of the step queue: 10 * 2^retries."""
-    return F.call_function("shiftleft", F.lit(10), F.least(retry_count, F.lit(20)).cast("int")).cast("int")
+    """Delay of the step queue: 10 * 2^retries; null where that is no 64-bit number any more (60 retries)."""
+    return F.when(retry_count < 60, F.call_function("shiftleft", F.lit(5).cast("long"), (retry_count + 1).cast("int")))
 
 
 def job_timeline(job_events: DataFrame) -> DataFrame:

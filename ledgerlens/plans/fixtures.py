@@ -347,7 +347,8 @@ def with_views(names: list[str], sql: str) -> str:
     body = sql.strip()
     if not ordered:
         return body
-    ctes = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in ordered)
+    # Materialized views under a LIMIT can make the check engine wait for ever.
+    ctes = ",\n".join(f"{n} as not materialized ({VIEWS[n].strip()})" for n in ordered)
     if body.lower().startswith("with recursive "):
         return f"with recursive {ctes},\n{body[len('with recursive '):]}"
     if body.lower().startswith("with "):

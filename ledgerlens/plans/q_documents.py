@@ -59,7 +59,7 @@ select id, action, document_id, cast(created_at as varchar) as created_at from (
   order by created_at desc, id desc limit 100 offset 5)""")
 def audit_log_page(t):
     logs = D.filter_audit_logs(t.audit_logs, False, 8, entity_type="document", created_from="2024-01-05")
-    return D.page_of(logs, D.newest_first("id"), 100, 5, cap=500).select("id", "action", "document_id", "created_at")
+    return D.page_of(logs, D.newest_first("id"), 100, 5).select("id", "action", "document_id", "created_at")
 
 
 @query("X50", views="audit_logs", sql="""
@@ -164,10 +164,10 @@ def document_stats(t):
 
 @query("A2", views="invoice_docs", sql=f"""
 select cast(cast(g.d as date) as varchar) as day, count(doc_id) as documents
-from range(date '{NOW}' - interval 59 day, date '{NOW}' + interval 1 day, interval 1 day) g(d)
+from range(date '{NOW}' - interval 99 day, date '{NOW}' + interval 1 day, interval 1 day) g(d)
 left join invoice_docs on cast(created_at as date) = cast(g.d as date) group by 1""")
 def daily_documents(t):
-    return D.daily_counts(t.invoice_docs, NOW, 60)
+    return D.daily_counts(t.invoice_docs, NOW, 100)
 
 
 @query("A3", views="invoice_docs", sql="""
@@ -189,7 +189,7 @@ def tag_counts(t):
 
 @query("L1", views="invoice_docs", sql="""
 select doc_id, name, cast(created_at as varchar) as created_at, (select count(*) from invoice_docs) as total
-from (select * from invoice_docs order by created_at desc, doc_id desc limit 200 offset 40)""")
+from (select * from invoice_docs order by created_at desc, doc_id desc limit 1000 offset 40)""")
 def document_page(t):
     total = t.invoice_docs.agg(F.count("*"))
     page = D.page_of(t.invoice_docs, D.newest_first(), limit=1000, offset=40)
@@ -273,7 +273,7 @@ def category_delete(t):
 
 @query("J21", views="invoice_docs", sql="""
 select d.doc_id, case when l.toxic = 1 then 'error' when l.quality = 1 then 'completed' else d.status end as status,
-  case when l.toxic = 1 then 'Rejected during manual review' end as error_message,
+  case when l.toxic = 1 then 'A reviewer turned the document down' end as error_message,
   case when l.toxic = 1 or l.quality = 1 then 'success' when l.doc_id is not null then 'ignored' end as review_result
 from invoice_docs d left join labels l on l.doc_id = d.doc_id""")
 def review_actions(t):
@@ -282,10 +282,13 @@ def review_actions(t):
     return out.select("doc_id", "status", "error_message", "review_result")
 
 
-@query("J13 W11", views="invoice_docs", sql="""
-with g as (select doc_id, type, vendor_name, created_at, row_number() over (partition by type, vendor_name order by created_at desc, doc_id desc) as turn from invoice_docs),
-p as (select a.doc_id, b.doc_id as similar_id, row_number() over (partition by a.doc_id order by b.turn) as rank
-  from g a join g b on a.type = b.type and a.vendor_name = b.vendor_name and a.doc_id <> b.doc_id and b.turn <= 6)
+@query("J13 W11", views="invoice_docs extracted_fields", sql="""
+with d as (select doc_id, user_id, created_at, case when doc_id % 7 = 0 then 'unknown' else type end as type from invoice_docs),
+f as (select doc_id, field_id, field_value from extracted_fields where field_name ilike '%vendor%' and field_value <> '' and doc_id % 5 <> 0),
+own as (select d.*, (select arg_min(field_value, field_id) from f where f.doc_id = d.doc_id) as vendor from d),
+p as (select a.doc_id, b.doc_id as similar_id, row_number() over (partition by a.doc_id order by b.created_at desc, b.doc_id desc) as rank
+  from own a join own b on a.user_id = b.user_id and a.doc_id <> b.doc_id and (a.type = 'unknown' or a.type = b.type) and (a.vendor is null or a.vendor = b.vendor))
 select doc_id, rank, similar_id from p where rank <= 5""")
 def similar_documents(t):
-    return D.similar_documents(t.invoice_docs, t.extracted_fields, 5)
+    docs = t.invoice_docs.withColumn("type", F.when(F.col("doc_id") % 7 == 0, "unknown").otherwise(F.col("type")))
+    return D.similar_documents(docs, t.extracted_fields.where("doc_id % 5 <> 0 or not contains(lower(field_name), 'vendor')"), 5)

@@ -105,31 +105,44 @@ def effective_values(t):
     return C.effective_values(t.extracted_fields, t.field_corrections)
 
 
-REQUESTS = """, r as (select event_id as request_id, event_id as doc_id,
-  case event_id % 4 when 0 then 'total_amount' when 1 then 'vat' when 2 then 'vendor_name' else 'tax_id' end as field_name,
+REQUESTS = """, r as (select event_id as request_id, event_id - event_id % 4 as doc_id,
+  case event_id // 4 % 4 when 0 then 'total_amount' when 1 then 'vat' when 2 then 'vendor_name' else 'tax_id' end as field_name,
   case when event_id % 9 <> 0 then concat('v', cast(event_id as varchar)) end as corrected_value,
-  cast((event_id % 41 - 20) * 0.01 as decimal(5,4)) as adj from events)"""
+  cast((event_id * 7 % 41 - 20) * 0.03 as decimal(5,4)) as adj from events)"""
 
 
 def batch(t):
     e = F.col("event_id")
-    name = F.when(e % 4 == 0, "total_amount").when(e % 4 == 1, "vat").when(e % 4 == 2, "vendor_name").otherwise("tax_id")
+    turn = F.floor(e / 4) % 4
+    name = F.when(turn == 0, "total_amount").when(turn == 1, "vat").when(turn == 2, "vendor_name").otherwise("tax_id")
     requests = t.events.select(
-        e.alias("request_id"), e.alias("doc_id"), name.alias("field_name"),
+        e.alias("request_id"), (e - e % 4).alias("doc_id"), name.alias("field_name"),
         F.when(e % 9 != 0, F.concat(F.lit("v"), e.cast("string"))).alias("corrected_value"),
-        ((e % 41 - 20) * F.expr("0.01")).cast("decimal(5,4)").alias("confidence_adjustment"))
-    return C.apply_batch(t.extracted_fields, requests)
+        ((e * 7 % 41 - 20) * F.expr("0.03")).cast("decimal(5,4)").alias("confidence_adjustment"))
+    return C.apply_batch(t.extracted_fields, requests, block=3)
 
 
 @query("J19 X46", views="extracted_fields", sql="with x as (select 1)" + REQUESTS + """
-select f.field_id, case when r.request_id is null then f.field_value else r.corrected_value end as field_value,
-  cast(case when r.request_id is null or adj = 0 then f.confidence else greatest(0, least(1, f.confidence + adj)) end as double) as confidence,
-  f.is_edited or r.request_id is not null as is_edited
-from extracted_fields f left join r on r.doc_id = f.doc_id and r.field_name = f.field_name""")
+, g as (select doc_id, field_name, arg_max(row(corrected_value), request_id) as w, list(adj order by request_id) as adjs from r group by all)
+select f.field_id, case when g.w is null then f.field_value else g.w[1] end as field_value,
+  cast(case when g.w is null then f.confidence else list_reduce(list_prepend(cast(f.confidence as decimal(18,4)), list_transform(g.adjs, lambda x: cast(x as decimal(18,4)))),
+    lambda a, x: case when x = 0 then a else greatest(cast(0 as decimal(18,4)), least(cast(1 as decimal(18,4)), cast(a + x as decimal(18,4)))) end) end as double) as confidence,
+  f.is_edited or g.w is not null as is_edited
+from extracted_fields f left join g on g.doc_id = f.doc_id and g.field_name = f.field_name""")
 def batch_corrections(t):
     return batch(t)[0].select("field_id", "field_value", "confidence", "is_edited")
 
 
+@query("J19 X46", views="extracted_fields", sql="with x as (select 1)" + REQUESTS + """
+, k as (select r.*, f.field_id, f.field_value, row_number() over w as turn, lag(r.corrected_value) over w as before
+  from r join extracted_fields f on r.doc_id = f.doc_id and r.field_name = f.field_name window w as (partition by f.field_id order by request_id)),
+o as (select request_id, field_id, corrected_value, case when turn = 1 then field_value else before end as original_value from k)
+select *, case when original_value is null and corrected_value is not null then 'value_added' when original_value is not null and corrected_value is null then 'value_cleared'
+  else 'value_change' end as correction_type from o""")
+def batch_correction_records(t):
+    return batch(t)[1].select("request_id", "field_id", "corrected_value", "original_value", "correction_type")
+
+
 @query("J19", views="extracted_fields", sql="with x as (select 1)" + REQUESTS + """
 select request_id, doc_id, field_name, concat('Field ''', field_name, ''' not found') as message from r
 where not exists (select 1 from extracted_fields f where f.doc_id = r.doc_id and f.field_name = r.field_name)""")

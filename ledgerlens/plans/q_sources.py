@@ -183,7 +183,7 @@ def export_issues(t):
 
 
 @query("S10", views="extracted_fields item_fields", sql=f"""with {MAPPED},
-i as (select distinct doc_id, cast(regexp_extract(field_name, '_([0-9]+)_', 1) as int) as n from item_fields),
+i as (select distinct doc_id, cast(regexp_extract(field_name, '_([0-9]+)_', 1) as int) as n from item_fields where not regexp_matches(field_name, '_0')),
 k as (select doc_id, n from (select *, row_number() over (partition by doc_id order by n) as rn from i) where n = rn)
 select m.doc_id, 'AP_INVOICE' as document_type, json_object('DocNo', DocNo, 'Total', Total)::varchar as header, 0 as part,
   coalesce((select string_agg(concat(cast(k.n as varchar), ':', f.field_value), ',' order by k.n) from k join item_fields f on f.doc_id = k.doc_id and f.field_name = concat('item_', cast(k.n as varchar), '_quantity') where k.doc_id = m.doc_id), '') as items from m""")
@@ -199,14 +199,6 @@ def erp_flat_frame(t):
     return X.erp_flat(mapped(t), ["Vendor", "DocNo"])
 
 
-@query("H5", views="extracted_fields", sql="""
-select doc_id, p.provider, 'success' as status, concat(upper(p.provider), '_', coalesce(max(case when field_name = 'invoice_number' and not is_corrected then field_value end), 'unknown')) as external_id
-from extracted_fields cross join (values ('sap'), ('xero')) p(provider) where field_name in ('invoice_number', 'vendor_name') group by doc_id, p.provider""")
-def adapter_receipts(t):
-    wide = wide_fields(t.extracted_fields.where(~F.col("is_corrected")), ["invoice_number", "vendor_name"])
-    return X.adapter_receipts(wide, "sap").unionByName(X.adapter_receipts(wide, "xero"))
-
-
 # Job history
 
 TIMELINE = """with tl as (select *, lead(event_time) over w as nxt, count(*) filter (where status = 'error') over (partition by job_id order by event_time, event_id rows unbounded preceding) as failures
@@ -230,10 +222,10 @@ def job_retries(t):
     return J.retries(J.job_timeline(t.job_events)).withColumn("delay_seconds", F.coalesce("delay_seconds", F.lit(0)))
 
 
-@query("W10", views="job_events", sql=TIMELINE + " select event_id, 10 * (1 << failures::int) as delay from tl where status = 'error' and failures <= 3")
+@query("W10", views="job_events", sql=TIMELINE + " select event_id, 10 * (cast(1 as bigint) << (failures * 9)::int) as delay from tl where status = 'error'")
 def requeue_delays(t):
-    tl = J.job_timeline(t.job_events)
-    return tl.where((F.col("status") == "error") & (F.col("failures") <= 3)).select("event_id", J.requeue_seconds(F.col("failures")).alias("delay"))
+    tl = J.job_timeline(t.job_events).where("status = 'error'")
+    return tl.select("event_id", J.requeue_seconds(F.col("failures") * 9).alias("delay"))
 
 
 @query("T3", views="job_events", sql=TIMELINE + " select job_id, event_id from tl where status = 'running' and (nxt is null or epoch_us(nxt) - epoch_us(event_time) > 300000000)")

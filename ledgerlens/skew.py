@@ -26,7 +26,8 @@ def bucketed_window(
 ) -> DataFrame:
     """Add lag (``previous``), lead (``following``) and running-sum columns along ``order``.
 
-    ``bucket`` must not decrease along ``order``. Keys must not be null.
+    ``bucket`` must not decrease along ``order``. Null keys form a key of their own; nulls of the order columns and a null bucket
+    come first.
     """
     previous, following, running = previous or {}, following or {}, running or {}
     cut = df.withColumn(BUCKET, bucket)
@@ -56,7 +57,10 @@ def bucketed_window(
         *[F.lead(F.struct(c.alias("v"))).over(inside).alias(f"__lead_{n}") for n, c in following.items()],
         *[F.sum(c).over(upto).alias(f"__run_{n}") for n, c in running.items()],
     )
-    joined = local.join(summary, part)
+    # Null-safe: a row without a key or an order value keeps its place.
+    there = summary.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(part)], *[c for c in summary.columns if c not in part])
+    same = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(part)]
+    joined = local.join(there, same)
     return joined.select(
         *df.columns,
         *[F.coalesce(f"__lag_{n}", f"__prev_{n}").getField("v").alias(n) for n in previous],

@@ -100,14 +100,14 @@ def write_records(records: DataFrame, path: str, file_format: str = "jsonl") ->
 
 def contiguous_items(items: DataFrame) -> DataFrame:
     """Line items (doc_id, n, ...) from 1 up to the first gap in n."""
-    ns = items.select("doc_id", "n").distinct()
+    ns = items.where("n >= 1").select("doc_id", "n").distinct()
     ok = rank_in_key(ns, ["doc_id"], ["n"], F.floor(F.col("n") / 1000), "rn").where(F.col("rn") == F.col("n")).select("doc_id", "n")
     return items.join(ok, ["doc_id", "n"], "left_semi")
 
 
 def item_columns(fields: DataFrame, prefix: str, columns: Sequence[str]) -> DataFrame:
-    """Fields named PREFIX<n>_<column> as rows (doc_id, n, columns)."""
-    pattern = rf"^{prefix}(\d+)_(.+)$"
+    """Fields named PREFIX<n>_<column> as rows (doc_id, n, columns); a number with a leading zero is none."""
+    pattern = rf"^{prefix}(0|[1-9]\d*)_(.+)$"
     f = fields.select("doc_id", "field_id", "field_value", F.regexp_extract("field_name", pattern, 1).try_cast("int").alias("n"),
                       F.regexp_extract("field_name", pattern, 2).alias("c")).where(F.col("n").isNotNull() & F.col("c").isin(list(columns)))
     return f.groupBy("doc_id", "n").agg(*[
@@ -133,13 +133,6 @@ def erp_flat(mapped: DataFrame, header: Sequence[str]) -> DataFrame:
     return csv_frame(mapped.select("doc_id", *first, *[c for c in mapped.columns if c not in (*first, "doc_id")]))
 
 
-ADAPTERS = {"sap": "SAP_", "xero": "XERO_"}
-
-
-def adapter_receipts(wide: DataFrame, system: str, number: str = "invoice_number") -> DataFrame:
-    """Receipt id an export adapter gives back per document."""
-    return wide.select("doc_id", F.lit(system).alias("provider"), F.lit("success").alias("status"), F.concat(
-        F.lit(ADAPTERS[system]), F.coalesce(number, F.lit("unknown"))).alias("external_id"))
 
 
 def validate_export(docs: DataFrame, fields: DataFrame, rules: Sequence[MappingRule]) -> tuple[DataFrame, DataFrame]:

@@ -86,6 +86,7 @@ def test_rule_without_equals_is_refused(spark):
 
 def test_similar_documents_with_a_hot_group(spark):
     d, f, docs, values = docs_and_fields(spark, 150, 10)
+    d = d.withColumn("user_id", F.lit(1))
     vendor = f.where("field_name = 'number'").withColumn("field_name", F.lit("Vendor_Name"))
     got = {}
     for r in D.similar_documents(d, vendor, 3).collect():
