@@ -58,14 +58,18 @@ def date_text(text: Column | str) -> Column:
     return F.trim(month_numbers(arabic_digits(text)))
 
 
-def parse_clean_date(t: Column) -> Column:
-    """struct<value: date, confidence, format> of cleaned text; null where no format gives a real date."""
+def date_parts(t: Column) -> list[Column]:
+    """The number groups of the first match of each format in cleaned text. Project them before ``date_of_parts``: it reads them often."""
+    return [F.split(F.regexp_extract(t, pattern, 0), SEP) for _, pattern, _, _ in DATE_FORMATS]
+
+
+def date_of_parts(parts: list[Column]) -> Column:
+    """struct<value: date, confidence, format>; null where no format gives a real date."""
     tries = []
-    for name, pattern, (y, m, d), conf in DATE_FORMATS:
-        parts = F.split(F.regexp_extract(t, pattern, 0), SEP)
+    for (name, _, (y, m, d), conf), groups in zip(DATE_FORMATS, parts, strict=True):
 
-        def part(g, parts=parts):
-            return F.get(parts, g - 1).try_cast("int")
+        def part(g, groups=groups):
+            return F.get(groups, g - 1).try_cast("int")
 
         year = part(y) + 2000 if name == "DD/MM/YY" else part(y)
         iso = F.concat(
@@ -76,6 +80,11 @@ def parse_clean_date(t: Column) -> Column:
     return F.coalesce(*found)
 
 
+def parse_clean_date(t: Column) -> Column:
+    """struct<value: date, confidence, format> of cleaned text; null where no format gives a real date."""
+    return date_of_parts(date_parts(t))
+
+
 def parse_date(text: Column | str) -> Column:
     return parse_clean_date(date_text(text))
 
@@ -127,9 +136,9 @@ def digits_only(text: Column | str) -> Column:
     return F.regexp_replace(col(text), r"[^0-9]", "")
 
 
-def tax_id_problem(text: Column | str, weights: int = 12) -> Column:
-    """Null for a valid 13-digit id (weights 13, 12, ... and modulo 11), else what is wrong."""
-    d = digits_only(text)
+def tax_id_problem(text: Column | str, weights: int = 12, digits: Column | None = None) -> Column:
+    """Null for a valid 13-digit id (weights 13, 12, ... and modulo 11), else what is wrong. ``digits``: those of the text, projected before."""
+    d = digits_only(text) if digits is None else digits
     total = F.aggregate(
         F.sequence(F.lit(1), F.lit(weights)), F.lit(0),
         lambda acc, i: acc + F.substr(d, i, F.lit(1)).try_cast("int") * (F.lit(14) - i))
@@ -142,9 +151,9 @@ def tax_id_problem(text: Column | str, weights: int = 12) -> Column:
     )
 
 
-def integer_text(text: Column | str) -> Column:
+def integer_text(text: Column | str, digits: Column | None = None) -> Column:
     """Digits without leading zeros; null when there is no digit."""
-    d = digits_only(text)
+    d = digits_only(text) if digits is None else digits
     return F.when(d != "", F.regexp_replace(d, r"^0+(?=\d)", ""))
 
 
@@ -194,17 +203,14 @@ def field_type(name: Column | str, default: str = "text") -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), col(name)), F.lit(default))
 
 
-def check_field(value: Column, kind: Column, day: Column, amount: Column, today: Column, weights: int = 12) -> Column:
+def check_field(value: Column, kind: Column, day: Column, amount: Column, digits: Column, whole: Column, day_issue: Column, tax_issue: Column) -> Column:
     """struct<normalized_value, is_valid, error_message, adjustment>; every invalid value needs review.
 
-    ``day`` and ``amount`` are the parsed forms (``parse_date``, ``parse_amount``), projected before, so
+    The other columns are what the value is as a date, an amount, digits and an integer, and what is wrong with it as a date and a
+    tax id (``parse_date``, ``parse_amount``, ``digits_only``, ``integer_text``, ``date_problem``, ``tax_id_problem``), projected before, so
     that each text is parsed once.
     """
     v, k = value, kind
-    whole = integer_text(v)
-    digits = digits_only(v)
-    day_issue = date_problem(day["value"], today)
-    tax_issue = tax_id_problem(v, weights)
 
     def result(norm, error, adjustment):
         return F.struct(

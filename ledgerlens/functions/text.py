@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -43,9 +44,7 @@ def tokens(text: Column | str) -> Column:
 
 
 def query_words(phrase: str) -> list[str]:
-    import regex
-
-    return list(dict.fromkeys(regex.findall(WORD, phrase.lower())))
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", phrase.lower())))  # letters and numbers, as in WORD
 
 
 def words_match(toks: Column, words: Sequence[str]) -> Column:

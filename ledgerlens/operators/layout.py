@@ -303,42 +303,12 @@ def neighbour_counts(boxes: DataFrame, distance: float = NEAR) -> DataFrame:
         "page_id", F.col("id").alias("box_id"), "neighbours")
 
 
-def cluster_boxes(boxes: DataFrame, distance: float = NEAR, page_limit: int = 1000) -> DataFrame:
+def cluster_boxes(boxes: DataFrame, distance: float = NEAR) -> DataFrame:
     """Ordered clustering: a box joins the earliest cluster that holds an earlier near box, else starts one.
 
-    Pages up to ``page_limit`` boxes are folded as one array each; larger ones go through the distributed
-    form with the same result, so no page has to fit into one task.
-    """
-    sizes = boxes.groupBy("page_id").agg(F.count("*").alias("n"))
-    big = sizes.where(F.col("n") > page_limit).select("page_id")
-    small = boxes.join(sizes.where(F.col("n") <= page_limit).select("page_id"), "page_id", "left_semi")
-    out = _cluster_small(small, distance)
-    if big.isEmpty():
-        return out
-    return out.unionByName(_cluster_large(boxes.join(big, "page_id", "left_semi"), distance))
-
-
-def _cluster_small(boxes: DataFrame, distance: float) -> DataFrame:
-    names = ["box_id", "x_min", "y_min", "x_max", "y_max"]
-    pages = boxes.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("b"))
-    start = F.array().cast("array<struct<" + ",".join(f"{n}:{'bigint' if n == 'box_id' else 'double'}" for n in names) + ",label:bigint>>")
-
-    def near(a, b):
-        return (axis_gap(a["x_min"], a["x_max"], b["x_min"], b["x_max"]) < distance) & (
-            axis_gap(a["y_min"], a["y_max"], b["y_min"], b["y_max"]) < distance)
-
-    def place(done, b):
-        first = F.array_min(F.transform(F.filter(done, lambda a: near(a, b)), lambda a: a["label"]))
-        return F.array_append(done, F.struct(*[b[n].alias(n) for n in names], F.coalesce(first, b["box_id"]).alias("label")))
-
-    return pages.select("page_id", F.inline(F.transform(
-        F.aggregate("b", start, place), lambda x: F.struct(x["box_id"].alias("box_id"), x["label"].alias("cluster_id")))))
-
-
-def _cluster_large(boxes: DataFrame, distance: float) -> DataFrame:
-    """label(b) = least label among earlier near boxes, else b: repeated until nothing changes.
-
-    Each round also jumps to the label's own label, which is reachable over earlier boxes as well.
+    label(b) = least label among earlier near boxes, else b: repeated for all pages at once until nothing changes. Each round
+    also jumps to the label's own label, which is reachable over earlier boxes as well, so rounds grow with the logarithm
+    of a chain. No page has to fit into one task.
     """
     edges = cut_lineage(near_pairs(boxes, distance).select("page_id", "a", "b"))
     labels = cut_lineage(boxes.select("page_id", "box_id", F.col("box_id").alias("label")))
@@ -349,7 +319,7 @@ def _cluster_large(boxes: DataFrame, distance: float) -> DataFrame:
         step = labels.join(seen, ["page_id", "box_id"], "left").join(jump, ["page_id", "label"])
         new = F.least("label", F.coalesce("seen", "label"), "jumped")
         step = cut_lineage(step.select("page_id", "box_id", new.alias("new"), "label"))
-        changed = not step.where(F.col("new") < F.col("label")).isEmpty()
+        changed = step.agg(F.bool_or(F.col("new") < F.col("label"))).first()[0]
         labels = step.select("page_id", "box_id", F.col("new").alias("label"))
         if not changed:
             return labels.withColumnRenamed("label", "cluster_id")

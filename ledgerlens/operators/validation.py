@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.normalize import (
-    AMOUNT, FIELD_TYPES, SCORE, amount_errors, amount_text, check_field, clean_amount, date_text, field_type, parse_amount,
-    parse_clean_amount, parse_clean_date, resolve_mismatch,
+    AMOUNT, FIELD_TYPES, SCORE, amount_errors, amount_text, check_field, clean_amount, date_of_parts, date_parts, date_problem, date_text,
+    digits_only, field_type, integer_text, parse_amount, parse_clean_amount, resolve_mismatch, tax_id_problem,
 )
 
 AMOUNT_NAMES = ["subtotal", "vat", "total_amount"]
@@ -25,11 +25,17 @@ def wide_fields(fields: DataFrame, names: Sequence[str]) -> DataFrame:
 def check_values(values: DataFrame, today: str, weights: int = 12) -> DataFrame:
     """Check of ``field_value`` as ``kind`` (date, currency, tax_id, integer, text); adds the result columns."""
     v, k = F.col("field_value"), F.col("kind")
-    clean = values.withColumns({
-        "__d": F.when(k == "date", date_text(v)), "__a": F.when(k == "currency", clean_amount(v))})
-    parsed = clean.withColumns({"__day": parse_clean_date(F.col("__d")), "__amount": parse_clean_amount(F.col("__a"))})
-    result = check_field(v, k, F.col("__day"), F.col("__amount"), F.lit(today).cast("date"), weights)
-    return parsed.withColumn("__r", result).select(*values.columns, "__r.*")
+    number = k.isin("tax_id", "integer")
+    step = values.withColumns({
+        "__d": F.when(k == "date", date_text(v)), "__a": F.when(k == "currency", clean_amount(v)), "__digits": F.when(number, digits_only(v))})
+    parts = {f"__p{i}": F.when(k == "date", p) for i, p in enumerate(date_parts(F.col("__d")))}
+    step = step.withColumns({**parts, "__amount": parse_clean_amount(F.col("__a")), "__whole": integer_text(v, F.col("__digits"))})
+    step = step.withColumn("__day", date_of_parts([F.col(p) for p in parts]))
+    step = step.withColumns({
+        "__day_issue": date_problem(F.col("__day.value"), F.lit(today).cast("date")),
+        "__tax_issue": F.when(k == "tax_id", tax_id_problem(v, weights, F.col("__digits")))})
+    result = check_field(v, k, *[F.col(f"__{n}") for n in ("day", "amount", "digits", "whole", "day_issue", "tax_issue")])
+    return step.withColumn("__r", result).select(*values.columns, "__r.*")
 
 
 def checked_fields(fields: DataFrame, today: str, known_only: bool = True) -> DataFrame:

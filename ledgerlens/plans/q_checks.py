@@ -343,14 +343,14 @@ def document_routing(t):
 @query("X41 L6", views="extracted_fields item_fields", sql=f"""with {routed_sql('strict')}
 select action, count(*) as documents from (
   select unnest(list_filter([
-    case when routing_status = 'approved' then 'Document automatically approved - proceed to processing' end,
-    case when routing_status = 'review_required' then 'Flag document for human review' end,
-    case when routing_status = 'review_required' and header_status = 'review_required' then 'Review header fields with low confidence' end,
-    case when routing_status = 'review_required' and review_rows > 0 then 'Review table rows with low confidence' end,
-    case when routing_status = 'review_required' and low_fields > 0 then concat('Focus review on fields: ', focus_fields) end,
-    case when routing_status = 'rejected' then 'Return document for reprocessing or manual data entry' end,
-    case when routing_status = 'rejected' then 'Low confidence threshold failed - re-extract or manually correct' end,
-    'Check and correct any identified errors in extracted data'], lambda x: x is not null)) as action from routed) group by action""")
+    case when routing_status = 'approved' then 'Approved: pass the document on' end,
+    case when routing_status = 'review_required' then 'Hand the document to a reviewer' end,
+    case when routing_status = 'review_required' and header_status = 'review_required' then 'Look at uncertain header fields' end,
+    case when routing_status = 'review_required' and review_rows > 0 then 'Look at uncertain table rows' end,
+    case when routing_status = 'review_required' and low_fields > 0 then concat('Start with these fields: ', focus_fields) end,
+    case when routing_status = 'rejected' then 'Rejected: read the document again or key it in' end,
+    case when routing_status = 'rejected' then 'Confidence is below the lowest threshold: extract again or correct by hand' end,
+    'Correct the errors that were found'], lambda x: x is not null)) as action from routed) group by action""")
 def recommended_actions(t):
     routed = R.route_documents(t.invoice_docs, t.extracted_fields, item_cells(t), "strict")
     return R.recommended_actions(routed, "strict").groupBy("action").agg(F.count("*").alias("documents"))

@@ -274,8 +274,8 @@ QUERY = "(select embedding::double[] from embeddings order by vec_id limit 1)"
 with s as (select vec_id, list_cosine_similarity(embedding::double[], {QUERY}) as score from embeddings)
 select vec_id, cast(round(score * 1000000) as bigint) as micro_score from s where score is not null order by score desc, vec_id limit 10""")
 def semantic_search(t):
-    query = t.embeddings.agg(F.min_by("embedding", "vec_id")).first()[0]
-    r = S.semantic_search(t.embeddings, F.array(*[F.lit(x) for x in query]), 10)
+    query = t.embeddings.agg(F.min_by("embedding", "vec_id")).scalar()
+    r = S.semantic_search(t.embeddings.withColumn("wanted", query), F.col("wanted"), 10)
     return r.select("vec_id", F.round(F.col("score") * 1000000).cast("long").alias("micro_score"))
 
 

@@ -119,8 +119,7 @@ def test_near_pairs(spark):
     assert got == {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and is_near(a, b)}
 
 
-@pytest.mark.parametrize("page_limit", [1000, 10])
-def test_clusters_small_and_distributed_form(spark, page_limit):
+def test_clusters_small_and_distributed_form(spark):
     rows = random_boxes(90, 7)
     want = {}
     for p in {r[0] for r in rows}:
@@ -136,7 +135,7 @@ def test_clusters_small_and_distributed_form(spark, page_limit):
                     cluster.append(page[j])
                     used.add(j)
             want.update({c[1]: seed[1] for c in cluster})
-    got = {r["box_id"]: r["cluster_id"] for r in L.cluster_boxes(spark.createDataFrame(rows, BOX), page_limit=page_limit).collect()}
+    got = {r["box_id"]: r["cluster_id"] for r in L.cluster_boxes(spark.createDataFrame(rows, BOX)).collect()}
     assert got == want
 
 
