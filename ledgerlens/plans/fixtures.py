@@ -86,6 +86,11 @@ class Tables:
         )
         return self.invoice_docs.select("doc_id", "created_at", F.inline(slots))
 
+    @cached_property
+    def sparse_fields(self) -> DataFrame:
+        """The extracted fields as an extraction leaves them that did not find all: gaps where the full table has corrections."""
+        return self.extracted_fields.where(~F.col("is_corrected"))
+
     @cached_property
     def field_corrections(self) -> DataFrame:
         e = F.col("event_id")
@@ -271,6 +276,7 @@ select doc_id, created_at, doc_id * 10 + s.n as field_id, s.n % 2 + 1 as page_nu
   case s.n when 1 then doc_id % 11 = 0 when 2 then doc_id % 7 = 0 when 3 then doc_id % 5 = 0 when 4 then doc_id % 3 = 0 else false end as is_corrected,
   doc_id % 6 = s.n as is_edited
 from invoice_docs cross join (values (1), (2), (3), (4), (5)) s(n)""",
+    "sparse_fields": "select * from extracted_fields where not is_corrected",
     "field_corrections": """
 select event_id as correction_id, f.field_id, e.user_id, e.ts as corrected_at, f.field_value as original_value,
   case when e.event_id % 13 = 0 then null else concat(f.field_value, '*') end as corrected_value,
@@ -328,7 +334,7 @@ select c_custkey as user_id, concat(c_name, '@example.org') as email from custom
 
 NEEDS = {
     "extracted_fields": ["invoice_docs"], "doc_lines": ["invoice_docs"], "match_links": ["invoice_docs"],
-    "field_corrections": ["extracted_fields"],
+    "field_corrections": ["extracted_fields"], "sparse_fields": ["extracted_fields"],
 }
 
 

@@ -145,14 +145,14 @@ def amount_relations(t):
 select doc_id, target as field_name, 'logical_inconsistency' as issue_type, 'high' as severity, {GUESS} as suggested_fix from r where mismatch
 union all select d.doc_id, 'invoice_number', 'missing_logic', 'medium', null from invoice_docs d where d.type = 'invoice' and d.doc_id % 11 = 0""")
 def audit_issues(t):
-    fields = t.extracted_fields.where((F.col("field_name") != "invoice_number") | ~F.col("is_corrected"))
-    return V.audit_issues(t.invoice_docs, fields)
+    gaps = t.sparse_fields.where("field_name = 'invoice_number'").unionByName(t.extracted_fields.where("field_name <> 'invoice_number'"))
+    return V.audit_issues(t.invoice_docs, gaps)
 
 
 @query("P14", views="extracted_fields", sql="""
 select d.doc_id, d.type, case d.type when 'invoice' then d.doc_id % 11 <> 0 and d.doc_id % 3 <> 0 when 'receipt' then d.doc_id % 3 <> 0 else true end as is_complete from invoice_docs d""")
 def mandatory_fields(t):
-    return V.mandatory_check(t.invoice_docs, t.extracted_fields.where(~F.col("is_corrected")))
+    return V.mandatory_check(t.invoice_docs, t.sparse_fields)
 
 
 @query("P15", views="invoice_docs", sql="""
@@ -362,3 +362,11 @@ select count(*) as total, count(*) filter (where routing_status = 'approved') as
   count(*) filter (where routing_status = 'review_required') / count(*) as review_rate, count(*) filter (where routing_status = 'rejected') / count(*) as rejection_rate from routed""")
 def routing_statistics(t):
     return R.routing_statistics(R.route_documents(t.invoice_docs, t.extracted_fields, item_cells(t), "lenient"))
+
+
+@query("A14", views="extracted_fields", sql="""
+select doc_id, field_name, cast(confidence * 1.25 - 0.1 as double) as confidence from extracted_fields where confidence * 1.25 - 0.1 not between 0 and 1""")
+def out_of_range_scores(t):
+    """Scores outside 0..1, from a scorer that is off scale."""
+    off = (F.col("confidence") * F.expr("1.25") - F.expr("0.1")).cast("decimal(12,6)")
+    return V.bad_scores(t.extracted_fields.withColumn("confidence", off))

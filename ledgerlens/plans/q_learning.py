@@ -34,26 +34,25 @@ def calibrated_threshold(t):
 
 
 SETS = """with s as (select doc_id, string_agg(field_name, ',' order by field_name) as fields from (
-  select distinct doc_id, field_name from extracted_fields where confidence >= 0.3) group by doc_id)"""
+  select distinct doc_id, field_name from sparse_fields) group by doc_id)"""
 
 
-@query("A8", views="extracted_fields", sql=SETS + """
+@query("A8", views="sparse_fields", sql=SETS + """
 select fields, count(*) as evidence_count from s group by fields
 having count(*) >= 3 and fields <> 'invoice_number,vendor_name'""")
 def template_suggestions(t):
-    sure = t.extracted_fields.where(F.col("confidence") >= 0.3)
     known = t.spark.range(1).select(F.array(F.lit("vendor_name"), F.lit("invoice_number")).alias("fields"))
-    return L.template_suggestions(sure, known).select(F.array_join("fields", ",").alias("fields"), "evidence_count")
+    return L.template_suggestions(t.sparse_fields, known).select(F.array_join("fields", ",").alias("fields"), "evidence_count")
 
 
-@query("U5", views="extracted_fields", sql="""
-with s as (select distinct doc_id, field_name from extracted_fields where confidence >= 0.3)
+@query("U5", views="sparse_fields", sql="""
+with s as (select distinct doc_id, field_name from sparse_fields)
 select doc_id, count(*) filter (where field_name in ('invoice_number', 'total_amount', 'tax_id')) as shared,
   3 - count(*) filter (where field_name in ('invoice_number', 'total_amount', 'tax_id')) as missing,
   count(*) filter (where field_name not in ('invoice_number', 'total_amount', 'tax_id')) as extra, false as same_set
 from s group by doc_id""")
 def field_set_overlap(t):
-    return L.field_overlap(t.extracted_fields.where(F.col("confidence") >= 0.3), ["invoice_number", "total_amount", "tax_id"])
+    return L.field_overlap(t.sparse_fields, ["invoice_number", "total_amount", "tax_id"])
 
 
 ENRICHED = """with e as (select c.*, f.doc_id, f.field_name, f.page_number, f.confidence, d.type as document_type,

@@ -158,27 +158,27 @@ def typed_mapping(t):
     return typed.select("doc_id", "DocNo", "DocNo_ok", "Total", "Total_ok", "Vendor", "Currency")
 
 
-@query("P8", views="extracted_fields", sql="""
+@query("P8", views="sparse_fields", sql="""
 select doc_id, max(case when field_name = 'vat' then field_value end) as Vat, coalesce(max(case when field_name = 'total_amount' then field_value end), 'unknown') as Total
-from extracted_fields where not is_corrected group by doc_id""")
+from sparse_fields group by doc_id""")
 def mapping_with_defaults(t):
     rules = [X.MappingRule("vat", "Vat"), X.MappingRule("total_amount", "Total", default="unknown")]
-    return X.map_long(t.extracted_fields.where(~F.col("is_corrected")), rules)
+    return X.map_long(t.sparse_fields, rules)
 
 
-@query("P13", views="extracted_fields", sql="""
-with p as (select doc_id, bool_or(field_name = 'invoice_number') as a, bool_or(field_name = 'total_amount') as b, bool_or(field_name = 'vendor_name') as c from extracted_fields where not is_corrected group by doc_id)
+@query("P13", views="sparse_fields", sql="""
+with p as (select doc_id, bool_or(field_name = 'invoice_number') as a, bool_or(field_name = 'total_amount') as b, bool_or(field_name = 'vendor_name') as c from sparse_fields group by doc_id)
 select doc_id, 5 as field_count_total, a::int + b::int + c::int as field_count_exported, (not a)::int + (not b)::int as errors, (not c)::int + 1 as warnings, a and b as is_valid from p""")
 def export_validation(t):
-    return X.validate_export(t.invoice_docs, t.extracted_fields.where(~F.col("is_corrected")), RULES)[0]
+    return X.validate_export(t.invoice_docs, t.sparse_fields, RULES)[0]
 
 
-@query("P13", views="extracted_fields", sql="""
-with p as (select doc_id, bool_or(field_name = 'invoice_number') as a, bool_or(field_name = 'total_amount') as b, bool_or(field_name = 'vendor_name') as c from extracted_fields where not is_corrected group by doc_id)
+@query("P13", views="sparse_fields", sql="""
+with p as (select doc_id, bool_or(field_name = 'invoice_number') as a, bool_or(field_name = 'total_amount') as b, bool_or(field_name = 'vendor_name') as c from sparse_fields group by doc_id)
 select 'invoice_number' as field_name, 'error' as severity, count(*) as documents from p where not a union all select 'total_amount', 'error', count(*) from p where not b
 union all select 'due_date', 'warning', count(*) from p""")
 def export_issues(t):
-    issues = X.validate_export(t.invoice_docs, t.extracted_fields.where(~F.col("is_corrected")), RULES)[1]
+    issues = X.validate_export(t.invoice_docs, t.sparse_fields, RULES)[1]
     return issues.groupBy("field_name", "severity").agg(F.count("*").alias("documents"))
 
 
@@ -337,8 +337,8 @@ def stream_routing(t):
 
 @query("T9", sql="""
 select event_id, user_id as actor_user_id, 'field.update' as action, 'extracted_field' as entity_type,
-  json_object('before', event_type, 'after', concat(event_type, '*'))::varchar as meta from events where event_type = 'click'""")
+  json_object('before', event_type, 'after', concat(event_type, '*'))::varchar as meta from events""")
 def stream_audit_log(t):
-    changes = read_events(t.spark, t.sf_dir).where(F.col("event_type") == "click")
+    changes = read_events(t.spark, t.sf_dir)
     rows = SJ.audit_rows(changes, F.col("event_type"), F.concat("event_type", F.lit("*")), "field.update", "extracted_field")
     return run_now(rows, "audit").drop("created_at", "batch_id")

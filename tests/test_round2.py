@@ -85,3 +85,29 @@ def test_check_sql_ends_under_a_limit(name):
         con.execute(f"select * from ({QUERIES[name].sql}) limit 2000000").fetchall()
     finally:
         stop.cancel()
+
+
+def test_spans_place_cells_like_a_grid(spark):
+    import random
+
+    from ledgerlens.sources.html_tables import html_cells
+
+    rng = random.Random(3)
+    pages, want = [], set()
+    for page in range(30):
+        free, html = {}, "<table>"
+        for r in range(rng.randint(1, 6)):
+            html, c = html + "<tr>", 0
+            for i in range(rng.randint(0, 5)):
+                down, across = rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 2, 4])
+                while free.get(c, 0) > r:
+                    c += 1
+                want.add((page, r, c, down, across, f"{r}.{i}"))
+                html += f'<td rowspan="{down}" colspan="{across}">{r}.{i}</td>'
+                for k in range(c, c + across):
+                    free[k] = max(free.get(k, 0), r + down)
+                c += across
+            html += "</tr>"
+        pages.append((page, html + "</table>"))
+    got = html_cells(spark.createDataFrame(pages, "page int, html string"), "page").collect()
+    assert {tuple(r) for r in got} == want
