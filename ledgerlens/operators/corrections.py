@@ -35,7 +35,11 @@ def filter_corrections(
     has_feedback: bool | None = None,
     only_critical: bool = False,
     min_sentiment: str | None = None,
+    is_verified: bool | None = None,
 ) -> DataFrame:
+    """Conjunction of the given filters; ``is_verified`` needs a column of that name, null counts as not verified."""
+    if is_verified is not None:
+        enriched = enriched.where(F.coalesce("is_verified", F.lit(False)) == is_verified)
     for column, values in (("field_name", field_names), ("correction_reason", reasons), ("user_id", users), ("doc_id", document_ids)):
         if values:
             enriched = enriched.where(F.col(column).isin(list(values)))
@@ -53,6 +57,18 @@ def filter_corrections(
     return enriched
 
 
+def correction_analytics(enriched: DataFrame, group_by: str = "reason") -> DataFrame:
+    """group, corrections, average confidence and share of critical ones, by reason, user, field or date."""
+    columns = {"reason": "correction_reason", "user": "user_id", "field": "field_name", "date": "corrected_at"}
+    if group_by not in columns:
+        raise ValueError(f"group by one of {', '.join(columns)}, not {group_by}")
+    key = F.col(columns[group_by])
+    key = (F.to_date(key) if group_by == "date" else key).cast("string")
+    return enriched.groupBy(key.alias("group")).agg(
+        F.count("*").alias("corrections"), (F.sum("confidence").cast("double") / F.count("confidence")).alias("avg_confidence"),
+        (F.count_if("is_critical") / F.count("*")).alias("critical_rate"))
+
+
 def latest_corrections(corrections: DataFrame) -> DataFrame:
     """Last correction per field by (time, id)."""
     row = F.struct("correction_id", "user_id", "corrected_at", "corrected_value", "confidence_adjustment", "is_critical")

@@ -244,6 +244,12 @@ def replace_links(links: DataFrame, replacement: DataFrame, owner: str) -> DataF
     return links.join(touched, owner, "left_anti").unionByName(replacement.distinct())
 
 
+def replace_valid_links(links: DataFrame, replacement: DataFrame, owner: str, member: str, known: DataFrame) -> DataFrame:
+    """``replace_links`` for the owners whose new members are all known; a request with an unknown member changes nothing."""
+    refused = replacement.select(owner, member).join(known, member, "left_anti").select(owner).distinct()
+    return replace_links(links, replacement.join(refused, owner, "left_anti"), owner)
+
+
 def delete_with_cascade(doomed: DataFrame, **children: DataFrame) -> dict[str, DataFrame]:
     """Every child table (key ``doc_id``) without the rows of the doomed documents."""
     return {name: child.join(doomed, "doc_id", "left_anti") for name, child in children.items()}
@@ -268,6 +274,21 @@ def apply_review_actions(docs: DataFrame, actions: DataFrame) -> DataFrame:
         .when(F.col("action").isNotNull(), "ignored").alias("review_result"))
 
 
+def apply_review_corrections(fields: DataFrame, actions: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Fields after the corrections (doc_id, field_name, value) that came with an approval: value written, field marked.
+
+    Of several fields of a name the first is corrected; names that a document lacks and corrections without an approval change nothing.
+    """
+    approved = actions.where("action = 'approve'").select("doc_id").distinct()
+    wanted = corrections.join(approved, "doc_id", "left_semi").groupBy("doc_id", "field_name").agg(F.max(F.struct("value")).alias("new"))
+    first = fields.groupBy("doc_id", "field_name").agg(F.min("field_id").alias("field_id"))
+    hit = first.join(wanted, ["doc_id", "field_name"]).select("field_id", "new")
+    return fields.join(hit, "field_id", "left").select(
+        *[c for c in fields.columns if c not in ("field_value", "is_corrected")],
+        F.when(F.col("new").isNotNull(), F.col("new.value")).otherwise(F.col("field_value")).alias("field_value"),
+        (F.col("is_corrected") | F.col("new").isNotNull()).alias("is_corrected"))
+
+
 def vendor_values(fields: DataFrame) -> DataFrame:
     """Vendor-like field values: doc_id, field_id, vendor."""
     return fields.where(F.contains(F.lower("field_name"), F.lit("vendor")) & (F.col("field_value") != "")).select(

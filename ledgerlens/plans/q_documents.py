@@ -292,3 +292,33 @@ select doc_id, rank, similar_id from p where rank <= 5""")
 def similar_documents(t):
     docs = t.invoice_docs.withColumn("type", F.when(F.col("doc_id") % 7 == 0, "unknown").otherwise(F.col("type")))
     return D.similar_documents(docs, t.extracted_fields.where("doc_id % 5 <> 0 or not contains(lower(field_name), 'vendor')"), 5)
+
+
+@query("U3", views="invoice_docs match_links", sql="""
+with r as (select distinct doc_id - doc_id % 8 as set_id, doc_id + case when doc_id % 24 = 1 then 90000000 else 0 end as document_id from invoice_docs where type = 'receipt'),
+ok as (select * from r where set_id not in (select set_id from r where document_id not in (select doc_id from invoice_docs)))
+select set_id, document_id from match_links where set_id not in (select set_id from ok) union all select set_id, document_id from ok""")
+def checked_link_replacement(t):
+    """Requests for sets with an unknown document are refused as a whole."""
+    d = F.col("doc_id")
+    wrong = F.when(d % 24 == 1, 90000000).otherwise(0)
+    new = t.invoice_docs.where(F.col("type") == "receipt").select((d - d % 8).alias("set_id"), (d + wrong).alias("document_id"))
+    known = t.invoice_docs.select(d.alias("document_id"))
+    return D.replace_valid_links(t.match_links, new, "set_id", "document_id", known)
+
+
+@query("J21", views="extracted_fields", sql="""
+with a as (select doc_id, case when toxic = 1 then 'reject' when quality = 1 then 'approve' else 'hold' end as action from labels),
+c as (select event_id as doc_id, case event_id % 3 when 0 then 'vat' when 1 then 'total_amount' else 'no such field' end as field_name,
+  case when event_id % 5 <> 0 then concat('c', cast(event_id as varchar)) end as value from events)
+select f.field_id, case when c.doc_id is null or a.doc_id is null then f.field_value else c.value end as field_value, f.is_corrected or (c.doc_id is not null and a.doc_id is not null) as is_corrected
+from extracted_fields f left join c on c.doc_id = f.doc_id and c.field_name = f.field_name left join a on a.doc_id = f.doc_id and a.action = 'approve'""")
+def review_corrections(t):
+    """Field values that came with an approval."""
+    act = F.when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "approve").otherwise("hold")
+    e = F.col("event_id")
+    given = t.events.select(
+        e.alias("doc_id"), F.when(e % 3 == 0, "vat").when(e % 3 == 1, "total_amount").otherwise("no such field").alias("field_name"),
+        F.when(e % 5 != 0, F.concat(F.lit("c"), e.cast("string"))).alias("value"))
+    out = D.apply_review_corrections(t.extracted_fields, t.labels.select("doc_id", act.alias("action")), given)
+    return out.select("field_id", "field_value", "is_corrected")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import corrections as C
+from ledgerlens.operators.documents import page_of
 from ledgerlens.operators import learning as L
 from ledgerlens.plans.registry import query
 
@@ -284,3 +285,27 @@ select count(*) as record_count, count(distinct doc_id) as documents_included, c
   count(feedback_sentiment) as feedback_records from e""")
 def training_summary(t):
     return C.training_summary(C.training_records(enriched(t)))
+
+
+ANALYTICS = """
+select cast({key} as varchar) as "group", count(*) as corrections, cast(sum(confidence) as double) / count(confidence) as avg_confidence,
+  count(*) filter (where is_critical) / count(*) as critical_rate from e group by 1"""
+
+
+@query("A13", views=VIEWS, sql=ENRICHED + ANALYTICS.format(key="user_id"))
+def correction_analytics_by_user(t):
+    return C.correction_analytics(enriched(t), "user")
+
+
+@query("A13", views=VIEWS, sql=ENRICHED + ANALYTICS.format(key="cast(corrected_at as date)"))
+def correction_analytics_by_date(t):
+    return C.correction_analytics(enriched(t), "date")
+
+
+@query("P7 L1", views=VIEWS, sql=ENRICHED + """
+select correction_id, field_name from e where correction_id % 3 = 0 and coalesce(correction_id % 2 = 0, false) order by corrected_at desc, correction_id desc limit 700 offset 20""")
+def verified_corrections_page(t):
+    """A page of the verified corrections; every third correction was looked at, every second of those held."""
+    verified = F.when(F.col("correction_id") % 3 == 0, F.col("correction_id") % 2 == 0)
+    found = C.filter_corrections(enriched(t).withColumn("is_verified", verified), is_verified=True)
+    return page_of(found, [F.col("corrected_at").desc(), F.col("correction_id").desc()], 700, 20).select("correction_id", "field_name")
