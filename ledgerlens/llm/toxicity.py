@@ -34,6 +34,8 @@ HIDDEN, WORD, PIECE = 8, 8, 8
 TRAIN_TEXTS, TRAIN_WINDOWS = 1200, 12
 #: A word or piece has a vector of its own if so many texts of the sample have it, and this share of them. Decay of those vectors.
 KEY_TEXTS, KEY_SHARE, DECAY = 4, 0.01, 0.1
+#: Texts whose words are counted at once.
+KEY_STEP = 100
 #: Texts of each label that a calibration on texts kept back needs; with fewer all texts calibrate.
 KEPT_BACK = 30
 F32 = np.float32
@@ -220,14 +222,27 @@ class Network:
         return sigmoid(self.slope * top + self.shift).astype(float)
 
 
-def keys_of_several(values: np.ndarray, text_of: np.ndarray, texts: float) -> np.ndarray:
-    """Sorted distinct values that occur in ``texts`` texts or more."""
-    order = np.lexsort((text_of, values))
-    values, text_of = values[order], text_of[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (text_of[1:] != text_of[:-1])
-    found, count = np.unique(values[new], return_counts=True)
-    return found[count >= texts]
+def keys_of_several(data: np.ndarray, words: Words, text_of: np.ndarray, texts: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct words and pieces that occur in ``texts`` texts or more. text_of: of each word, ascending; counted by some texts at a time."""
+    found: list[list[np.ndarray]] = [[], []]
+    counts: list[list[np.ndarray]] = [[], []]
+    starts = np.flatnonzero(np.diff(text_of, prepend=-1))[::KEY_STEP]
+    for a, b in zip(starts, [*starts[1:], len(text_of)], strict=True):
+        pieces, bounds = pieces_of(data, words.starts[a:b], words.ends[a:b])
+        for k, (values, owner) in enumerate(((words.hashes[a:b], text_of[a:b]), (pieces, np.repeat(text_of[a:b], np.diff(bounds))))):
+            order = np.lexsort((owner, values))
+            values, owner = values[order], owner[order]
+            new = np.ones(len(values), bool)
+            new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+            values, n = np.unique(values[new], return_counts=True)
+            found[k].append(values)
+            counts[k].append(n)
+    out = []
+    for values, n in zip(found, counts, strict=True):
+        keys, at = np.unique(np.concatenate(values) if values else np.zeros(0, np.uint64), return_inverse=True)
+        total = np.bincount(at, np.concatenate(n), len(keys)) if values else np.zeros(0)
+        out.append(keys[total >= texts])
+    return out[0], out[1]
 
 
 def train(column: pa.Array, text_of: np.ndarray, labels: np.ndarray, epochs: int = 8, steps: int = 1500, seed: int = 11) -> Network:
@@ -243,9 +258,7 @@ def train(column: pa.Array, text_of: np.ndarray, labels: np.ndarray, epochs: int
     data = LETTER_LOWER[data]
     words = words_of(column, LETTER_LOWER)
     owner = text_of[words.document()]
-    pieces, bounds = pieces_of(data, words.starts, words.ends)
-    least = max(KEY_TEXTS, KEY_SHARE * len(labels))
-    network = Network.new(seed, keys_of_several(words.hashes, owner, least), keys_of_several(pieces, np.repeat(owner, np.diff(bounds)), least))
+    network = Network.new(seed, *keys_of_several(data, words, owner, max(KEY_TEXTS, KEY_SHARE * len(labels))))
     known = Vocabulary(data, words, network.word_keys, network.piece_keys)
     places, first = window_rows(words.offsets)
     first_of = first[:-1]
