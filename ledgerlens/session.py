@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
         folder = tempfile.mkdtemp(prefix="ledgerlens-")
     if spark.sparkContext.getCheckpointDir() is None:
@@ -49,5 +49,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path in the application's scratch folder, which is in the shared folder."""
+    return os.path.join(shared_folder(spark), f"scratch-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Deletes the application's scratch folder. Call it once no result that was not written yet is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_folder(spark), f"scratch-{spark.sparkContext.applicationId}"))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

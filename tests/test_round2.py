@@ -111,3 +111,14 @@ def test_spans_place_cells_like_a_grid(spark):
         pages.append((page, html + "</table>"))
     got = html_cells(spark.createDataFrame(pages, "page int, html string"), "page").collect()
     assert {tuple(r) for r in got} == want
+
+
+def test_scratch_is_dropped_by_its_owner(spark):
+    from ledgerlens.session import drop_scratch, scratch_path
+
+    path = scratch_path(spark, "t")
+    spark.range(5).write.parquet(path)
+    assert spark.read.parquet(path).count() == 5 and scratch_path(spark, "t") != path
+    assert drop_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
