@@ -104,7 +104,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_cnn": op10_byte_cnn,
 }
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_superminhash": rf"""
+with recursive d as materialized (select row_number() over (order by doc_id) as r, doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (
+  select distinct r, hash(case when len(w) > 1 then w[p:p + 1] else w end) as shingle from (select r, w, unnest(range(1, greatest(2, len(w)))) as p from d where len(w) > 0)),
+n as materialized (select r, count(*) as n from s group by r),
+sized as materialized (select s.*, n.n from s join n on s.r = n.r),
+pairs as (select a.r as x, b.r as y, a.n as na, b.n as nb, count(*) as common from sized a join sized b
+  on a.shingle = b.shingle and a.r < b.r and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by all),
+links as materialized (select x, y from pairs where 100 * common >= 80 * (na + nb - common)),
+ends as materialized (select x, y from links union select y, x from links),
+reach as (select x, y from ends union select reach.x, ends.y from reach join ends on reach.y = ends.x),
+least_ as (select x as r, min(d.doc_id) as low from reach join d on d.r = reach.y group by x)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) as kept
+from d left join n on n.r = d.r left join least_ on least_.r = d.r""",
+    "op8_winnowing": rf"""
+with d as materialized (select row_number() over (order by doc_id) as r, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+items as materialized (
+  select distinct item_id, k, array_to_string(w[p:p + k - 1], ' ') as g from (select item_id, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as p from b where len(w) > 0)),
+windows as (
+  select r, p, k, array_to_string(w[p:p + k - 1], ' ') as g from (select r, w, k, unnest(range(1, len(w) - k + 2)) as p from d, (select distinct k from items) where len(w) >= k)),
+hits as materialized (select r, p, windows.k, item_id from windows join items on windows.k = items.k and windows.g = items.g),
+words as (select r, count(distinct p + j) as n_hit from (select r, p, unnest(range(k)) as j from hits) group by r),
+found as (select r, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct r, cast(item_id as varchar) as item from hits) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from d left join words on words.r = d.r left join found on found.r = d.r""",
     "op2_merkle_audit": r"""
 with raw as (
   select page_id, concat('segment-', cast(cast(floor(page_id / 1000) as bigint) as varchar), '.warc') as file,

@@ -430,3 +430,13 @@ def test_op8_digest(spark, docs, texts, tmp_path):
     spark.createDataFrame([(12, texts[8]), (3, texts[8])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     r = rows(queries.op8_winnowing(spark, str(tmp_path)))[9]
     assert r.items_sha256 == hashlib.sha256(b"12,3").hexdigest() and r.n_items == 2 and r.contaminated
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_sql(spark, name):
+    from checks import compare, duck
+
+    sf = "/root/testdata/sf0.001"
+    con = duck(sf)
+    assert compare(queries.QUERIES[name](spark, sf), con, queries.ORACLE_SQL[name]) is None
+    assert con.execute(f"select * from ({queries.ORACLE_SQL[name]}) limit 2000000").fetchall() is not None
