@@ -211,7 +211,7 @@ def with_bitmaps(sets: DataFrame) -> DataFrame:
 def block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in the same bucket that sizes and bitmaps leave, compared block by block.
 
-    members: bucket, class, comp, n, bits. Classes outside a bucket's largest component meet all classes of the bucket, so a
+    members: bucket, class, comp, n, bits, bands. A pair is looked at in the first bucket that both are in. Classes outside a bucket's largest component meet all classes of the bucket, so a
     bucket that is one component already costs nothing. A bit set on one side only stands for at least one element that the
     other side lacks, which bounds the intersection from above.
     """
@@ -229,11 +229,13 @@ def block_pairs(members: DataFrame, percent: int) -> DataFrame:
         left, right = group[group["out"]], group[~group["out"]]
         found = [np.zeros((0, 2), np.int64)]
         rn, rcomp, rid = right["n"].to_numpy(), right["comp"].to_numpy(), right["class"].to_numpy()
+        bucket, rbands = group["bucket"].iloc[0], np.stack(list(right["bands"]))
         maps = [np.frombuffer(b, np.uint8) for b in right["bits"]]
         widths = np.array([len(m) for m in maps])
-        for bits, n, comp, own in zip(left["bits"], left["n"], left["comp"], left["class"], strict=True):
+        for bits, bands, n, comp, own in zip(left["bits"], left["bands"], left["n"], left["comp"], left["class"], strict=True):
             mine = np.frombuffer(bits, np.uint8)
             near = np.flatnonzero((rcomp != comp) & (100 * np.minimum(rn, n) >= percent * np.maximum(rn, n)))
+            near = near[rbands[near, (rbands[near] == bands).argmax(axis=1)] == bucket]
             for width in np.unique(widths[near]):
                 some = near[widths[near] == width]
                 low = min(width, len(mine))
@@ -245,7 +247,7 @@ def block_pairs(members: DataFrame, percent: int) -> DataFrame:
         pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    columns = ["bucket", "i", "j", "class", "comp", "n", "bits", "out"]
+    columns = ["bucket", "i", "j", "class", "comp", "n", "bits", "bands", "out"]
     return whole.select(columns).union(out.select(columns)).groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
@@ -284,7 +286,7 @@ def near_duplicates(
     rest = cut_lineage(rest.join(mixed, "bucket"))
     bits = with_bitmaps(sets.join(rest.select("class").distinct(), "class", "left_semi"))
     edges = known.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    known = roots(edges.union(confirmed(block_pairs(rest.join(bits, "class"), percent), sets, percent)))
+    known = roots(edges.union(confirmed(block_pairs(rest.join(bits, "class").join(classes.select("class", "bands"), "class"), percent), sets, percent)))
 
     found = placed(classes.select("k1", "k2", "class", "first_id"), known, "class", "root")
     smallest = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
