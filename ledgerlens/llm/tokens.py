@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Parts a worker remembers; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 #: Bytes of text that are split at once; cuts are at white space.
 SEGMENT = 1 << 20
 #: New words of letters that are given to the tokenizer as one text.

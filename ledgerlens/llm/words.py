@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from ledgerlens.session import scratch_path
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def byte_table(separators: list[tuple[int, int]], lower: bool) -> np.ndarray:
