@@ -11,13 +11,21 @@ def folded(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def bounded(rows: DataFrame, group: str, most: int, *keys: str) -> DataFrame:
-    """At most about ``most`` rows of each value of ``group``, chosen by a hash of ``keys``; all rows where there are fewer.
+#: Labels that a classifier may have.
+MOST_LABELS = 1000
 
-    The share is set from exact counts, so the result has the same size at every size of the input (the count of groups must be
-    bounded, as that of labels is).
+
+def bounded(rows: DataFrame, label: str, most: int, *keys: str) -> DataFrame:
+    """At most about ``most`` rows of each label, chosen by a hash of ``keys``; all rows of a label that has fewer.
+
+    The share of a label is set from exact counts, so the result has the same size at every size of the input. Shares are literals
+    in a filter: no row moves. More than ``MOST_LABELS`` labels are refused.
     """
-    counts = rows.groupBy(group).count()
-    shares = counts.select(F.col(group).alias("_group"), (F.lit(float(most)) / F.col("count")).alias("_share"))
-    draw = (F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("_draw")
-    return rows.select("*", draw).join(shares, F.col(group) == F.col("_group")).where("_draw < _share").drop("_draw", "_group", "_share")
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    if not counts:
+        return rows.where("false")
+    shares = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(most / r[1]))])
+    draw = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.where(draw < F.try_element_at(shares, F.col(label)))
