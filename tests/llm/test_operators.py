@@ -290,6 +290,36 @@ def test_personal_data(spark):
     assert [tuple(s) for s in pii.find_spans(df.where("doc_id = 0"), nothing).first().spans] == base_spans(rows_[0][1])
 
 
+def test_near_misses_of_personal_data(spark):
+    """Formats that the patterns miss are found and redacted, lookalikes are not; neither stands in the texts that the trees see."""
+    rng = random.Random(18)
+
+    def card(n, sep):
+        d = f"4{n:014d}"
+        d = next(d + c for c in "0123456789" if pii.luhn(d + c))
+        return sep.join(d[i : i + 4] for i in range(0, 16, 4))
+
+    rows_ = []
+    for i in range(900):
+        ip = f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}"
+        span = [f"u{i}.x@host{i % 40}.org", f"+44 20 {7000 + i} {1000 + i}", f"+1 ({200 + i % 700}) 555-{1000 + i}", ip, card(i * 7919, ""), str(10**15 + 2 * i)][i % 6]
+        rows_.append((i, f"{prose(rng, 12)} {span} {prose(rng, 12)}"))
+    near = {"email": ["ann.lee [at] firm.net", "bo(at)shop.example.com", "cy @ mail.org"], "phone": ["44 20 7946 1234", "1 (415) 555-2671", "0044 20 7946 5678"],
+            "ip": ["10:20:30:40", "192 . 168 . 1 . 77", "172. 16. 254. 3"], "card": [card(123456789, "."), card(987654321, "/")]}
+    other = ["see you @ noon", "1:300:400:999", "2024-03-15 10:20:30", "1234567", "4111.1111.1111.1112", "9333317852687140"]
+    planted = {2000 + k: (kind, span) for k, (kind, span) in enumerate((kind, span) for kind, spans in near.items() for span in spans)}
+    texts_ = {i: f"{prose(rng, 12)} {span}, {prose(rng, 12)}" for i, (_, span) in planted.items()}
+    texts_ |= {3000 + k: f"{prose(rng, 12)} {span} {prose(rng, 12)}" for k, span in enumerate(other)}
+    finder = pii.fit(spark.createDataFrame(rows_ + rows_[:300], "doc_id long, text string"))
+    got = {r.doc_id: r for r in pii.find_spans(spark.createDataFrame(list(texts_.items()), "doc_id long, text string"), finder, redact=True).collect()}
+    for i, (kind, span) in planted.items():
+        at = texts_[i].index(span)
+        assert base_spans(texts_[i]) == [] and [tuple(s) for s in got[i].spans] == [(f"{kind}_like", at, at + len(span))], span
+        assert got[i].redacted == texts_[i].replace(span, f"<{kind}>")
+    for i in range(3000, 3000 + len(other)):
+        assert not got[i].spans, texts_[i]
+
+
 def test_quality_figures(docs, texts):
     with_lang = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en"))
     got = rows(perplexity.quality(with_lang))
