@@ -375,6 +375,36 @@ def test_perplexity(spark, monkeypatch):
     assert all(r.low < r.high for r in got.values())
 
 
+def test_unusual_texts_are_rejected(spark):
+    """Random and shuffled texts with bytes of their own, single and copied, lie outside the band of texts that they stand among."""
+    rng = random.Random(16)
+    letter = "abcdefghijklmnopqrstuvwxyz"
+    rows_ = [(i, prose(rng, 150)) for i in range(300)]
+    noise = [" ".join("".join(rng.choice(letter) for _ in range(rng.randint(2, 9))) for _ in range(120)) for _ in range(6)]
+    shuffled = ["".join(rng.sample(t, len(t))) for _, t in rows_[:6]]
+    rows_ += [(1000 + i, t) for i, t in enumerate([*noise, *shuffled, *noise[:1] * 10])]
+    got = rows(perplexity.quality(spark.createDataFrame([(i, t, "xx") for i, t in rows_], "doc_id long, text string, lang string")))
+    assert not any(r.base_failed for r in got.values())
+    assert not any(r.kept for i, r in got.items() if i >= 1000)
+    assert all(r.kept for i, r in got.items() if i < 1000)
+    assert len({got[i].left_out for i in (1000, *range(1012, 1022))}) == 1
+
+
+def test_left_out_is_the_other_folds_model(spark):
+    rng = random.Random(26)
+    texts_ = [prose(rng, 60) for _ in range(12)] + ["Qz9!" * 90]
+    df = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts_)], "doc_id long, text string, lang string")
+    folds = {r[0]: r[1] for r in df.select("doc_id", perplexity.fold("text")).collect()}
+    assert set(folds.values()) == {0, 1}
+
+    got = rows(perplexity.quality(df, order=1))
+    for i, t in enumerate(texts_):
+        p = kneser_ney([u for k, u in enumerate(texts_) if folds[k] != folds[i]], 1)
+        b = [bytes([int(perplexity.FOLDED[x])]) for x in t.encode()]
+        if all(x in p for x in b):
+            assert abs(got[i].left_out + sum(np.log(p[x]) for x in b) / len(b)) < 1e-4
+
+
 def test_language(spark):
     rng = random.Random(7)
     parts = {"aa": ["the", "ing", "er", "on"], "bb": ["sch", "ung", "ü", "keit"], "cc": ["eau", "é", "ment", "oi"]}
