@@ -8,8 +8,8 @@ and preceding words (nearest first). In each order a suffix's longest match with
 extends the head to the right and to the left as far as any other document allows, up to the next chosen positions, whose own matches go on.
 
 Sorting is by range over head, words and document together, so a head that a third of all documents share is cut into many
-partitions; what neighbours across partitions share is found from the rows at the edges. Overlapping matches of a document are merged; merged
-stretches of ``least`` words or more are the result. Within a stretch every word lies in a match of at least a head's length.
+partitions; what neighbours across partitions share is found from the rows at the edges. Overlapping matches of a document are merged; as they may be
+with different documents, all windows of ``least`` words inside the merged stretches are hashed, and those of two documents, merged, are the result.
 
 Defined cases: null and short texts have no repeats; rows of equal id are one document and don't repeat each other, nor does a document repeat
 itself; a null id is an id. Only the named columns are read.
@@ -202,6 +202,39 @@ def lead(head: np.ndarray, key: np.ndarray) -> int:
     return min(n + 1, len(key))
 
 
+def joined(spans: DataFrame) -> DataFrame:
+    """key, start, end: the union of each document's spans."""
+    # A document's spans in order: a new stretch begins where no earlier span reaches.
+    earlier = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("new", (F.coalesce(F.max("end").over(earlier), F.lit(-1)) < F.col("start")).cast("int"))
+    spans = spans.withColumn("stretch", F.sum("new").over(Window.partitionBy("key").orderBy("start")))
+    return spans.groupBy("key", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("key", "start", "end")
+
+
+def windows_inside(rows: DataFrame, stretches: DataFrame, least: int) -> DataFrame:
+    """key, start and hash of each window of ``least`` words within a stretch of its document."""
+    listed = stretches.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
+    listed = listed.select("key", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            words = words_of(batch.column("text"), SPACE_LOWER)
+            hashes, at = grams(words, least)
+            counts = batch.column("starts").value_lengths().to_numpy(zero_copy_only=False)
+            first, size = np.repeat(words.offsets[:-1], counts), np.repeat(np.diff(words.offsets), counts)
+            # Rows of an equal id share its stretches, which may go beyond the shorter text.
+            starts = first + np.minimum(batch.column("starts").flatten().to_numpy(), size)
+            ends = first + np.minimum(batch.column("ends").flatten().to_numpy(), size)
+            of = np.searchsorted(starts, at, "right") - 1
+            keep = (of >= 0) & (at + least <= ends[of]) if len(ends) else np.zeros(len(at), bool)
+            document = words.document()[at[keep]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(document)), pa.array((at[keep] - words.offsets[document]).astype(np.int64)), pa.array(hashes[keep].view(np.int64))],
+                names=["key", "start", "hash"])
+
+    return rows.join(listed, "key").select("key", "text", "starts", "ends").mapInArrow(scan, "key long, start long, hash long")
+
+
 def repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, windows: int = WINDOWS, gram: int = GRAM,
 ) -> DataFrame:
@@ -220,9 +253,8 @@ def repeats(
     spans = right.union(left.select("key", "start", "length", "before")).select(
         "key", (F.col("start") - F.col("before")).cast("long").alias("start"), (F.col("start") + F.col("length")).alias("end"))
     spans = spans.groupBy("key", "start").agg(F.max("end").alias("end"))
-    # A document's spans in order: a new stretch begins where no earlier span reaches.
-    earlier = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("new", (F.coalesce(F.max("end").over(earlier), F.lit(-1)) < F.col("start")).cast("int"))
-    spans = spans.withColumn("stretch", F.sum("new").over(Window.partitionBy("key").orderBy("start")))
-    merged = spans.groupBy("key", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end")).where(F.col("end") - F.col("start") >= least)
+    long = joined(spans).where(F.col("end") - F.col("start") >= least)
+    inside = written(windows_inside(rows, long, least), "suffix-windows")
+    shared = inside.groupBy("hash").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("hash")
+    merged = joined(inside.join(shared, "hash", "left_semi").select("key", "start", (F.col("start") + least).alias("end")).distinct())
     return merged.join(ids.select("doc_id", "key").distinct(), "key").select("doc_id", "start", "end")

@@ -148,6 +148,26 @@ def test_repeats(docs, texts):
     assert got[60] and suffixes.repeats(docs.where("false")).count() == 0
 
 
+def test_repeats_are_shared_by_two_documents(spark):
+    """Shares with different documents that chain to 50 words are no repeat; the result is that of 50-word brute force."""
+    rng = random.Random(31)
+    w = [f"w{k}" for k in range(51)]
+    part = [prose(rng, 35) for _ in range(8)]
+    texts_ = [f"{prose(rng, 9)} {' '.join(w)} {prose(rng, 9)}", f"{prose(rng, 9)} {' '.join(w[:39])} {prose(rng, 9)}", f"{prose(rng, 9)} {' '.join(w[12:])} {prose(rng, 9)}"]
+    texts_ += [" ".join(rng.sample(part, 5)) for _ in range(12)]
+    got = collections.defaultdict(set)
+    for r in suffixes.repeats(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect():
+        got[r.doc_id] |= set(range(r.start, r.end))
+    seen = collections.defaultdict(set)
+    for i, t in enumerate(texts_):
+        for k in range(len(words(t)) - 49):
+            seen[tuple(words(t)[k : k + 50])].add(i)
+    for i, t in enumerate(texts_):
+        u = words(t)
+        assert got[i] == {x for k in range(len(u) - 49) if len(seen[tuple(u[k : k + 50])]) > 1 for x in range(k, k + 50)}, i
+    assert not got[0] and any(got.values())
+
+
 def test_packing_round_trip(spark, docs, texts):
     from tokenizers import Tokenizer
 
