@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_cnn, merkle, packing, perplexity, pii, separators, suffixes, superminhash, toxicity, winnowing
+from ledgerlens.llm import byte_cnn, dac, merkle, packing, perplexity, pii, separators, suffixes, superminhash, toxicity, winnowing
 from ledgerlens.llm.samples import folded
 
 
@@ -92,6 +92,15 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.identify(docs, model, "doc_id", "text", held_out.alias("held_out"))
 
 
+def op11_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table in files of directly addressable codes, read back from them."""
+    import public_tokenizers
+
+    docs, folder = table(spark, sf_dir, "documents"), dac.dac_folder(spark)
+    files = dac.write_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end=0)
+    return dac.read_documents(files, folder, docs.schema["doc_id"].dataType.simpleString())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_merkle_audit": op2_merkle_audit,
@@ -103,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": op8_winnowing,
     "op9_perplexity": op9_perplexity,
     "op10_byte_cnn": op10_byte_cnn,
+    "op11_dac": op11_dac,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
