@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import byte_cnn, dac, merkle, packing, perplexity, pii, separators, suffixes, superminhash, toxicity, winnowing
+from ledgerlens.llm import bags, byte_cnn, dac, merkle, packing, perplexity, pii, separators, suffixes, superminhash, toxicity, winnowing
 from ledgerlens.llm.samples import folded
 
 
@@ -101,6 +101,10 @@ def op11_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(files, folder, docs.schema["doc_id"].dataType.simpleString())
 
 
+def op13_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bags.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_merkle_audit": op2_merkle_audit,
@@ -113,10 +117,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_perplexity": op9_perplexity,
     "op10_byte_cnn": op10_byte_cnn,
     "op11_dac": op11_dac,
+    "op13_bag_search": op13_bag_search,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Letters, digits and what is not ASCII.
+TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
 ORACLE_SQL: dict[str, str] = {
     "op7_superminhash": rf"""
 with recursive d as materialized (select row_number() over (order by doc_id) as r, doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') as w from documents),
@@ -145,6 +153,20 @@ found as (select r, count(*) as n_items, string_agg(item, ',' order by item) as
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 as contaminated
 from d left join words on words.r = d.r left join found on found.r = d.r""",
+    "op13_bag_search": rf"""
+with d as materialized (select doc_id, regexp_extract_all({LOWERED}, {TERM}) as w from documents),
+a as (select cast(count(*) as bigint) as n_all, cast(sum(len(w)) as bigint) as l_all from d where len(w) > 0),
+q as materialized (select r, item_id, t, count(*) as q from (
+  select r, item_id, unnest(w) as t from (select row_number() over () as r, item_id, regexp_extract_all({LOWERED}, {TERM}) as w from benchmark)) group by all),
+tf as materialized (
+  select doc_id, n, t, count(*) as tf from (select doc_id, len(w) as n, unnest(w) as t from d) where t in (select t from q) group by all),
+weights as (select t, cast(floor(1000 * ln(cast(2 * n_all + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w
+  from (select t, count(*) as df from tf group by t), a),
+scored as (
+  select r, item_id, doc_id, cast(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_all) // l_all)))) as bigint) as score
+  from tf join weights using (t) join q using (t), a group by r, item_id, doc_id),
+ranked as (select *, cast(row_number() over (partition by r order by score desc, doc_id) as integer) as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10""",
     "op2_merkle_audit": r"""
 with raw as (
   select page_id, concat('segment-', cast(cast(floor(page_id / 1000) as bigint) as varchar), '.warc') as file,
