@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bags, byte_cnn, dac, merkle, packing, perplexity, pii, separators, suffixes, superminhash, toxicity, winnowing
+from ledgerlens.llm import bags, byte_cnn, dac, merkle, packing, perplexity, phrases, pii, separators, suffixes, superminhash, toxicity, winnowing
 from ledgerlens.llm.samples import folded
 
 
@@ -101,6 +101,10 @@ def op11_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(files, folder, docs.schema["doc_id"].dataType.simpleString())
 
 
+def op12_hat_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bags.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -117,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_perplexity": op9_perplexity,
     "op10_byte_cnn": op10_byte_cnn,
     "op11_dac": op11_dac,
+    "op12_hat_trie": op12_hat_trie,
     "op13_bag_search": op13_bag_search,
 }
 
@@ -153,6 +158,23 @@ found as (select r, count(*) as n_items, string_agg(item, ',' order by item) as
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 as contaminated
 from d left join words on words.r = d.r left join found on found.r = d.r""",
+    "op12_hat_trie": rf"""
+with p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from (select coalesce(lang, 'und') as lang, {LOWERED} as t from documents)),
+w as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+f as materialized (select lang, k, g, lang || chr(10) || g as key, f from (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as g, cast(count(*) as bigint) as f from (
+    select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3)) as s(k) where len(w) >= k) group by all)),
+n as (select lang, cast(sum(f) as bigint) as n from f where k = 1 group by lang),
+candidates as materialized (select lang, k, g as phrase, f as a, string_split(g, ' ') as t from f where k > 1 and f >= 10),
+cuts as materialized (select lang, phrase, a, cut, lang || chr(10) || array_to_string(t[1:cut], ' ') as key1, lang || chr(10) || array_to_string(t[cut + 1:], ' ') as key2
+  from candidates, (values (1), (2)) as s(cut) where cut < k),
+halves as materialized (select cuts.*, f.f as l from cuts join f on f.key = cuts.key1),
+scored as (select halves.*, f.f as r, cast((cast(1000000 as hugeint) * a * a) // (cast(l as hugeint) * f.f) as bigint) as score from halves join f on f.key = halves.key2),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inner_ as (select lang, array_to_string(t[i:i + 1], ' ') as phrase, max(a) as inside from candidates, (values (1), (2)) as s(i) where k = 3 group by all),
+kept as (select lowest.* from lowest left join inner_ using (lang, phrase) where 100 * coalesce(inside, 0) < 50 * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000""",
     "op13_bag_search": rf"""
 with d as materialized (select doc_id, regexp_extract_all({LOWERED}, {TERM}) as w from documents),
 a as (select cast(count(*) as bigint) as n_all, cast(sum(len(w)) as bigint) as l_all from d where len(w) > 0),
