@@ -42,6 +42,13 @@ def eight_bytes(data: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.nda
     return eight & ((np.uint64(1) << (np.minimum(lengths, 7) * 8).astype(np.uint64)) - np.uint64(1) | np.where(lengths >= 8, ~np.uint64(0), np.uint64(0)))
 
 
+def facts_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Length, first and last eight bytes of each part."""
+    tail = np.maximum(ends - 8, starts)
+    lengths = ends - starts
+    return np.stack([lengths.astype(np.uint64), eight_bytes(data, starts, lengths), eight_bytes(data, tail, ends - tail)], axis=1)
+
+
 class ByteWordIds:
     """Ids of text columns as unsigned 32-bit numbers."""
 
@@ -92,11 +99,8 @@ class ByteWordIds:
             out[i] = ids
         return np.concatenate([*out, np.zeros(0, np.uint32)]), np.array([len(x) for x in out], np.int64)
 
-    def places(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of distinct parts lie in the pool, and how many they are."""
-        lengths = ends - starts
-        tail = np.maximum(ends - 8, starts)
-        facts = np.stack([lengths.astype(np.uint64), eight_bytes(data, starts, lengths), eight_bytes(data, tail, ends - tail)], axis=1)
+    def places(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, facts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct parts lie in the pool, and how many they are. Keys ascend; different parts may share one."""
         if len(self.keys) + len(keys) > CACHE_PARTS:
             self.forget()
         at = np.searchsorted(self.keys, keys)
@@ -145,8 +149,12 @@ class ByteWordIds:
         tailed = ((last == 0x2C) | (last == 0x2E)) & (ends[body] - starts[body] > 1)
         tailed &= _LETTER[data[np.maximum(ends[body] - 2, 0)]]
         first, to = starts[body], ends[body] - tailed
-        keys, one, of = np.unique(hash_spans(data, first, to), return_index=True, return_inverse=True)
-        place, number = self.places(data, keys, first[one], to[one])
+        hashes, facts = hash_spans(data, first, to), facts_of(data, first, to)
+        keys, one, of = np.unique(hashes, return_index=True, return_inverse=True)
+        if (facts != facts[one][of]).any():  # parts of one hash
+            _, one, of = np.unique(np.concatenate([hashes[:, None], facts], axis=1), axis=0, return_index=True, return_inverse=True)
+            keys = hashes[one]
+        place, number = self.places(data, keys, first[one], to[one], facts[one])
 
         found = self.plain([raw[a:b] for a, b in zip(starts[heads].tolist(), ends[heads].tolist(), strict=True)])
         lengths = np.zeros(len(starts), np.int64)

@@ -176,17 +176,17 @@ kept as (select lowest.* from lowest left join inner_ using (lang, phrase) where
 ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
 select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000""",
     "op13_bag_search": rf"""
-with d as materialized (select doc_id, regexp_extract_all({LOWERED}, {TERM}) as w from documents),
+with d as materialized (select row_number() over () as x, doc_id, regexp_extract_all({LOWERED}, {TERM}) as w from documents),
 a as (select cast(count(*) as bigint) as n_all, cast(sum(len(w)) as bigint) as l_all from d where len(w) > 0),
 q as materialized (select r, item_id, t, count(*) as q from (
   select r, item_id, unnest(w) as t from (select row_number() over () as r, item_id, regexp_extract_all({LOWERED}, {TERM}) as w from benchmark)) group by all),
 tf as materialized (
-  select doc_id, n, t, count(*) as tf from (select doc_id, len(w) as n, unnest(w) as t from d) where t in (select t from q) group by all),
+  select x, doc_id, n, t, count(*) as tf from (select x, doc_id, len(w) as n, unnest(w) as t from d) where t in (select t from q) group by all),
 weights as (select t, cast(floor(1000 * ln(cast(2 * n_all + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w
   from (select t, count(*) as df from tf group by t), a),
 scored as (
   select r, item_id, doc_id, cast(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_all) // l_all)))) as bigint) as score
-  from tf join weights using (t) join q using (t), a group by r, item_id, doc_id),
+  from tf join weights using (t) join q using (t), a group by r, item_id, x, doc_id),
 ranked as (select *, cast(row_number() over (partition by r order by score desc, doc_id) as integer) as rank from scored where score > 0)
 select item_id, rank, doc_id, score from ranked where rank <= 10""",
     "op2_merkle_audit": r"""
