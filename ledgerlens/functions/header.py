@@ -13,7 +13,8 @@ from ledgerlens.functions.normalize import amount_text, score
 
 AMOUNT_FIELDS = ["subtotal", "vat", "total_amount"]
 
-# Label and value pattern per field (searched without case, over joined lines).
+# Label and value pattern per field (searched without case, over joined lines). Four of them (invoice_number, subtotal, vat,
+# total_amount) are narrower on purpose: a value does not run over a line break, and branches that can never win are left out.
 LABEL_PATTERNS: dict[str, str] = {
     "invoice_number": r"(?:invoice\s+(?:number|no\.?|#))\s*[:\s]*([A-Z0-9\-/]+)",
     "invoice_date": r"(?:invoice\s+date|date|dated|issued)\s*[:\s]*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
@@ -62,14 +63,13 @@ def label_result(value: Column) -> Column:
     return F.when(value != "", F.struct(value.alias("value"), header_score(score(LABEL_BASE), value).alias("confidence")))
 
 
-def by_anchor(lines: Column, lower: Column, field: str, window: int = WINDOW, anchors: Sequence[str] | None = None) -> Column:
-    """struct<value, confidence> behind an anchor in the line, else in the next lines; null when none.
+def anchor_hits(lines: Column, lower: Column, field: str, window: int = WINDOW) -> Column:
+    """Every candidate of a field: array of struct<confidence, line, turn, value>, ``line`` and ``turn`` (place and anchor) negative.
 
-    ``lower`` holds the lines in lower case. Highest confidence wins, then the earlier line, then the
-    earlier anchor. The pattern runs only on lines that hold an anchor and on the lines after them.
+    A value stands behind an anchor in its line, else in the next lines. ``lower`` holds the lines in lower case. The pattern runs
+    only on lines that hold an anchor and on the lines after them.
     """
     words, shape = ANCHORS[field]
-    words = anchors or words
 
     def value_in(text: Column) -> Column:
         return F.trim(F.coalesce(F.regexp_extract(text, shape, 1), F.lit("")), F.lit(" \t\r\n"))
@@ -91,7 +91,12 @@ def by_anchor(lines: Column, lower: Column, field: str, window: int = WINDOW, an
     def scores(factor):
         return F.array(*[F.lit(Decimal(str(round(x * factor, 4)))) for x in anchor_scores(window)]).cast("array<decimal(5,4)>")
 
-    return F.array_max(F.transform(hits, candidate))
+    return F.transform(hits, candidate)
+
+
+def by_anchor(lines: Column, lower: Column, field: str, window: int = WINDOW) -> Column:
+    """struct<value, confidence> of the best candidate: highest confidence, then the earlier line, then the earlier anchor; null when none."""
+    return F.array_max(anchor_hits(lines, lower, field, window))
 
 
 def anchor_scores(window: int) -> list[float]:

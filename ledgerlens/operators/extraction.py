@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import header
@@ -90,11 +90,24 @@ def label_results(docs: DataFrame, fields: Sequence[str] = HEADER_FIELDS) -> Dat
     return _single_stage(_with_labels(docs.select("doc_id", "text"), fields), "l", fields)
 
 
+def anchor_candidates(docs: DataFrame, fields: Sequence[str] = HEADER_FIELDS) -> DataFrame:
+    """Every value behind every anchor, long form: doc_id, field_name, value, confidence, line_no, anchor_no (both from 0)."""
+    d = docs.select("doc_id", "lines", F.transform("lines", F.lower).alias("lower"))
+    d = d.select("doc_id", *[header.anchor_hits(F.col("lines"), F.col("lower"), f).alias(f) for f in fields])
+
+    def as_rows(field: str) -> Column:
+        return F.transform(field, lambda h: F.struct(
+            F.lit(field).alias("field_name"), h["value"].alias("value"), h["confidence"].alias("confidence"), (-h["line"]).alias("line_no"),
+            (-h["turn"]).alias("anchor_no")))
+
+    return d.select("doc_id", F.inline(F.concat(*[as_rows(f) for f in fields])))
+
+
 def best_candidates(candidates: DataFrame) -> DataFrame:
     """Best of many candidates per (document, field): confidence, then earlier line, then earlier anchor."""
     order = F.struct("confidence", -F.col("line_no"), -F.col("anchor_no"))
     return candidates.groupBy("doc_id", "field_name").agg(
-        F.max_by(F.struct("value", "confidence", "line_no"), order).alias("b")).select("doc_id", "field_name", "b.*")
+        F.max_by(F.struct("value", "confidence", "line_no", "anchor_no"), order).alias("b")).select("doc_id", "field_name", "b.*")
 
 
 def choose_stage(results: DataFrame) -> DataFrame:

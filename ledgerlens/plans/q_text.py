@@ -261,20 +261,17 @@ def final_stage_distribution(t):
 
 
 @query("W3", views="doc_lines", sql="with " + anchor_cte() + """
-select doc_id, field_name, value, confidence, line_no from (select *, row_number() over (partition by doc_id, field_name order by confidence desc, line_no) as rn from anchor_all
-  where turn = 0) where rn = 1""")
+select doc_id, field_name, value, confidence, cast(line_no as integer) as line_no, turn as anchor_no from (
+  select *, row_number() over (partition by doc_id, field_name order by confidence desc, line_no, turn) as rn from anchor_all) where rn = 1""")
 def best_candidates(t):
-    """Candidates of the first anchor of each field, line by line, as a long table; the best per (document, field)."""
-    from ledgerlens.functions.header import by_anchor
+    """All candidates of all anchors as a long table; the best per (document, field)."""
+    return E.best_candidates(E.anchor_candidates(E.document_text(t.doc_lines), list(ANCHORS)))
 
-    d = E.document_text(t.doc_lines).select("doc_id", "lines", F.posexplode(F.transform("lines", F.lower)).alias("line_no", "low"))
-    tail = F.slice("lines", F.col("line_no") + 1, 4)
-    hits = d.select("doc_id", "line_no", *[
-        F.when(F.contains("low", F.lit(a[0])), by_anchor(tail, F.array("low"), f, anchors=a[:1])).alias(f) for f, (a, _) in ANCHORS.items()])
-    rows = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"{f}.value").alias("value"), F.col(f"{f}.confidence").alias("confidence"))
-                     for f in ANCHORS])
-    cand = hits.select("doc_id", "line_no", F.lit(0).alias("anchor_no"), F.inline(F.filter(rows, lambda r: r["value"].isNotNull())))
-    return E.best_candidates(cand)
+
+@query("X12 X13", views="doc_lines", sql="with " + anchor_cte() + """
+select doc_id, field_name, value, confidence, cast(line_no as integer) as line_no, turn as anchor_no from anchor_all""")
+def anchor_candidates(t):
+    return E.anchor_candidates(E.document_text(t.doc_lines), list(ANCHORS))
 
 
 @query("A15", views="doc_lines", sql=RESULTS + """
@@ -324,12 +321,10 @@ def document_batch(t):
         "doc_id", "type", "fields", "invalid_count", "confidence_adjustment", "mean_confidence", "overall_valid", "status", "review_reason")
 
 
-@query("C2", sql="with " + pattern_sql(DOCS, ", ".join(
-    f"({i}, {lit(n)}, {lit(w)})" for i, (n, ws) in enumerate(K.PATTERNS.items()) for w in ws)) + r""",
-lab as (""" + "\nunion all ".join(
-    f"select doc_id, '{f}' as field_name, trim(regexp_extract(text, {lit(LABEL_SQL[f])}, 1)) as value from documents" for f in ("vendor_name",)) + """)
-select l.doc_id, p.type, l.field_name, l.value from lab l join pattern p on p.id = l.doc_id where length(l.value) >= 2""")
+@query("C2", sql="""with doc_lines as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no
+  from documents), """ + RESULTS.removeprefix("with ") + ", " + pattern_sql(DOCS, ", ".join(
+    f"({i}, {lit(n)}, {lit(w)})" for i, (n, ws) in enumerate(K.PATTERNS.items()) for w in ws)) + """
+select c.doc_id, p.type, c.field_name, c.stage_no, c.value, c.confidence from chosen c join pattern p on p.id = c.doc_id""")
 def extract_from_corpus(t):
-    """Ad-hoc extraction over the corpus; the names after a label are compared."""
-    out = document_job.extract_text(t.documents)
-    return out.where((F.col("field_name") == "vendor_name") & (F.col("stage_no") == 1)).select("doc_id", "type", "field_name", "value")
+    """Ad-hoc extraction over the corpus: type and all fields with their stage and confidence."""
+    return document_job.extract_text(t.documents).select("doc_id", "type", "field_name", "stage_no", "value", "confidence")
