@@ -9,6 +9,10 @@ from ledgerlens.skew import bucketed_window
 
 ORDER = ["event_time", "event_id"]
 
+# The steps of a job in order, and the status that an ending report leaves.
+STEPS = ["orchestrate", "render", "ocr", "extract"]
+ENDINGS = {"failed": "error", "cancelled": "cancelled"}
+
 
 def backoff_seconds(attempt: Column, base: int = 5, top: int = 60) -> Column:
     """base * 2^(attempt - 1), at most ``top``."""
@@ -51,3 +55,30 @@ def frozen_states(job_events: DataFrame) -> DataFrame:
     end = F.col("status").isin("completed", "error", "cancelled")
     return job_events.groupBy("job_id").agg(
         F.coalesce(F.min_by(F.when(end, F.col("status")), F.when(end, place)), F.max_by("status", place)).alias("status"))
+
+
+def job_steps(step_events: DataFrame) -> DataFrame:
+    """job_id, step, status, refused: where each job stands.
+
+    Per step the first ``done`` report counts, and only before the first ending (``failed``, ``cancelled``); a job is completed once all steps
+    are done, else ended, else pending at the first step that is not done. Refused are repeats and what comes after the end.
+    One aggregation with map-side combine.
+    """
+    place = F.struct(*ORDER)
+    ending = F.col("status").isin(*ENDINGS)
+    first = {s: F.min(F.when((F.col("status") == "done") & (F.col("step") == s), place)) for s in STEPS}
+    jobs = step_events.groupBy("job_id").agg(
+        F.min(F.when(ending, place)).alias("end"), F.min_by(F.when(ending, F.col("status")), F.when(ending, place)).alias("ending"),
+        F.count("*").alias("total"), *[c.alias(s) for s, c in first.items()])
+    done = [F.col(s).isNotNull() & (F.col("end").isNull() | (F.col(s) < F.col("end"))) for s in STEPS]
+    ahead = F.lit(len(STEPS))
+    for i in reversed(range(len(STEPS))):
+        ahead = F.when(~done[i], F.lit(i)).otherwise(ahead)
+    jobs = jobs.withColumns({"ahead": ahead, "used": sum((d.cast("long") for d in done), F.lit(0).cast("long"))})
+    completed = F.col("ahead") == len(STEPS)
+    status = F.when(completed, "completed").when(F.col("end").isNull(), "pending")
+    for name, state in ENDINGS.items():
+        status = status.when(F.col("ending") == name, state)
+    step = F.element_at(F.array(*[F.lit(s) for s in STEPS]), F.least(F.col("ahead") + 1, F.lit(len(STEPS))))
+    ended_early = (~completed & F.col("end").isNotNull()).cast("long")
+    return jobs.select("job_id", step.alias("step"), status.alias("status"), (F.col("total") - F.col("used") - ended_early).alias("refused"))

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.jobs import STEPS
+
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -207,6 +209,10 @@ class Tables:
     def job_events(self) -> DataFrame:
         return job_events_of(self.events)
 
+    @cached_property
+    def step_events(self) -> DataFrame:
+        return step_events_of(self.events)
+
     @cached_property
     def audit_logs(self) -> DataFrame:
         t = F.col("event_type")
@@ -250,7 +256,22 @@ def job_events_of(events: DataFrame) -> DataFrame:
     )
 
 
+def step_events_of(events: DataFrame) -> DataFrame:
+    """Reports of job steps: eight consecutive events form one job, some report a failure or a cancellation."""
+    e, t = F.col("event_id"), F.col("event_type")
+    job = F.floor(e / 8)
+    step = F.element_at(F.array(*[F.lit(s) for s in STEPS]), F.pmod(e * 3 + F.floor(job / 2), F.lit(4)).cast("int") + 1)
+    return events.select(
+        "event_id", job.alias("job_id"), step.alias("step"),
+        F.when((t == "error") & (e % 3 == 0), "failed").when((t == "signup") & (e % 11 == 0), "cancelled").otherwise("done").alias("status"),
+        F.col("ts").alias("event_time"))
+
+
 VIEWS = {
+    "step_events": """
+select event_id, event_id // 8 as job_id, ['orchestrate', 'render', 'ocr', 'extract'][(event_id * 3 + event_id // 16) % 4 + 1] as step,
+  case when event_type = 'error' and event_id % 3 = 0 then 'failed' when event_type = 'signup' and event_id % 11 = 0 then 'cancelled' else 'done' end as status, ts as event_time
+from events""",
     "invoice_docs": """
 select o.o_orderkey as doc_id, o.o_custkey as user_id, concat('DOC-', cast(o.o_orderkey as varchar)) as name,
   case o.o_orderkey % 4 when 0 then 'invoice' when 1 then 'receipt' when 2 then 'purchase_order' else 'tax_invoice' end as type,

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import documents as D
 from ledgerlens.operators import jobs as J
 from ledgerlens.operators.validation import wide_fields
-from ledgerlens.plans.fixtures import job_events_of
+from ledgerlens.plans.fixtures import job_events_of, step_events_of
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import export as X
+from ledgerlens.session import scratch_path
 from ledgerlens.sources import html_tables, ocr
 from ledgerlens.streaming import jobs as SJ
-from ledgerlens.streaming.runner import last_per_key, read_events, rocksdb_state, run_now
+from ledgerlens.streaming import tracker as TR
+from ledgerlens.streaming.runner import (
+    dealt_events, last_per_key, marker_folder, read_events, rocksdb_state, run_available, run_now, run_to_end, write_batches,
+)
 
 # Payloads of an external OCR engine, built from the documents
 
@@ -242,6 +246,21 @@ def frozen_job_states(t):
     return J.frozen_states(t.job_events)
 
 
+STEP_STATES = """with e as (select *, (event_time, event_id) as place from step_events),
+j as (select job_id, count(*) as total, min(place) filter (where status <> 'done') as ending, min_by(status, place) filter (where status <> 'done') as how,
+  """ + ", ".join(f"min(place) filter (where status = 'done' and step = '{s}') as s{i}" for i, s in enumerate(J.STEPS)) + """ from e group by job_id),
+k as (select *, """ + ", ".join(f"(s{i} is not null and (ending is null or s{i} < ending)) as d{i}" for i in range(len(J.STEPS))) + """ from j),
+a as (select *, case when not d0 then 0 when not d1 then 1 when not d2 then 2 when not d3 then 3 else 4 end as ahead, d0::int + d1::int + d2::int + d3::int as used from k),
+s as (select job_id, ['orchestrate', 'render', 'ocr', 'extract', 'extract'][ahead + 1] as step,
+  case when ahead = 4 then 'completed' when ending is null then 'pending' when how = 'failed' then 'error' else 'cancelled' end as status,
+  cast(total - used - (ahead < 4 and ending is not null)::int as bigint) as refused from a)"""
+
+
+@query("T1", views="step_events", sql=STEP_STATES + " select * from s")
+def job_steps(t):
+    return J.job_steps(t.step_events)
+
+
 # Streams: each runs over the event table as a stream and is checked against the batch form
 
 
@@ -251,27 +270,54 @@ def stream_job_states(t):
     return last_per_key(run_now(states, "job-states", "update"), ["job_id"])
 
 
-@query("T10 A22", views="job_events", sql=FROZEN + " select status, count(*) as jobs from f group by status")
+@query("T1", views="step_events", sql=STEP_STATES + " select * from s")
+def stream_job_steps(t):
+    """Reports arrive in five micro-batches without regard to time; the newest row of each job must be the batch form's."""
+    with rocksdb_state(t.spark):
+        events = dealt_events(t.spark, t.sf_dir, 5)
+        out = run_now(TR.job_steps(step_events_of(events), late="60 days"), "job-steps")
+    return last_per_key(out, ["job_id"]).select("job_id", "step", "status", "refused")
+
+
+@query("T10 A22", views="step_events", sql=STEP_STATES + " select step, status, count(*) as jobs from s group by all")
 def stream_backlog(t):
-    states = SJ.job_states(job_events_of(read_events(t.spark, t.sf_dir)))
-    return SJ.backlog(last_per_key(run_now(states, "backlog", "update"), ["job_id"]))
+    """Two streams: the tracker's changes, and the running sums of the changes."""
+    path = scratch_path(t.spark, "backlog-changes")
+    with rocksdb_state(t.spark):
+        events = dealt_events(t.spark, t.sf_dir, 5)
+        changes = TR.backlog_changes(TR.job_steps(step_events_of(events), late="60 days"))
+        run_available(changes, path, write_batches(path))
+    changed = t.spark.readStream.schema(changes.schema).parquet(f"{path}/out/batch_id=*")
+    sums = last_per_key(run_now(TR.live_backlog(changed), "backlog", "update"), ["step", "status"])
+    return sums.where("jobs > 0")
+
+
+def retry_sinks(t):
+    """The two sinks of one stream of failures: retries and dead letters."""
+    path = scratch_path(t.spark, "retries")
+    with rocksdb_state(t.spark):
+        run_available(SJ.retries(job_events_of(read_events(t.spark, t.sf_dir))), path, write_batches(path, SJ.RETRY_SINKS))
+    return {name: t.spark.read.parquet(f"{path}/{name}").drop("batch_id") for name in SJ.RETRY_SINKS}
 
 
 @query("T2", views="job_events", sql=RETRIES)
 def stream_retries(t):
-    with rocksdb_state(t.spark):
-        out = run_now(SJ.retries(job_events_of(read_events(t.spark, t.sf_dir))), "retries", "append")
-    return out.drop("batch_id")
+    sinks = retry_sinks(t)
+    return sinks["retries"].union(sinks["dead_letters"])
+
 
+@query("T2", views="job_events", sql=TIMELINE + " select job_id, event_id, failures as attempt from tl where status = 'error' and failures >= 3")
+def stream_dead_letters(t):
+    return retry_sinks(t)["dead_letters"].select("job_id", "event_id", "attempt")
 
-@query("T3", views="job_events", sql=TIMELINE + """
-select job_id, event_id from tl where status = 'running' and ((nxt is null and event_time + interval 300 second < (select max(event_time) from tl) - interval 10 minute)
-  or epoch_us(nxt) - epoch_us(event_time) > 300000000)""")
+
+@query("T3", views="job_events", sql=TIMELINE + " select job_id, event_id from tl where status = 'running' and (nxt is null or epoch_us(nxt) - epoch_us(event_time) > 300000000)")
 def stream_stuck_jobs(t):
-    """Running jobs without end count once the watermark (10 minutes behind) has passed their limit."""
+    """All stuck jobs: the stream is closed at its end, so those whose limit the watermark had not passed come out, too."""
+    marker = marker_folder(t.spark)
     with rocksdb_state(t.spark):
-        out = run_now(SJ.stuck_jobs(job_events_of(read_events(t.spark, t.sf_dir))), "stuck", "append")
-    return out.drop("batch_id")
+        out = run_to_end(SJ.stuck_jobs(job_events_of(read_events(t.spark, t.sf_dir, marker=marker))), "stuck", marker)
+    return out.where("job_id >= 0").drop("batch_id")
 
 
 CORRECTIONS = """with c as (select *, case event_type when 'click' then 'ocr_error' when 'view' then 'extraction_error' when 'purchase' then 'format_error' when 'signup' then 'missing' else 'other' end as correction_reason from events)"""
@@ -297,12 +343,12 @@ def stream_moving_corrections(t):
 @query("T6", sql="""
 with s as (select *, case when ts - lag(ts) over w >= interval 30 minute or lag(ts) over w is null then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id)),
 n as (select *, sum(new) over (partition by user_id order by ts, event_id) as no from s)
-select user_id, count(*) as corrections, epoch_us(min(ts)) as started_us, epoch_us(max(ts)) as completed_us from n group by user_id, no
-having max(ts) + interval 30 minute <= (select max(ts) from events) - interval 1 hour""")
+select user_id, count(*) as corrections, epoch_us(min(ts)) as started_us, epoch_us(max(ts)) as completed_us from n group by user_id, no""")
 def stream_sessions(t):
-    """Sessions whose end the watermark (an hour behind) has passed."""
-    out = run_now(SJ.correction_sessions(corrections(t)), "sessions", "append")
-    return out.select("user_id", "corrections", F.unix_micros("started_at").alias("started_us"), F.unix_micros("completed_at").alias("completed_us"))
+    """All sessions: the stream is closed at its end."""
+    marker = marker_folder(t.spark)
+    out = run_to_end(SJ.correction_sessions(SJ.correction_events(read_events(t.spark, t.sf_dir, marker=marker))), "sessions", marker)
+    return out.where("user_id >= 0").select("user_id", "corrections", F.unix_micros("started_at").alias("started_us"), F.unix_micros("completed_at").alias("completed_us"))
 
 
 @query("T7", sql="""

@@ -22,40 +22,59 @@ def job_states(job_events: DataFrame) -> DataFrame:
     return frozen_states(job_events)
 
 
-def backlog(states: DataFrame) -> DataFrame:
-    return states.groupBy("status").agg(F.count("*").alias("jobs"))
-
-
 class RetryCounter(StatefulProcessor):
-    """Failures per job: each one becomes a retry with its delay or, at the limit, a dead letter."""
+    """Failures per job: each one becomes a retry with its delay or, at the limit, a dead letter.
+
+    Failures are numbered in the order of their micro-batches, inside a batch by time; the rows of a key come in Arrow chunks, one after the
+    other. The count of a job goes once the watermark is ``ttl_seconds`` past its last failure.
+    """
 
-    def __init__(self, max_attempts: int = 3, base: int = 5, top: int = 60):
-        self.max_attempts, self.base, self.top = max_attempts, base, top
+    def __init__(self, max_attempts: int = 3, base: int = 5, top: int = 60, ttl_seconds: int = 7 * 86400):
+        self.max_attempts, self.base, self.top, self.ttl_ms = max_attempts, base, top, ttl_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.failures = handle.getValueState("failures", "n int")
+        self.handle = handle
+        self.failures = handle.getValueState("failures", "n int, due_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self.failures.get()[0] if self.failures.exists() else 0
-        pdf = pd.concat(list(rows)).sort_values(["event_time", "event_id"])
-        failed = pdf[pdf.status == "error"]
-        attempt = list(range(n + 1, n + len(failed) + 1))
-        if attempt:
-            self.failures.update((attempt[-1],))
-            dead = [a >= self.max_attempts for a in attempt]
-            yield pd.DataFrame({
-                "job_id": key[0], "event_id": failed.event_id.tolist(), "attempt": attempt,
-                "outcome": ["dead_letter" if d else "retry" for d in dead],
-                "delay_seconds": [0 if d else min(self.top, self.base * 2 ** (a - 1)) for a, d in zip(attempt, dead)]})
+        n, due = tuple(self.failures.get()) if self.failures.exists() else (0, None)
+        last = None
+        for pdf in rows:
+            failed = pdf[pdf.status == "error"].sort_values(["at_us", "event_id"])
+            attempt = list(range(n + 1, n + len(failed) + 1))
+            n += len(failed)
+            if attempt:
+                last = max(last or 0, int(failed.at_us.iloc[-1]))
+                dead = [a >= self.max_attempts for a in attempt]
+                yield pd.DataFrame({
+                    "job_id": key[0], "event_id": failed.event_id.tolist(), "attempt": attempt,
+                    "outcome": ["dead_letter" if d else "retry" for d in dead],
+                    "delay_seconds": [0 if d else min(self.top, self.base * 2 ** (a - 1)) for a, d in zip(attempt, dead)]})
+        if last is not None:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = max(last // 1000 + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1, due or 0)
+            self.handle.registerTimer(due)
+            self.failures.update((n, due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.failures.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def retries(job_events: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """Needs the RocksDB state store. Split by ``outcome`` for the retry and the dead-letter sink."""
-    return job_events.groupBy("job_id").transformWithStateInPandas(
-        RetryCounter(max_attempts), "job_id long, event_id long, attempt int, outcome string, delay_seconds int", "append", "none")
+#: What each sink of ``retries`` takes.
+RETRY_SINKS = {"retries": "outcome = 'retry'", "dead_letters": "outcome = 'dead_letter'"}
+
+
+def retries(job_events: DataFrame, max_attempts: int = 3, ttl_seconds: int = 7 * 86400, late: str = "1 day") -> DataFrame:
+    """Needs the RocksDB state store. ``runner.write_batches(path, RETRY_SINKS)`` writes retries and dead letters to sinks of their own."""
+    e = job_events.withWatermark("event_time", late).select("job_id", "event_id", "status", "event_time", F.unix_micros("event_time").alias("at_us"))
+    return e.groupBy("job_id").transformWithStateInPandas(
+        RetryCounter(max_attempts, ttl_seconds=ttl_seconds), "job_id long, event_id long, attempt int, outcome string, delay_seconds int", "append",
+        "eventtime")
 
 
 class StuckDetector(StatefulProcessor):
@@ -69,13 +88,14 @@ class StuckDetector(StatefulProcessor):
         self.running = handle.getValueState("running", "event_id long, at_us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["event_time", "event_id"])
         since = self.running.get() if self.running.exists() else None
         found = []
-        for event_id, status, at in zip(pdf.event_id.tolist(), pdf.status.tolist(), pdf.at_us.tolist()):
-            if since is not None and at - since[1] > self.limit_ms * 1000:
-                found.append(since[0])
-            since = (event_id, at) if status == "running" else None
+        for chunk in rows:
+            pdf = chunk.sort_values(["event_time", "event_id"])
+            for event_id, status, at in zip(pdf.event_id.tolist(), pdf.status.tolist(), pdf.at_us.tolist()):
+                if since is not None and at - since[1] > self.limit_ms * 1000:
+                    found.append(since[0])
+                since = (event_id, at) if status == "running" else None
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if since is None:
