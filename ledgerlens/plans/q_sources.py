@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import audit as AU
 from ledgerlens.operators import documents as D
 from ledgerlens.operators import jobs as J
 from ledgerlens.operators.validation import wide_fields
@@ -12,6 +13,7 @@ from ledgerlens.plans.registry import query
 from ledgerlens.sources import export as X
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import html_tables, ocr
+from ledgerlens.streaming import changes as CH
 from ledgerlens.streaming import jobs as SJ
 from ledgerlens.streaming import tracker as TR
 from ledgerlens.streaming.runner import (
@@ -352,14 +354,18 @@ def stream_sessions(t):
 
 
 @query("T7", sql="""
-select distinct event_id // 2 as request_id, 'Total' as field_name, 1 as page_number, cast(event_id // 2 * 3 as varchar) as field_value from events""")
+select event_id // 2 as request_id, 'Total' as field_name, 1 as page_number, cast(event_id // 2 * 3 as varchar) as field_value from events group by all""")
 def stream_payload_ingest(t):
-    """Every request comes twice; one result each must remain."""
-    r = F.floor(F.col("event_id") / 2)
+    """Every request comes twice as JSON lines, its copy in a later micro-batch and after a restart; one result each must remain."""
+    spark, e = t.spark, F.col("event_id")
+    r = F.floor(e / 2)
     value = F.struct(F.lit(1).alias("page"), (r * 3).cast("string").alias("value"))
     payload = F.to_json(F.struct(F.lit(True).alias("status"), r.alias("request_id"), F.array(F.struct(F.create_map(F.lit("Total"), value).alias("data"))).alias("result")))
-    raw = read_events(t.spark, t.sf_dir).select(F.col("ts").alias("received_at"), payload.alias("payload"))
-    return run_now(SJ.ingest_payloads(raw), "payloads").select("request_id", "field_name", "page_number", "field_value")
+    folder, path = scratch_path(spark, "payloads"), scratch_path(spark, "ingested")
+    for copy in (0, 1):
+        t.events.where(e % 2 == copy).select(payload.alias("value")).write.mode("append").text(folder)
+        run_available(CH.payload_files(spark, folder), path, CH.ingest_once(path))
+    return spark.read.parquet(f"{path}/results").select("request_id", "field_name", "page_number", "field_value")
 
 
 @query("T8", sql="""
@@ -381,10 +387,79 @@ def stream_routing(t):
     return run_now(SJ.route_nested(docs, "strict"), "routing").drop("batch_id")
 
 
-@query("T9", sql="""
-select event_id, user_id as actor_user_id, 'field.update' as action, 'extracted_field' as entity_type,
-  json_object('before', event_type, 'after', concat(event_type, '*'))::varchar as meta from events""")
+GROUPED = """
+with d as (select event_id as doc_id, cast(event_id % 101 * 0.01 as decimal(5,4)) as c, event_id % 7 <> 0 as f1, event_id % 7 <> 0 and event_id % 5 <> 0 as f2,
+  cast((event_id * 13) % 101 * 0.01 as decimal(5,4)) as c1, case when event_id % 3 <> 0 then cast(greatest((event_id * 17) % 101, 40) * 0.01 as decimal(5,4)) end as c2 from events),
+h as (select *, case when not f1 then 0.0 else cast(c1 + case when f2 then coalesce(c2, 0) else 0 end as double) / (1 + (f2 and c2 is not null)::int) end as header_avg from d),
+s as (select *, case when header_avg > 0.9 then 'approved' when header_avg >= 0.7 then 'review_required' else 'rejected' end as header_status from h)
+select doc_id, header_avg, header_status, case when header_status = 'rejected' then 'rejected' when header_status <> 'approved' then 'review_required'
+  when c > 0.9 then 'approved' when c >= 0.7 then 'review_required' else 'rejected' end as routing_status,
+  case when c > 0.9 then 'high' when c >= 0.7 then 'medium' else 'low' end as level, (f1 and c1 < 0.7)::int + (f2 and coalesce(c2, 0) < 0.7)::int as low_fields from s"""
+
+
+def documents_and_fields(events):
+    """Documents, and their fields, which come a minute or twenty after them; every seventh document has none."""
+    e, pct = F.col("event_id"), "decimal(5,4)"
+    at = F.col("ts").cast("timestamp")
+    docs = events.select(e.alias("doc_id"), at.alias("at"), (e % 101 * F.expr("0.01")).cast(pct).alias("confidence"))
+    first = F.struct((at + F.expr("interval 1 minute")).alias("field_at"), ((e * 13) % 101 * F.expr("0.01")).cast(pct).alias("confidence"))
+    second = F.struct((at + F.expr("interval 20 minutes")).alias("field_at"),
+                      F.when(e % 3 != 0, (F.greatest((e * 17) % 101, F.lit(40)) * F.expr("0.01")).cast(pct)).alias("confidence"))
+    fields = events.where(e % 7 != 0).select(e.alias("doc_id"), F.inline(F.filter(F.array(first, F.when(e % 5 != 0, second)), lambda f: f.isNotNull())))
+    return docs, fields
+
+
+@query("T8", sql=GROUPED)
+def grouped_routing(t):
+    return SJ.route_grouped(*documents_and_fields(t.events), "strict")
+
+
+@query("T8", sql=GROUPED)
+def stream_grouped_routing(t):
+    """Documents and fields as two streams, closed at their end."""
+    marker = marker_folder(t.spark)
+    docs, fields = documents_and_fields(read_events(t.spark, t.sf_dir, marker=marker))
+    out = run_to_end(SJ.route_grouped(docs, fields, "strict"), "grouped-routing", marker)
+    return out.where("doc_id >= 0").drop("batch_id")
+
+
+VERSIONS = """with v as (select event_id, user_id, ts, case when event_type <> 'error' then event_type end as kind from events),
+c as (select user_id as entity_id, event_id, lag(kind) over (partition by user_id order by ts, event_id) as before, kind as after from v)
+select entity_id, event_id, case when before is null then 'insert' when after is null then 'delete' else 'update' end as action,
+  json_object('before', before, 'after', after)::varchar as meta from c where before is distinct from after"""
+
+
+def versions_of(events):
+    """Versions of a user's entity: its value is the kind of the event, an error deletes it."""
+    return events.select(F.col("user_id").alias("entity_id"), "event_id", F.col("ts").alias("event_time"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("value"))
+
+
+@query("T9", sql=VERSIONS)
+def version_audit(t):
+    changes = AU.version_changes(versions_of(t.events))
+    return changes.select("entity_id", "event_id", "action", AU.change_meta(F.col("before"), F.col("after")).alias("meta"))
+
+
+@query("T9", sql=VERSIONS)
 def stream_audit_log(t):
-    changes = read_events(t.spark, t.sf_dir)
-    rows = SJ.audit_rows(changes, F.col("event_type"), F.concat("event_type", F.lit("*")), "field.update", "extracted_field")
-    return run_now(rows, "audit").drop("created_at", "batch_id")
+    """Changes found by the stream itself, from the last value of each entity."""
+    with rocksdb_state(t.spark):
+        changes = run_now(CH.version_changes(versions_of(read_events(t.spark, t.sf_dir))), "audit")
+    return changes.select("entity_id", "event_id", "action", AU.change_meta(F.col("before"), F.col("after")).alias("meta"))
+
+
+@query("T9", views="invoice_docs", sql="""
+with o as (select doc_id, status, category_id from invoice_docs where doc_id % 13 <> 0),
+n as (select doc_id, case when doc_id % 5 = 0 then 'archived' else status end as status, case when doc_id % 7 <> 0 then category_id end as category_id from invoice_docs where doc_id % 17 <> 0),
+j as (select coalesce(o.doc_id, n.doc_id) as doc_id, o.doc_id is null as fresh, n.doc_id is null as gone, o.status as s0, n.status as s1, o.category_id as c0, n.category_id as c1
+  from o full outer join n on o.doc_id = n.doc_id)
+select doc_id, case when fresh then 'insert' when gone then 'delete' else 'update' end as action, s0 is distinct from s1 as status_changed, c0 is distinct from c1 as category_changed
+from j where fresh or gone or s0 is distinct from s1 or c0 is distinct from c1""")
+def snapshot_audit(t):
+    """Two snapshots of the documents: some new, some gone, some archived, some without their category."""
+    d, k = t.invoice_docs.select("doc_id", "status", "category_id"), F.col("doc_id")
+    after = d.where(k % 17 != 0).select(
+        "doc_id", F.when(k % 5 == 0, "archived").otherwise(F.col("status")).alias("status"), F.when(k % 7 != 0, F.col("category_id")).alias("category_id"))
+    found = AU.snapshot_changes(d.where(k % 13 != 0), after, ["doc_id"], ["status", "category_id"])
+    meta = F.col("meta")
+    return found.select("doc_id", "action", meta.contains('"status":').alias("status_changed"), meta.contains('"category_id":').alias("category_changed"))

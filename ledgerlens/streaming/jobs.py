@@ -1,4 +1,4 @@
-"""Streams over job events: states, retries, stuck jobs, backlog, audit rows, routing, payloads, corrections."""
+"""Streams over job events: states, retries, stuck jobs, routing, corrections."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ledgerlens.functions.confidence import confidence_level, routing_status, rule_named
 from ledgerlens.functions.normalize import SCORE, score
 from ledgerlens.operators.jobs import frozen_states
-from ledgerlens.sources.ocr import parse_payloads, payload_fields
 
 END_STATES = ("completed", "error", "cancelled")
 
@@ -156,14 +155,7 @@ def correction_sessions(corrections: DataFrame, gap: str = "30 minutes", late: s
         "user_id", "corrections", "started_at", "completed_at")
 
 
-# Payloads, routing, audit
-
-def ingest_payloads(raw: DataFrame, late: str = "1 hour") -> DataFrame:
-    """External payloads (``payload`` JSON, ``received_at``): one result per request_id, as field rows."""
-    parsed = parse_payloads(raw).withColumn("request_id", F.col("p.request_id"))
-    once = parsed.withWatermark("received_at", late).dropDuplicatesWithinWatermark(["request_id"])
-    return payload_fields(once)
-
+# Routing
 
 def route_nested(docs: DataFrame, rule_name: str = "default") -> DataFrame:
     """Routing of self-contained rows (doc_id, confidence, fields: array of field_name and confidence), without state."""
@@ -173,17 +165,32 @@ def route_nested(docs: DataFrame, rule_name: str = "default") -> DataFrame:
     total = F.aggregate("__c", F.lit(0).cast("decimal(20,4)"), lambda a, x: (a + x).cast("decimal(20,4)"))
     d = docs.withColumns({"__c": conf, "__n": known}).withColumn(
         "header_avg", F.when(F.col("__n") > 0, total.cast("double") / F.col("__n")).otherwise(F.lit(0.0)))
-    header = routing_status(F.col("header_avg"), rule)
+    return _routed(d, rule).select(
+        "doc_id", "header_avg", "header_status", "routing_status", "level", F.size(F.filter("__c", lambda c: c < rule.medium)).alias("low_fields"))
+
+
+def route_grouped(docs: DataFrame, fields: DataFrame, rule_name: str = "default", within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Routing of documents (doc_id, at, confidence) with fields that come on their own (doc_id, field_at, confidence) up to ``within`` later.
+
+    The same result as ``route_nested``. On streams it is a left outer stream-stream join and an aggregate per document: a document comes out once
+    the watermark has passed the time in which fields may come, also if it has none. On tables it is a plain join.
+    """
+    rule = rule_named(rule_name)
+    f = fields.select(F.col("doc_id").alias("f_doc_id"), "field_at", F.col("confidence").alias("f_confidence"), F.lit(True).alias("there"))
+    if docs.isStreaming:
+        docs, f = docs.withWatermark("at", late), f.withWatermark("field_at", late)
+    joined = docs.join(f, F.expr(f"doc_id = f_doc_id and field_at >= at and field_at <= at + interval {within}"), "left_outer")
+    c = F.when(F.col("there"), F.coalesce(F.col("f_confidence").cast(SCORE), score(0.0)))
+    d = joined.groupBy("at", "doc_id", "confidence").agg(
+        F.sum(c).cast("double").alias("total"), F.count("f_confidence").alias("known"), F.count_if(c < rule.medium).alias("low_fields"))
+    d = d.withColumn("header_avg", F.when(F.col("known") > 0, F.col("total") / F.col("known")).otherwise(F.lit(0.0)))
+    return _routed(d, rule).select("doc_id", "header_avg", "header_status", "routing_status", "level", F.col("low_fields").cast("int").alias("low_fields"))
+
+
+def _routed(d: DataFrame, rule) -> DataFrame:
+    """Adds header_status, routing_status and level to documents with header_avg and their own confidence."""
     own: Column = F.col("confidence")
+    d = d.withColumn("header_status", routing_status(F.col("header_avg"), rule))
     approved_only = F.lit(rule.require_all) & (F.col("header_status") != "approved")
     status = F.when(F.col("header_status") == "rejected", "rejected").when(approved_only, "review_required").otherwise(routing_status(own, rule))
-    return d.withColumn("header_status", header).select(
-        "doc_id", "header_avg", "header_status", status.alias("routing_status"), confidence_level(own, rule).alias("level"),
-        F.size(F.filter("__c", lambda c: c < rule.medium)).alias("low_fields"))
-
-
-def audit_rows(changes: DataFrame, before: Column, after: Column, action: str, entity_type: str) -> DataFrame:
-    """One audit row per change with the values before and after as JSON."""
-    return changes.select(
-        "event_id", F.col("user_id").alias("actor_user_id"), F.lit(action).alias("action"), F.lit(entity_type).alias("entity_type"),
-        F.to_json(F.struct(before.alias("before"), after.alias("after"))).alias("meta"), F.col("ts").alias("created_at"))
+    return d.withColumns({"routing_status": status, "level": confidence_level(own, rule)})
