@@ -11,7 +11,9 @@ from ledgerlens.functions import text as X
 from ledgerlens.functions.confidence import text_quality
 from ledgerlens.functions.header import ANCHORS, LABEL_PATTERNS
 from ledgerlens.operators import extraction as E
+from ledgerlens.operators.validation import FieldRule
 from ledgerlens.plans import document_job
+from ledgerlens.plans import staged_job as SG
 from ledgerlens.plans.registry import query
 from ledgerlens.schemas import HEADER_FIELDS
 
@@ -293,9 +295,7 @@ def text_quality_scores(t):
     return t.extracted_fields.select("field_id", text_quality(F.col("field_value"), F.col("field_name")).alias("quality"))
 
 
-BATCH = RESULTS + ", " + pattern_sql("select id, text from dt", ", ".join(
-    f"({i}, {lit(n)}, {lit(w)})" for i, (n, ws) in enumerate(K.PATTERNS.items()) for w in ws)) + r""",
-f as (select c.*, case when field_name in ('subtotal', 'vat', 'total_amount') then 'currency' when field_name = 'invoice_date' then 'date' else 'text' end as kind,
+CHECKS = r"""f as (select c.*, case when field_name in ('subtotal', 'vat', 'total_amount') then 'currency' when field_name = 'invoice_date' then 'date' else 'text' end as kind,
   regexp_extract(value, '(\d{1,2})/(\d{1,2})/(\d{4})', ['d', 'm', 'y']) as p from chosen c),
 d as (select *, case when kind = 'date' then try_cast(concat_ws('-', case when try_cast(p.y as int) >= 2400 then try_cast(p.y as int) - 543 else try_cast(p.y as int) end, p.m, p.d) as date) end as day,
   case when kind = 'currency' then try_cast(value as decimal(20,4)) end as amount from f),
@@ -305,7 +305,10 @@ k as (select *, case kind when 'date' then day is not null and day <= date '2024
 g as (select doc_id, count(*) as fields, count(*) filter (where not ok) as bad, sum(adj)::double / count(*) as confidence_adjustment,
   cast(sum(cast(confidence as decimal(5,4))) as double) / count(*) as mean_confidence,
   max(case when field_name = 'subtotal' then amount end) as s, max(case when field_name = 'vat' then amount end) as v, max(case when field_name = 'total_amount' then amount end) as t
-  from k group by doc_id)
+  from k group by doc_id)"""
+
+BATCH = RESULTS + ", " + pattern_sql("select id, text from dt", ", ".join(
+    f"({i}, {lit(n)}, {lit(w)})" for i, (n, ws) in enumerate(K.PATTERNS.items()) for w in ws)) + ",\n" + CHECKS + """
 select doc_id, p.type, fields, bad + case when abs(s + v - t) > 0.05 then 1 else 0 end as invalid_count, confidence_adjustment, mean_confidence,
   bad = 0 and not coalesce(abs(s + v - t) > 0.05, false) as overall_valid,
   case when mean_confidence < 0.8 or bad > 0 or coalesce(abs(s + v - t) > 0.05, false) then 'needs_review' else 'completed' end as status,
@@ -328,3 +331,66 @@ select c.doc_id, p.type, c.field_name, c.stage_no, c.value, c.confidence from ch
 def extract_from_corpus(t):
     """Ad-hoc extraction over the corpus: type and all fields with their stage and confidence."""
     return document_job.extract_text(t.documents).select("doc_id", "type", "field_name", "stage_no", "value", "confidence")
+
+
+# The job in stages
+
+
+def length_model(batch):
+    """Stands for a user's model: the length of the text for every wanted field, as sure as can be said."""
+    long = batch.explode("fields")
+    return long.assign(field_name=long["fields"], value=long["text"].str.len().astype(str), confidence=0.85)[["doc_id", "field_name", "value", "confidence"]]
+
+
+JOB_RULES = {"*": [FieldRule("total_amount", "required"), FieldRule("vendor_name", "max_length", 12)], "receipt": [FieldRule("payment_method", "min", 100)]}
+
+STAGED = "with " + label_cte() + ",\n" + anchor_cte() + """,
+pattern as (select doc_id as id, type from invoice_docs),
+want as (select id as doc_id, type, unnest(case type when 'tax_invoice' then ['tax_id', 'total_amount'] when 'receipt' then ['receipt_number', 'date', 'vendor', 'total_amount', 'payment_method']
+  else ['invoice_number', 'invoice_date', 'vendor_name', 'total_amount', 'tax_id', 'subtotal', 'vat'] end) as field_name from pattern),
+b1 as (select w.doc_id, w.field_name, l.value, l.confidence, 1 as stage_no from want w join label l using (doc_id, field_name) where l.confidence > 0.5),
+n1 as (select w.doc_id, count(*) as n, count(b.doc_id) as found, count(*) filter (where b.confidence > 0.8) as sure from want w left join b1 b using (doc_id, field_name) group by 1),
+o2 as (select doc_id from n1 where 10 * sure < 7 * n),
+b2 as (select * from (select *, row_number() over (partition by doc_id, field_name order by confidence desc, stage_no) as rn from (select * from b1 union all
+  select w.doc_id, w.field_name, a.value, a.confidence, 2 from want w join anchor a using (doc_id, field_name) where a.confidence > 0.4 and w.doc_id in (select doc_id from o2))) where rn = 1),
+n2 as (select w.doc_id, count(*) as n, count(b.doc_id) as found from want w left join b2 b using (doc_id, field_name) where w.doc_id in (select doc_id from o2) group by 1),
+o3 as (select doc_id from n2 where found < n),
+chosen as (select doc_id, field_name, value, confidence, stage_no from (select *, row_number() over (partition by doc_id, field_name order by confidence desc, stage_no) as rn from (
+  select doc_id, field_name, value, confidence, stage_no from b2 union all
+  select w.doc_id, w.field_name, length(dt.text)::varchar, 0.85::double, 3 from want w join dt on dt.id = w.doc_id where w.doc_id in (select doc_id from o3))) where rn = 1),
+lasts as (select id as doc_id, type, case when id in (select doc_id from o3) then 3 when id in (select doc_id from o2) then 2 else 1 end as last_stage from pattern)"""
+
+
+def staged(t):
+    definitions = t.spark.createDataFrame([("tax_invoice", '["tax_id","total_amount"]', True), ("invoice", '["total_amount"]', False)], "name string, fields_schema string, active boolean")
+    docs = SG.prepared(E.document_text(t.doc_lines).join(t.invoice_docs.select("doc_id", "type"), "doc_id"), definitions)
+    return SG.extract(docs, [SG.label_stage(), SG.anchor_stage(), SG.model_stage(length_model)])
+
+
+@query("C1 X15 H2", views="doc_lines invoice_docs", sql=STAGED + " select doc_id, field_name, value, confidence, stage_no from chosen")
+def staged_fields(t):
+    return staged(t).fields
+
+
+@query("C1 X15", views="doc_lines invoice_docs", sql=STAGED + """
+select 1 as stage_no, count(*) as opened, count(*) filter (where last_stage = 1) as closed from lasts
+union all select 2, count(*), count(*) filter (where last_stage = 2) from lasts where last_stage >= 2 having count(*) > 0
+union all select 3, count(*), count(*) filter (where doc_id not in (select w.doc_id from want w left join chosen c using (doc_id, field_name) where coalesce(c.confidence, 0) <= 0.8))
+  from lasts where last_stage = 3 having count(*) > 0""")
+def staged_counts(t):
+    """Documents that each stage saw and closed."""
+    return staged(t).stages
+
+
+@query("C1 X33 X42", views="doc_lines invoice_docs", sql=STAGED + ",\n" + CHECKS + """,
+r as (select l.doc_id, (count(*) filter (where field_name = 'total_amount') = 0)::int + (count(*) filter (where field_name = 'vendor_name' and length(value) > 12) > 0)::int
+  + (max(type) = 'receipt' and count(*) filter (where field_name = 'payment_method' and coalesce(try_cast(value as decimal(28,6)) < 100, true)) > 0)::int as broken
+  from lasts l left join chosen c using (doc_id) group by l.doc_id),
+x as (select doc_id, count(*) as bad_ids from chosen where field_name = 'tax_id' and length(value) <> 13 group by doc_id),
+j as (select l.*, coalesce(g.fields, 0) as fields, coalesce(bad, 0) + coalesce(bad_ids, 0) + coalesce((abs(s + v - t) > 0.05)::int, 0) as invalid_count, broken as broken_rules, coalesce(mean_confidence, 0.0) as mean_confidence
+  from lasts l join r using (doc_id) left join g using (doc_id) left join x using (doc_id))
+select *, invalid_count = 0 and broken_rules = 0 as overall_valid,
+  case when mean_confidence < 0.8 or invalid_count > 0 or broken_rules > 0 then 'needs_review' else 'completed' end as status from j""")
+def staged_documents(t):
+    return SG.reported(staged(t), JOB_RULES, "2024-06-30").select(
+        "doc_id", "type", "last_stage", "fields", "invalid_count", F.col("broken_rules"), "mean_confidence", "overall_valid", "status")
