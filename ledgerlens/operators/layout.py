@@ -402,6 +402,58 @@ def apply_zones(fields: DataFrame, zones: Sequence[tuple[str, int, float, float,
         F.coalesce("had", F.lit(False)).alias("replaces_field"))
 
 
+def zone_upsert(fields: DataFrame, zones: DataFrame, applied: DataFrame) -> DataFrame:
+    """The field table after templates were applied: labels that a document has are updated, others are added.
+
+    fields: doc_id, field_id, field_name, field_value, confidence, page_number, x, y, width, height. zones (any number): template_id, sort_order,
+    label, page_number, x, y, width, height. applied: doc_id, template_id. The value of a zone is that of the first field (by id) whose centre lies
+    in it, null if there is none; of zones with one label and page the last counts. Of several fields with the label the first is updated. A null
+    page is page 1. Adds ``change``: kept, updated or added.
+
+    Zones and centres meet in grid cells whose size fits the zone (a power of two), so a zone of any size touches at most four cells.
+    """
+    page = F.coalesce("page_number", F.lit(1))
+    z = zones.withColumn("page_number", page).groupBy("template_id", "label", "page_number").agg(
+        F.max_by(F.struct("x", "y", "width", "height"), "sort_order").alias("z")).select(
+        "template_id", "label", "page_number", *[F.col(f"z.{c}").alias(f"z_{c}") for c in ("x", "y", "width", "height")])
+    size = F.greatest(F.col("z_width"), F.col("z_height"), F.lit(1.0))
+    z = z.withColumn("level", F.ceil(F.log2(size)).cast("int"))
+    levels = [r[0] for r in z.select("level").distinct().collect()]  # powers of two of a coordinate: few
+    unit = F.pow(F.lit(2.0), F.col("level"))
+    spread = z.withColumn("gx", F.explode(F.sequence(F.floor(F.col("z_x") / unit), F.floor((F.col("z_x") + F.col("z_width")) / unit)))).withColumn(
+        "gy", F.explode(F.sequence(F.floor(F.col("z_y") / unit), F.floor((F.col("z_y") + F.col("z_height")) / unit))))
+    spread = spread.select("template_id", "label", F.col("page_number").alias("z_page"), "z_x", "z_y", "z_width", "z_height", "level", "gx", "gy")
+
+    centres = fields.join(applied, "doc_id").select(
+        "doc_id", "template_id", "field_id", "field_value", "confidence", page.alias("z_page"), (F.col("x") + F.col("width") / 2).alias("cx"),
+        (F.col("y") + F.col("height") / 2).alias("cy")).where("cx is not null and cy is not null")
+    centres = centres.withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))).withColumns(
+        {"gx": F.floor(F.col("cx") / unit), "gy": F.floor(F.col("cy") / unit)})
+    inside = F.col("cx").between(F.col("z_x"), F.col("z_x") + F.col("z_width")) & F.col("cy").between(F.col("z_y"), F.col("z_y") + F.col("z_height"))
+    key = ["doc_id", "label", "z_page"]
+    first = centres.join(spread, ["template_id", "z_page", "level", "gx", "gy"]).where(inside).groupBy(*key).agg(
+        F.min_by(F.struct("field_value", "confidence"), "field_id").alias("v"))
+
+    wanted = applied.join(z, "template_id").withColumnRenamed("page_number", "z_page")
+    targets = fields.select("doc_id", F.col("field_name").alias("label"), page.alias("z_page"), "field_id").groupBy(*key).agg(F.min("field_id").alias("target"))
+    set_ = wanted.join(first, key, "left").join(targets, key, "left").select(
+        *key, "target", F.col("v.field_value").alias("n_field_value"), F.col("v.confidence").alias("n_confidence"),
+        *[F.col(f"z_{c}").alias(f"n_{c}") for c in ("x", "y", "width", "height")])
+    changed = ["field_value", "confidence", "x", "y", "width", "height"]
+    names = ["doc_id", "field_id", "field_name", "page_number", *changed]
+    updates = set_.where("target is not null").select(
+        F.col("doc_id").alias("u_doc"), F.col("target").alias("u_id"), *[F.col(f"n_{c}") for c in changed])
+    old = fields.join(updates, (F.col("doc_id") == F.col("u_doc")) & (F.col("field_id") == F.col("u_id")), "left")
+    hit = F.col("u_id").isNotNull()
+    old = old.select(
+        "doc_id", "field_id", "field_name", "page_number", *[F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in changed],
+        F.when(hit, "updated").otherwise("kept").alias("change"))
+    added = set_.where("target is null").select(
+        "doc_id", F.xxhash64(*key).alias("field_id"), F.col("label").alias("field_name"), F.col("z_page").alias("page_number"),
+        *[F.col(f"n_{c}").alias(c) for c in changed], F.lit("added").alias("change"))
+    return old.unionByName(added).select(*names, "change")
+
+
 # Line items out of named fields
 
 ITEM_NAME = r"^item_(\d+)_(.+)$"

@@ -171,11 +171,46 @@ h as (select doc_id, label, zone_page, min_by(field_value, field_id) as value fr
 select d.doc_id, z.label, z.zone_page, h.value, exists (select 1 from f where f.doc_id = d.doc_id and f.field_name = z.label and z.zone_page = 1) as replaces_field
 from (select distinct doc_id from f) d cross join z left join h on h.doc_id = d.doc_id and h.label = z.label and h.zone_page = z.zone_page""")
 def template_zones(t):
-    fields = t.ocr_boxes.select(
+    return L.apply_zones(boxes_as_fields(t), ZONES).drop("confidence")
+
+
+ZONE_TABLE = """z as (select i // 10 as template_id, i % 10 as sort_order, case i % 5 when 0 then 'total_amount' else concat('zone_', cast(i % 5 as varchar)) end as label,
+  cast(i % 3 // 2 + 1 as integer) as page_number, cast(i % 7 * 30 as double) as x, cast(i % 11 * 20 as double) as y, cast(20 + i % 4 * 200 as double) as width, cast(15 + i % 6 * 40 as double) as height
+  from range(10000) r(i))"""
+
+
+def boxes_as_fields(t):
+    return t.ocr_boxes.select(
         F.col("page_id").alias("doc_id"), F.col("box_id").alias("field_id"), F.when(F.col("col_idx") == 2, "total_amount").otherwise("text").alias("field_name"),
-        F.col("text").alias("field_value"), F.lit(None).cast("int").alias("page_number"), F.lit(0.5).alias("confidence"), F.col("x_min").alias("x"),
+        F.col("text").alias("field_value"), F.lit(0.5).alias("confidence"), F.lit(None).cast("int").alias("page_number"), F.col("x_min").alias("x"),
         F.col("y_min").alias("y"), (F.col("x_max") - F.col("x_min")).alias("width"), (F.col("y_max") - F.col("y_min")).alias("height"))
-    return L.apply_zones(fields, ZONES).drop("confidence")
+
+
+@query("J9", views="ocr_boxes", sql=f"""
+with {ZONE_TABLE},
+zz as (select * from z qualify row_number() over (partition by template_id, label, page_number order by sort_order desc) = 1),
+f as (select page_id as doc_id, box_id as field_id, case when col_idx = 2 then 'total_amount' else 'text' end as field_name, text as field_value, 0.5::double as confidence,
+  x_min as x, y_min as y, x_max - x_min as width, y_max - y_min as height from ocr_boxes),
+want as (select d.doc_id, zz.* from (select distinct doc_id from f) d join zz on zz.template_id = d.doc_id % 1000),
+h as (select w.doc_id, w.label, w.page_number, min_by(f.field_value, f.field_id) as v from want w join f on f.doc_id = w.doc_id and w.page_number = 1
+  and f.x + f.width / 2 between w.x and w.x + w.width and f.y + f.height / 2 between w.y and w.y + w.height group by all),
+g as (select doc_id, field_name as label, 1 as page_number, min(field_id) as target from f group by all),
+s as (select w.*, h.v, g.target from want w left join h using (doc_id, label, page_number) left join g using (doc_id, label, page_number)),
+u as (select f.doc_id, f.field_id, f.field_name, case when s.target is not null then s.v else f.field_value end as field_value, case when s.target is not null then s.x else f.x end as x,
+  case when s.target is not null then 'updated' else 'kept' end as change from f left join s on s.doc_id = f.doc_id and s.target = f.field_id
+  union all select doc_id, null, label, v, x, 'added' from s where target is null)
+select doc_id, field_id, field_name, field_value, x, change from u""")
+def template_upsert(t):
+    """The field table after 10,000 zones of 1,000 templates were applied to the documents."""
+    i = F.col("id")
+    zones = t.spark.range(10000).select(
+        F.floor(i / 10).alias("template_id"), (i % 10).alias("sort_order"), F.when(i % 5 == 0, "total_amount").otherwise(F.concat(F.lit("zone_"), (i % 5).cast("string"))).alias("label"),
+        (F.floor(i % 3 / 2) + 1).cast("int").alias("page_number"), (i % 7 * 30).cast("double").alias("x"), (i % 11 * 20).cast("double").alias("y"),
+        (20 + i % 4 * 200).cast("double").alias("width"), (15 + i % 6 * 40).cast("double").alias("height"))
+    fields = boxes_as_fields(t)
+    applied = fields.select("doc_id", (F.col("doc_id") % 1000).alias("template_id")).distinct()
+    out = L.zone_upsert(fields, zones, applied)
+    return out.select("doc_id", F.when(F.col("change") != "added", F.col("field_id")).alias("field_id"), "field_name", "field_value", "x", "change")
 
 
 @query("A23", views="item_fields", sql="""
@@ -216,6 +251,36 @@ def rule_pairs(t):
     return M.rule_pairs(t.invoice_docs, t.extracted_fields, LARGER).select("left_id", "right_id", "left_name", "right_name")
 
 
+PREFIXED = M.MatchRule(7, [("invoice_number", "starts_with", "short_number")])
+
+
+@query("J5", views="extracted_fields invoice_docs", sql="""
+with f as (select doc_id, field_value as v, doc_id % 50 = 1 as has, substr(field_value, 1, 5) as short from extracted_fields where field_name = 'invoice_number')
+select a.doc_id as left_id, b.doc_id as right_id from invoice_docs a join f x on x.doc_id = a.doc_id, invoice_docs b join f y on y.doc_id = b.doc_id
+where (a.created_at, a.doc_id) < (b.created_at, b.doc_id) and y.has and starts_with(lower(x.v), lower(y.short))""")
+def prefix_pairs(t):
+    """A rule of ``starts_with`` alone: numbers that begin with another document's short number, which every fiftieth document has."""
+    f = t.extracted_fields.where("field_name = 'invoice_number'")
+    short = f.where("doc_id % 50 = 1").withColumns({"field_name": F.lit("short_number"), "field_value": F.substring("field_value", 1, 5)})
+    with_short = f.join(short.select("doc_id"), "doc_id", "left_semi")
+    absent = f.join(with_short.select("doc_id"), "doc_id", "left_anti").withColumns({"field_name": F.lit("short_number"), "field_value": F.lit("none of these")})
+    return M.rule_pairs(t.invoice_docs, f.union(short.select(f.columns)).union(absent), PREFIXED).select("left_id", "right_id")
+
+
+MORE = M.MatchRule(8, [("total_amount", "greater_than", "total_amount")], ["Receipt", " invoice "])
+
+
+@query("J6", views="extracted_fields invoice_docs", sql="""
+with c as (select d.doc_id, d.created_at, try_cast(replace(trim(field_value), ',', '') as decimal(28,6)) as v from invoice_docs d join extracted_fields f on f.doc_id = d.doc_id and f.field_name = 'total_amount'
+  where type in ('receipt', 'invoice'))
+select (select (count(*) * (count(*) - 1) / 2)::bigint from invoice_docs where type in ('receipt', 'invoice')) as evaluated_pairs,
+  (select count(*) from c a join c b on a.v > b.v and (a.created_at, a.doc_id) < (b.created_at, b.doc_id)) as matched_pairs""")
+def rule_preview_inequality(t):
+    """Counts of a rule with nothing but an inequality."""
+    matched = M.inequality_pairs(t.invoice_docs, t.extracted_fields, MORE)
+    return M.preview_counts(t.invoice_docs, MORE, matched).drop("skipped_pairs")
+
+
 OPERATORS = ["equals", "contains", "starts_with", "greater_than", "less_than", "unknown"]
 
 

@@ -158,6 +158,15 @@ def mapped_csv_frame(t):
     return X.csv_frame(mapped(t))
 
 
+@query("S6", views="extracted_fields item_fields", sql="select doc_id, " + ", ".join(
+    f"max(case when field_name = '{n}' then field_value end) as {n}" for n in (
+        *NAMES, *(f"item_{i}_{c}" for i in range(1, 8) for c in ("amount", "description", "quantity")))) + """
+from (select doc_id, field_name, field_value from extracted_fields union all select doc_id, field_name, field_value from item_fields) group by doc_id""")
+def csv_union_of_keys(t):
+    """Columns are the field names that the data has."""
+    return X.wide_of_keys(t.extracted_fields.select("doc_id", "field_id", "field_name", "field_value").union(t.item_fields.select("doc_id", "field_id", "field_name", "field_value")))
+
+
 @query("P8 X44", views="extracted_fields", sql=f"with {MAPPED} select doc_id, DocNo, true as DocNo_ok, cast(Total as double) as Total, true as Total_ok, Vendor, Currency from m")
 def typed_mapping(t):
     typed = X.apply_typed_mapping(wide_fields(t.extracted_fields, NAMES), RULES)

@@ -61,6 +61,17 @@ def wide_union(*frames: DataFrame) -> DataFrame:
     return out.select(*sorted(out.columns))
 
 
+def wide_of_keys(fields: DataFrame, most: int = 5000) -> DataFrame:
+    """One row per document with a column for every field name of the data, in sorted order; the later field row wins.
+
+    Two passes: the distinct names, then a pivot with these as columns. More than ``most`` names are refused.
+    """
+    names = [r[0] for r in fields.where("field_name is not null").select("field_name").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} field names")
+    return fields.groupBy("doc_id").pivot("field_name", sorted(names)).agg(F.max_by("field_value", "field_id")) if names else fields.select("doc_id").distinct()
+
+
 def csv_frame(mapped: DataFrame) -> DataFrame:
     """Text columns with missing values as empty strings, as a CSV shows them."""
     return mapped.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in mapped.columns])
