@@ -328,9 +328,9 @@ b as (select d.doc_id, d.confidence as c, h.header_status, coalesce(review_rows,
   from invoice_docs d join h using (doc_id) join lw using (doc_id) left join rw using (doc_id)),
 routed as (select *, case when header_status = 'rejected' or rejected_rows > 0 then 'rejected'
     when {strict} and not (header_status = 'approved' and review_rows = 0 and rejected_rows = 0) then 'review_required' else {status_sql('c', rule)} end as routing_status,
-  case when header_status = 'rejected' or rejected_rows > 0 then 'One or more components have low confidence'
-    when {strict} and not (header_status = 'approved' and review_rows = 0 and rejected_rows = 0) then 'Not all components approved'
-    else concat('Overall document confidence is ', {level_sql('c', rule)}) end as routing_reason from b)"""
+  case when header_status = 'rejected' or rejected_rows > 0 then 'A part of the document was rejected'
+    when {strict} and not (header_status = 'approved' and review_rows = 0 and rejected_rows = 0) then 'Some parts still wait for approval'
+    else concat('Confidence level of the whole document: ', {level_sql('c', rule)}) end as routing_reason from b)"""
 
 
 @query("X41 L6", views="extracted_fields item_fields", sql=f"""with {routed_sql('default')}
