@@ -1,12 +1,14 @@
 """Tables and values out of OCR boxes (page_id, box_id, text, x_min, y_min, x_max, y_max).
 
-Every step is keyed by page. Per-page summaries hold only what a page header needs (region, row
-starts, header cells), so cells meet them by a join that adaptive execution can split.
+Every step is keyed by ``keys``: by page where a page is one table, by page and cluster (``clustered``) where it may hold
+several. Summaries of a table hold only what its header needs (region, row starts, header cells), so cells meet them by a join
+that adaptive execution can split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,9 @@ from ledgerlens.session import cut_lineage
 
 NEAR = 50.0
 ROW_GAP = 10.0
+MIN_CELLS = 4
+PAGE = ("page_id",)
+TABLE = ("page_id", "cluster_id")
 
 # Words that mark a header cell.
 HEADER_WORDS = ["item", "description", "qty", "quantity", "price", "unit", "amount", "total", "name", "product", "code",
@@ -61,16 +66,16 @@ def numeric_cell(text: Column, column: Column) -> Column:
         F.when(is_number_column, F.when(number.isNotNull(), 0.95).otherwise(0.1)).otherwise(0.9).alias("confidence"))
 
 
-def regions(boxes: DataFrame, min_cells: int = 4) -> DataFrame:
-    """Bounding region per page; fewer than ``min_cells`` boxes make no table."""
-    return boxes.groupBy("page_id").agg(
+def regions(boxes: DataFrame, min_cells: int = MIN_CELLS, keys: Sequence[str] = PAGE) -> DataFrame:
+    """Bounding region per table; fewer than ``min_cells`` boxes make no table."""
+    return boxes.groupBy(*keys).agg(
         F.count("*").alias("cells"), F.min("x_min").alias("rx_min"), F.min("y_min").alias("ry_min"),
         F.max("x_max").alias("rx_max"), F.max("y_max").alias("ry_max")).where(F.col("cells") >= min_cells)
 
 
-def row_boxes(cells_df: DataFrame) -> DataFrame:
+def row_boxes(cells_df: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Box around each row."""
-    return cells_df.groupBy("page_id", "row_idx").agg(
+    return cells_df.groupBy(*keys, "row_idx").agg(
         F.min("x_min").alias("x_min"), F.min("y_min").alias("y_min"), F.max("x_max").alias("x_max"),
         F.max("y_max").alias("y_max"), F.count("*").alias("cells"))
 
@@ -116,17 +121,19 @@ def row_groups_exact(boxes: DataFrame, threshold: float = ROW_GAP) -> DataFrame:
     return ordered.mapInPandas(assign, "page_id long, box_id long, row_idx int")
 
 
-def page_summary(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = 4, candidates: int = 3) -> DataFrame:
-    """One row per table page: region, row starts, header row and its confidence.
+def page_summary(
+    boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = MIN_CELLS, candidates: int = 3, keys: Sequence[str] = PAGE,
+) -> DataFrame:
+    """One row per table: region, row starts, header row and its confidence.
 
-    Boxes shrink to one row per (page, height) before they meet per page. The header is the best scored
+    Boxes shrink to one row per (table, height) before they meet per table. The header is the best scored
     of the first rows; a single row is row 0 at confidence 0.5.
     """
     t = F.lower("text")
-    heights = boxes.groupBy("page_id", center(F.col("y_min"), F.col("y_max")).alias("yc")).agg(
+    heights = boxes.groupBy(*keys, center(F.col("y_min"), F.col("y_max")).alias("yc")).agg(
         F.count("*").alias("n"), F.count_if(contains_any(t, HEADER_WORDS)).alias("marked"), F.sum(F.length("text")).alias("chars"),
         F.min("x_min").alias("x0"), F.min("y_min").alias("y0"), F.max("x_max").alias("x1"), F.max("y_max").alias("y1"))
-    page = heights.groupBy("page_id").agg(
+    page = heights.groupBy(*keys).agg(
         F.sum("n").alias("cells"), F.min("x0").alias("rx_min"), F.min("y0").alias("ry_min"), F.max("x1").alias("rx_max"),
         F.max("y1").alias("ry_max"), F.sort_array(F.collect_list(F.struct("yc", "n", "marked", "chars"))).alias("h")).where(
         F.col("cells") >= min_cells)
@@ -158,77 +165,85 @@ def page_summary(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = 4, can
     page = page.withColumn("best", F.array_max(F.array(*[scored(r) for r in range(candidates)])))
     single = F.col("num_rows") < 2
     return page.select(
-        "page_id", "rx_min", "ry_min", "rx_max", "ry_max", "row_starts", "num_rows",
+        *keys, "rx_min", "ry_min", "rx_max", "ry_max", "row_starts", "num_rows",
         F.when(single, 0).otherwise(-F.col("best.turn")).alias("header_row"),
         F.when(single, 0.5).otherwise(F.least(F.lit(1.0), F.col("best.score") * 1.2)).alias("header_confidence"))
 
 
-def with_rows(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = 4) -> DataFrame:
-    """Boxes of table pages with ``row_idx`` and the page's summary."""
-    page = page_summary(boxes, gap, min_cells)
+def with_rows(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = MIN_CELLS, keys: Sequence[str] = PAGE) -> DataFrame:
+    """Boxes of tables with ``row_idx`` and the table's summary."""
+    page = page_summary(boxes, gap, min_cells, keys=keys)
     b = boxes.withColumns({"xc": center(F.col("x_min"), F.col("x_max")), "yc": center(F.col("y_min"), F.col("y_max"))})
     row = F.size(F.filter("row_starts", lambda s: s <= F.col("yc"))) - 1
-    return b.join(page, "page_id").withColumn("row_idx", row).drop("row_starts")
+    return b.join(page, [*keys]).withColumn("row_idx", row).drop("row_starts")
 
 
 def header_rows(boxes: DataFrame) -> DataFrame:
     return page_summary(boxes).select("page_id", "header_row", "header_confidence")
 
 
-def header_columns(rowed: DataFrame) -> DataFrame:
+def header_columns(rowed: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Columns of the header row in order: x range from this header to the next, the last to the region's edge."""
     h = rowed.where(F.col("row_idx") == F.col("header_row"))
-    w = Window.partitionBy("page_id").orderBy("xc", "box_id")
+    w = Window.partitionBy(*keys).orderBy("xc", "box_id")
     name = standard_column(F.col("text"))
     return h.select(
-        "page_id", (F.row_number().over(w) - 1).alias("col_idx"), F.col("text").alias("detected_name"),
+        *keys, (F.row_number().over(w) - 1).alias("col_idx"), F.col("text").alias("detected_name"),
         name["name"].alias("standard_name"), name["confidence"].alias("name_confidence"), F.col("x_min").alias("c_min"),
         F.coalesce(F.lead("x_min").over(w), F.col("rx_max")).alias("c_max"))
 
 
-def assign_columns(cells_df: DataFrame, columns: DataFrame) -> DataFrame:
+def assign_columns(cells_df: DataFrame, columns: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Column per cell: the first that contains the cell's centre, else the nearest column centre.
 
-    A page's columns travel as one small array (its header row), so no cell-column pairs are shuffled.
+    A table's columns travel as one small array (its header row), so no cell-column pairs are shuffled.
     """
-    per_page = columns.groupBy("page_id").agg(F.sort_array(F.collect_list(
+    per_table = columns.groupBy(*keys).agg(F.sort_array(F.collect_list(
         F.struct("col_idx", "c_min", "c_max", "standard_name"))).alias("cols"))
     xc = center(F.col("x_min"), F.col("x_max"))
     ranked = F.transform("cols", lambda c: F.struct(
         F.when((c["c_min"] <= xc) & (xc <= c["c_max"]), 0.0).otherwise(1.0).alias("outside"),
         F.when((c["c_min"] <= xc) & (xc <= c["c_max"]), 0.0).otherwise(F.abs(xc - (c["c_min"] + c["c_max"]) / 2)).alias("distance"),
         c["col_idx"].alias("col_idx"), c["standard_name"].alias("standard_name")))
-    j = cells_df.join(per_page, "page_id").withColumn("best", F.array_min(ranked))
+    j = cells_df.join(per_table, [*keys]).withColumn("best", F.array_min(ranked))
     return j.withColumns({"col_idx": F.col("best.col_idx"), "standard_name": F.col("best.standard_name")}).drop("best", "cols")
 
 
-def table_cells(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = 4) -> DataFrame:
-    """Data cells of each page's table: the longest text per (row, column), the header row left out."""
-    rowed = with_rows(boxes, gap, min_cells)
-    placed = assign_columns(rowed.where(F.col("row_idx") != F.col("header_row")), header_columns(rowed))
-    cell = placed.groupBy("page_id", "row_idx", "col_idx").agg(
+def table_cells(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = MIN_CELLS, keys: Sequence[str] = PAGE) -> DataFrame:
+    """Data cells of each table: the longest text per (row, column), the header row left out."""
+    rowed = with_rows(boxes, gap, min_cells, keys)
+    return cells_of(rowed, header_columns(rowed, keys), keys)
+
+
+def cells_of(rowed: DataFrame, columns: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
+    placed = assign_columns(rowed.where(F.col("row_idx") != F.col("header_row")), columns, keys)
+    cell = placed.groupBy(*keys, "row_idx", "col_idx").agg(
         F.max_by(F.struct("text", "standard_name"), F.struct(F.length("text"), -F.col("box_id"))).alias("c"),
         F.min("x_min").alias("x_min"), F.min("y_min").alias("y_min"), F.max("x_max").alias("x_max"), F.max("y_max").alias("y_max"))
     check = numeric_cell(F.col("c.text"), F.col("c.standard_name"))
     return cell.select(
-        "page_id", "row_idx", "col_idx", F.col("c.standard_name").alias("standard_name"), F.col("c.text").alias("value"),
+        *keys, "row_idx", "col_idx", F.col("c.standard_name").alias("standard_name"), F.col("c.text").alias("value"),
         check.alias("k"), "x_min", "y_min", "x_max", "y_max").select("*", "k.*").drop("k")
 
 
-def row_confidence(cells_df: DataFrame) -> DataFrame:
+def row_confidence(cells_df: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Mean cell confidence and validity per row. Confidences are hundredths, so the sum is exact."""
     hundredths = F.round(F.col("confidence") * 100).cast("long")
-    return cells_df.groupBy("page_id", "row_idx").agg(
+    return cells_df.groupBy(*keys, "row_idx").agg(
         F.count("*").alias("cells"), F.count_if(~F.col("is_valid")).alias("invalid_cells"),
         (F.sum(hundredths) / F.count("*") / 100).alias("row_confidence"))
 
 
-def extracted_tables(boxes: DataFrame) -> DataFrame:
-    """One row per page: is there a table, its size and confidences."""
-    cells_df = table_cells(boxes)
-    rows = row_confidence(cells_df).groupBy("page_id").agg(
+def row_totals(cells_df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows, cells and the sum of row confidences (in millionths) per table."""
+    return row_confidence(cells_df, keys).groupBy(*keys).agg(
         F.count("*").alias("rows"), F.sum("cells").alias("cells"),
         F.sum(F.round(F.col("row_confidence") * 1000000).cast("long")).alias("micro"))
+
+
+def extracted_tables(boxes: DataFrame) -> DataFrame:
+    """One row per page: is there a table, its size and confidences."""
+    rows = row_totals(table_cells(boxes), PAGE)
     pages = boxes.select("page_id").distinct()
     n = F.coalesce("rows", F.lit(0))
     return pages.join(rows, "page_id", "left").select(
@@ -237,6 +252,61 @@ def extracted_tables(boxes: DataFrame) -> DataFrame:
         F.least(F.lit(1.0), n / 10).alias("table_confidence"))
 
 
+def clustered(boxes: DataFrame, distance: float = NEAR) -> DataFrame:
+    """Boxes with the ``cluster_id`` of the table they belong to, written once because every later step reads them."""
+    return cut_lineage(boxes.join(cluster_boxes(boxes, distance), ["page_id", "box_id"]))
+
+
+@dataclass(frozen=True)
+class PageTables:
+    """All tables of all pages, each keyed by (page_id, cluster_id)."""
+
+    tables: DataFrame
+    columns: DataFrame
+    cells: DataFrame
+
+
+def page_tables(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = MIN_CELLS, distance: float = NEAR) -> PageTables:
+    """Every table of a page: boxes cluster by nearness, a cluster of ``min_cells`` boxes is a table of its own.
+
+    tables: region, header row, numbers of columns, rows and cells, confidences. A header without rows is a table with no rows and
+    confidence 0. Boxes with a null page or coordinate have no neighbours; a null page has no table.
+    """
+    split = clustered(boxes.where("page_id is not null"), distance)
+    rowed = with_rows(split, gap, min_cells, TABLE)
+    columns = header_columns(rowed, TABLE)
+    cells_df = cells_of(rowed, columns, TABLE)
+    n, head = F.coalesce("rows", F.lit(0)), columns.groupBy(*TABLE).agg(F.count("*").alias("columns"))
+    tables = page_summary(split, gap, min_cells, keys=TABLE).join(head, [*TABLE]).join(row_totals(cells_df, TABLE), [*TABLE], "left").select(
+        *TABLE, "rx_min", "ry_min", "rx_max", "ry_max", "header_row", "header_confidence", "columns", n.alias("rows"),
+        F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce(F.col("micro") / F.col("rows") / 1000000, F.lit(0.0)).alias("overall_confidence"),
+        F.least(F.lit(1.0), n / 10).alias("table_confidence"))
+    return PageTables(tables, columns, cells_df)
+
+
+def column_detection(found: PageTables) -> DataFrame:
+    """Per standard column: how many of the rows that could have it do, and the mean confidence there.
+
+    A column counts the rows of the tables whose header names it, once per header cell of that name; of a row's cells under one name
+    the last column's counts.
+    """
+    possible = found.columns.join(found.tables.select(*TABLE, "rows"), [*TABLE]).groupBy("standard_name").agg(F.sum("rows").alias("possible"))
+    hundredths = F.round(F.col("confidence") * 100).cast("long")
+    last = found.cells.groupBy(*TABLE, "row_idx", "standard_name").agg(F.max_by("confidence", "col_idx").alias("confidence"))
+    cells_df = last.groupBy("standard_name").agg(F.count("*").alias("extracted"), (F.sum(hundredths) / F.count("*") / 100).alias("avg_confidence"))
+    n = F.coalesce("extracted", F.lit(0))
+    return possible.join(cells_df, "standard_name", "left").select(
+        "standard_name", "possible", n.alias("extracted"), F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce(F.try_divide(n, F.col("possible")), F.lit(0.0)).alias("detection_rate"))
+
+
+def method_statistics(cells_df: DataFrame) -> DataFrame:
+    """Per standard column and extraction ``method``: values and their mean confidence (null confidences don't count)."""
+    hundredths = F.round(F.col("confidence") * 100).cast("long")
+    return cells_df.groupBy("standard_name", "method").agg(
+        F.count("*").alias("total_extracted"), (F.sum(hundredths) / F.count(hundredths) / 100).alias("avg_confidence"))
+
+
 def table_statistics(tables: DataFrame) -> DataFrame:
     return tables.agg(
         F.count("*").alias("documents"), F.count_if("table_found").alias("tables_found"),

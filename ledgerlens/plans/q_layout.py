@@ -9,6 +9,7 @@ from ledgerlens.operators import layout as L
 from ledgerlens.operators import matching as M
 from ledgerlens.operators import search as S
 from ledgerlens.plans.registry import query
+from ledgerlens.sources import table_rows
 
 # Rows: heights of a page, a step of 10 or more starts a new row.
 ROWS = """y as (select distinct page_id, (y_min + y_max) / 2 as yc from ocr_boxes),
@@ -141,6 +142,76 @@ def box_geometry(t):
         G.quad_to_xywh(quad)["x"].alias("qx"), G.quad_to_xywh(quad)["height"].alias("qh"))
 
 
+# Two orders side by side on a page: several tables that share heights. A cluster is named by its first box; its key is a text here.
+PAIRED = """pb as (select b.page_id // 2 as page_id, b.page_id % 2 * 1000 + b.box_id as box_id, b.x_min + b.page_id % 2 * 400 as x_min, b.x_max + b.page_id % 2 * 400 as x_max,
+  y_min, y_max, text, line_no, b.page_id % 2 as side from ocr_boxes b),
+pl0 as (select *, line_no - lag(line_no) over (partition by page_id, side order by line_no) > 2 as cut from (select distinct page_id, side, line_no from pb)),
+pi as (select *, count(*) filter (where cut) over (partition by page_id, side order by line_no) as island from pl0),
+pc as (select pb.* exclude (page_id), concat(pb.page_id, ':', min(box_id) over (partition by pb.page_id, pb.side, island)) as page_id
+  from pb join pi on pi.page_id = pb.page_id and pi.side = pb.side and pi.line_no = pb.line_no)"""
+SPLIT = "cast(split_part({0}page_id, ':', 1) as bigint) as page_id, cast(split_part({0}page_id, ':', 2) as bigint) as cluster_id"
+CLUSTER_TABLES = PAIRED + ", " + TABLES.replace("ocr_boxes", "pc")
+
+
+def paired_boxes(t):
+    side = F.col("page_id") % 2
+    return t.ocr_boxes.select(
+        F.floor(F.col("page_id") / 2).alias("page_id"), (side * 1000 + F.col("box_id")).alias("box_id"), "text", (F.col("x_min") + side * 400).alias("x_min"),
+        (F.col("x_max") + side * 400).alias("x_max"), "y_min", "y_max")
+
+
+@query("J10 X22 A25", views="ocr_boxes", sql="with " + CLUSTER_TABLES + f" select {SPLIT.format('')}, row_idx, col_idx, standard_name, value, is_valid, confidence, x_min, y_max from cells")
+def cluster_table_cells(t):
+    """Cells of all tables of pages that hold several."""
+    return L.page_tables(paired_boxes(t)).cells.select(
+        *L.TABLE, "row_idx", "col_idx", "standard_name", "value", "is_valid", "confidence", "x_min", "y_max")
+
+
+@query("X22 A20 A25 X17", views="ocr_boxes", sql="with " + CLUSTER_TABLES + f""",
+nc as (select page_id, count(*) as columns from cl group by page_id)
+select {SPLIT.format('big.')}, rx_min, ry_min, big.rx_max, ry_max, cast(header_row as integer) as header_row, header_confidence, columns, coalesce(tables.rows, 0) as rows, coalesce(tables.cells, 0) as cells,
+  overall_confidence, table_confidence from big join hd using (page_id) join nc using (page_id) join tables using (page_id)""")
+def cluster_tables(t):
+    """One row per table: region, header, sizes, confidences."""
+    return L.page_tables(paired_boxes(t)).tables
+
+
+@query("A16", views="ocr_boxes", sql="with " + CLUSTER_TABLES + """,
+po as (select standard_name, cast(sum(tables.rows) as bigint) as possible from cl join tables using (page_id) group by standard_name),
+la as (select standard_name, max_by(confidence, col_idx) as c from cells group by page_id, row_idx, standard_name),
+ex as (select standard_name, count(*) as extracted, cast(sum(cast(round(c * 100) as bigint)) as bigint) / count(*) / 100 as avg_confidence from la group by standard_name)
+select standard_name, possible, coalesce(extracted, 0) as extracted, coalesce(avg_confidence, 0.0) as avg_confidence, case when possible > 0 then coalesce(extracted, 0) / possible else 0.0 end as detection_rate
+from po left join ex using (standard_name)""")
+def column_detection(t):
+    """Rates over the rows that have the column in their header."""
+    return L.column_detection(L.page_tables(paired_boxes(t)))
+
+
+@query("A16", views="ocr_boxes item_fields", sql="with " + CELLS + """,
+v as (select standard_name, 'alignment' as method, confidence from cells union all select regexp_extract(field_name, '_([a-z]+)$', 1), 'named_field', cast(confidence as double) from item_fields)
+select standard_name, method, count(*) as total_extracted, cast(sum(cast(round(confidence * 100) as bigint)) as bigint) / count(confidence) / 100 as avg_confidence from v group by all""")
+def column_methods(t):
+    """Counts and mean confidence by the way a value was found: in a table of boxes, or as a named field."""
+    aligned = L.table_cells(t.ocr_boxes).select("standard_name", F.lit("alignment").alias("method"), "confidence")
+    named = t.item_fields.select(
+        F.regexp_extract("field_name", "_([a-z]+)$", 1).alias("standard_name"), F.lit("named_field").alias("method"), F.col("confidence").cast("double"))
+    return L.method_statistics(aligned.unionByName(named))
+
+
+@query("H8", views="ocr_boxes", sql="with " + CELLS + """
+select page_id, page_id as cluster_id, cast(row_idx as integer) as row_idx, row_confidence, last.standard_name, last.value from (
+  select page_id, row_idx, standard_name, max_by(value, col_idx) as value from cells group by all) last
+join (select page_id, row_idx, cast(sum(cast(round(confidence * 100) as bigint)) as bigint) / count(*) / 100 as row_confidence from cells group by all) using (page_id, row_idx)""")
+def table_rows_function(t):
+    """The table function of SQL over the cells, its rows laid out again."""
+    table_rows.register(t.spark)
+    cells = L.table_cells(t.ocr_boxes).withColumn("cluster_id", F.col("page_id"))
+    rows = t.spark.sql(
+        "select * from table_rows(table(select page_id, cluster_id, row_idx, col_idx, standard_name, value, confidence from {cells}) "
+        "partition by (page_id, cluster_id) order by (row_idx, col_idx))", cells=cells)
+    return rows.select("page_id", "cluster_id", "row_idx", "row_confidence", F.explode("cells").alias("standard_name", "value"))
+
+
 LABELS = {"quantity": ["qty"], "total_amount": ["amount"], "invoice_number": ["item", "part 1"]}
 LABEL_ROWS = ", ".join(f"('{f}', '{w}')" for f, ws in LABELS.items() for w in ws)
 

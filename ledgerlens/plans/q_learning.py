@@ -34,6 +34,24 @@ def calibrated_threshold(t):
     return L.calibrated_threshold(L.field_accuracy(t.extracted_fields), error=-0.3)
 
 
+SURE = REPORT.format(where="where confidence >= 0.97")
+
+
+@query("A6", views="extracted_fields", sql=f"""
+select field_name, total_extractions, concat('Field ''', field_name, ''' is over-confident: confidence ', printf('%.2f', avg_confidence), ' against accuracy ', printf('%.2f', accuracy),
+  '. Consider stricter validation.') as suggestion from ({SURE}) where calibration_error > 0.3::double and total_extractions > 10""")
+def over_confident_sure_fields(t):
+    """Fields that were sure, at the default limit."""
+    return L.over_confident(L.field_accuracy(t.extracted_fields.where("confidence >= 0.97")))
+
+
+@query("A7", views="extracted_fields", sql=f"""
+select least(0.95, 0.7 + 0.05 * count(*) filter (where calibration_error > 0.2::double))::double as extraction_threshold,
+  count(*) filter (where calibration_error > 0.2::double) as raised_by, count(*) as fields_analyzed from ({SURE})""")
+def calibrated_threshold_sure_fields(t):
+    return L.calibrated_threshold(L.field_accuracy(t.extracted_fields.where("confidence >= 0.97")))
+
+
 SETS = """with s as (select doc_id, string_agg(field_name, ',' order by field_name) as fields from (
   select distinct doc_id, field_name from sparse_fields) group by doc_id)"""
 
