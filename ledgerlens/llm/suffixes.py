@@ -12,7 +12,8 @@ partitions; what neighbours across partitions share is found from the rows at th
 with different documents, all windows of ``least`` words inside the merged stretches are hashed, and those of two documents, merged, are the result.
 
 Defined cases: null and short texts have no repeats; rows of equal id are one document and don't repeat each other, nor does a document repeat
-itself; a null id is an id. Only the named columns are read.
+itself; a null id is an id. Spans belong to a text: an id with several texts has the spans of each, told apart by the hash of the text, and rows
+of equal id and text give them once. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def heads_of(docs: DataFrame, least: int, windows: int, gram: int) -> DataFrame:
 
 
 def suffixes(docs: DataFrame, heads: DataFrame, least: int, windows: int, gram: int) -> DataFrame:
-    """key, head, right and left (neighbouring words), places (word positions): a row for equal suffixes of a document."""
+    """key, row, head, right and left (neighbouring words), places (word positions): a row for equal suffixes of a text."""
     used = heads.select(F.expr(f"head & {FILTER_BITS - 1}").alias("slot"))
     used = used.select(F.expr("cast(shiftright(slot, 3) as int)").alias("byte"), F.expr("shiftleft(1, cast(slot & 7 as int))").alias("bit"))
     used = used.groupBy("byte").agg(F.bit_or("bit").cast("smallint").alias("bits")).toArrow()  # at most FILTER_BITS / 8 rows of six bytes
@@ -102,12 +103,12 @@ def suffixes(docs: DataFrame, heads: DataFrame, least: int, windows: int, gram:
             head = order[first]
             places = (at - words.offsets[document])[order] if len(order) else at
             yield pa.RecordBatch.from_arrays([
-                batch.column("key").take(pa.array(document[head])), pa.array(found[head].view(np.int64)),
+                *[batch.column(c).take(pa.array(document[head])) for c in ("key", "row")], pa.array(found[head].view(np.int64)),
                 pa.array([r.tobytes() for r in right[head]], pa.binary()), pa.array([r.tobytes() for r in left[head]], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(places.astype(np.int32)))],
-                names=["key", "head", "right", "left", "places"])
+                names=["key", "row", "head", "right", "left", "places"])
 
-    return docs.mapInArrow(scan, "key long, head long, right binary, left binary, places array<int>").join(heads, "head", "left_semi")
+    return docs.mapInArrow(scan, "key long, row long, head long, right binary, left binary, places array<int>").join(heads, "head", "left_semi")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,8 +137,8 @@ def best_matches(head: np.ndarray, key: np.ndarray, words: np.ndarray) -> np.nda
 
 
 def neighbours(rows: DataFrame, side: str, width: int) -> DataFrame:
-    """key, places, more: by how many words a suffix's best match goes on beyond its head, on one side."""
-    ordered = rows.select("key", "head", F.col(side).alias("words"), "places").repartitionByRange("head", "words", "key").sortWithinPartitions("head", "words", "key")
+    """key, row, places, more: by how many words a suffix's best match goes on beyond its head, on one side."""
+    ordered = rows.select("key", "row", "head", F.col(side).alias("words"), "places").repartitionByRange("head", "words", "key").sortWithinPartitions("head", "words", "key")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with their best match inside the partition; rows at the partition's edges with their words, to be compared across."""
@@ -146,9 +147,9 @@ def neighbours(rows: DataFrame, side: str, width: int) -> DataFrame:
         def out(batch: pa.Table, best: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
             n = len(best)
             return pa.RecordBatch.from_arrays([
-                batch["key"].combine_chunks(), batch["head"].combine_chunks(), pa.array(np.full(n, part, np.int32)), pa.array(best),
+                batch["key"].combine_chunks(), batch["row"].combine_chunks(), batch["head"].combine_chunks(), pa.array(np.full(n, part, np.int32)), pa.array(best),
                 pa.array(edge), batch["words"].combine_chunks(), batch["places"].combine_chunks()],
-                names=["key", "head", "part", "more", "edge", "words", "places"])
+                names=["key", "row", "head", "part", "more", "edge", "words", "places"])
 
         tail, tail_best, first = None, np.zeros(0, np.int64), True
         for batch in batches:
@@ -175,7 +176,7 @@ def neighbours(rows: DataFrame, side: str, width: int) -> DataFrame:
         if tail is not None:
             yield out(tail, tail_best, np.ones(len(tail_best), bool))
 
-    kind = "key long, head long, part int, more long, edge boolean, words binary, places array<int>"
+    kind = "key long, row long, head long, part int, more long, edge boolean, words binary, places array<int>"
     found = written(ordered.mapInArrow(runs, kind), f"suffix-{side}")
     # A partition's edge is the rows of its first and last document and one row further: few rows for each partition.
     edges = found.where("edge").orderBy("part", "head", "words", "key").coalesce(1)
@@ -188,10 +189,11 @@ def neighbours(rows: DataFrame, side: str, width: int) -> DataFrame:
         words = np.frombuffer(b"".join(table["words"].to_pylist()), ">u4").reshape(-1, width)
         best = best_matches(table["head"].to_numpy(), table["key"].to_numpy(), words)
         best = np.maximum(best, table["more"].to_numpy())
-        yield pa.RecordBatch.from_arrays([table["key"].combine_chunks(), pa.array(best), table["places"].combine_chunks()], names=["key", "more", "places"])
+        yield pa.RecordBatch.from_arrays(
+            [table["key"].combine_chunks(), table["row"].combine_chunks(), pa.array(best), table["places"].combine_chunks()], names=["key", "row", "more", "places"])
 
-    crossed = edges.mapInArrow(across, "key long, more long, places array<int>")
-    return found.where("not edge").select("key", "more", "places").union(crossed).where("more >= 0")
+    crossed = edges.mapInArrow(across, "key long, row long, more long, places array<int>")
+    return found.where("not edge").select("key", "row", "more", "places").union(crossed).where("more >= 0")
 
 
 def lead(head: np.ndarray, key: np.ndarray) -> int:
@@ -203,58 +205,57 @@ def lead(head: np.ndarray, key: np.ndarray) -> int:
 
 
 def joined(spans: DataFrame) -> DataFrame:
-    """key, start, end: the union of each document's spans."""
-    # A document's spans in order: a new stretch begins where no earlier span reaches.
-    earlier = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    """key, row, start, end: the union of each text's spans."""
+    # A text's spans in order: a new stretch begins where no earlier span reaches.
+    earlier = Window.partitionBy("key", "row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("new", (F.coalesce(F.max("end").over(earlier), F.lit(-1)) < F.col("start")).cast("int"))
-    spans = spans.withColumn("stretch", F.sum("new").over(Window.partitionBy("key").orderBy("start")))
-    return spans.groupBy("key", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("key", "start", "end")
+    spans = spans.withColumn("stretch", F.sum("new").over(Window.partitionBy("key", "row").orderBy("start")))
+    return spans.groupBy("key", "row", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("key", "row", "start", "end")
 
 
 def windows_inside(rows: DataFrame, stretches: DataFrame, least: int) -> DataFrame:
-    """key, start and hash of each window of ``least`` words within a stretch of its document."""
-    listed = stretches.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
-    listed = listed.select("key", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
+    """key, row, start and hash of each window of ``least`` words within a stretch of its text."""
+    listed = stretches.groupBy("key", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
+    listed = listed.select("key", "row", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             words = words_of(batch.column("text"), SPACE_LOWER)
             hashes, at = grams(words, least)
             counts = batch.column("starts").value_lengths().to_numpy(zero_copy_only=False)
-            first, size = np.repeat(words.offsets[:-1], counts), np.repeat(np.diff(words.offsets), counts)
-            # Rows of an equal id share its stretches, which may go beyond the shorter text.
-            starts = first + np.minimum(batch.column("starts").flatten().to_numpy(), size)
-            ends = first + np.minimum(batch.column("ends").flatten().to_numpy(), size)
+            first = np.repeat(words.offsets[:-1], counts)
+            starts = first + batch.column("starts").flatten().to_numpy()
+            ends = first + batch.column("ends").flatten().to_numpy()
             of = np.searchsorted(starts, at, "right") - 1
             keep = (of >= 0) & (at + least <= ends[of]) if len(ends) else np.zeros(len(at), bool)
             document = words.document()[at[keep]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(document)), pa.array((at[keep] - words.offsets[document]).astype(np.int64)), pa.array(hashes[keep].view(np.int64))],
-                names=["key", "start", "hash"])
+                [*[batch.column(c).take(pa.array(document)) for c in ("key", "row")], pa.array((at[keep] - words.offsets[document]).astype(np.int64)), pa.array(hashes[keep].view(np.int64))],
+                names=["key", "row", "start", "hash"])
 
-    return rows.join(listed, "key").select("key", "text", "starts", "ends").mapInArrow(scan, "key long, start long, hash long")
+    return rows.join(listed, ["key", "row"]).select("key", "row", "text", "starts", "ends").mapInArrow(scan, "key long, row long, start long, hash long")
 
 
 def repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, windows: int = WINDOWS, gram: int = GRAM,
 ) -> DataFrame:
-    """doc_id, start, end (words): the stretches of each document that other documents have, too."""
+    """doc_id, text_hash, start, end (words): the stretches of each text that other documents have, too."""
     head = least - windows + 1
     assert gram <= head
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     whole = dict(ids.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) if whole else F.xxhash64("doc_id")
     ids = ids.withColumn("key", key)
-    rows = ids.select("key", "text").where("text is not null")
+    rows = ids.where("text is not null").select("key", F.xxhash64("text").alias("row"), "text")
     heads = written(heads_of(rows, least, windows, gram), "suffix-heads")
     kept = written(suffixes(rows, heads, least, windows, gram), "suffixes")
-    right = neighbours(kept, "right", windows).select("key", F.explode("places").alias("start"), (F.col("more") + head).alias("length"), F.lit(0).alias("before"))
-    left = neighbours(kept, "left", windows - 1).select("key", F.explode("places").alias("start"), F.lit(head).cast("long").alias("length"), F.col("more").alias("before"))
-    spans = right.union(left.select("key", "start", "length", "before")).select(
-        "key", (F.col("start") - F.col("before")).cast("long").alias("start"), (F.col("start") + F.col("length")).alias("end"))
-    spans = spans.groupBy("key", "start").agg(F.max("end").alias("end"))
+    right = neighbours(kept, "right", windows).select("key", "row", F.explode("places").alias("start"), (F.col("more") + head).alias("length"), F.lit(0).alias("before"))
+    left = neighbours(kept, "left", windows - 1).select("key", "row", F.explode("places").alias("start"), F.lit(head).cast("long").alias("length"), F.col("more").alias("before"))
+    spans = right.union(left.select("key", "row", "start", "length", "before")).select(
+        "key", "row", (F.col("start") - F.col("before")).cast("long").alias("start"), (F.col("start") + F.col("length")).alias("end"))
+    spans = spans.groupBy("key", "row", "start").agg(F.max("end").alias("end"))
     long = joined(spans).where(F.col("end") - F.col("start") >= least)
     inside = written(windows_inside(rows, long, least), "suffix-windows")
     shared = inside.groupBy("hash").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("hash")
-    merged = joined(inside.join(shared, "hash", "left_semi").select("key", "start", (F.col("start") + least).alias("end")).distinct())
-    return merged.join(ids.select("doc_id", "key").distinct(), "key").select("doc_id", "start", "end")
+    merged = joined(inside.join(shared, "hash", "left_semi").select("key", "row", "start", (F.col("start") + least).alias("end")).distinct())
+    return merged.join(ids.select("doc_id", "key").distinct(), "key").select("doc_id", F.col("row").alias("text_hash"), "start", "end")
