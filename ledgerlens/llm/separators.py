@@ -5,7 +5,8 @@ blocks that are read and searched independently (one vectorised comparison each)
 documents end before it, and where its first document starts, come from a prefix scan over the blocks' counts and last
 separators. The scan has two levels, sums of a thousand blocks first, so one large file does not meet in a task.
 
-Defined cases: an empty file has no documents; separators in a row end empty documents; tokens after the last separator are a document that is not
+Defined cases: a marker of the vocabulary inside a text is written as the ids of its letters, never as the separator; ids that ``width`` bytes
+can't hold are refused; an empty file has no documents; separators in a row end empty documents; tokens after the last separator are a document that is not
 terminated; bytes after the last whole token are ignored.
 """
 
@@ -25,6 +26,24 @@ from ledgerlens.llm.tokens import WordIds
 from ledgerlens.llm.words import blocks, text_bytes, written
 from ledgerlens.session import scratch_path
 
+_PLAIN: dict[str, PlainIds] = {}
+
+
+class PlainIds(WordIds):
+    """Ids of texts whose markers are letters like any other."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.tokenizer.encode_special_tokens = True
+
+    @classmethod
+    def of(cls, path: str) -> PlainIds:
+        """The worker's own instance."""
+        if path not in _PLAIN:
+            _PLAIN[path] = cls(path)
+        return _PLAIN[path]
+
+
 #: Bytes of a block; blocks of a group of the prefix scan.
 BLOCK, GROUP = 4 << 20, 1024
 
@@ -56,9 +75,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: i
             for batch in blocks(batches, "text"):
                 data, bounds = text_bytes(batch.column("text"))
                 texts = [data[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                for ids in words.encode_all(texts):
-                    out.write(np.frombuffer(ids, "<u4").astype(kind).tobytes() + end)
-                    documents, tokens = documents + 1, tokens + len(ids) // 4 + 1
+                for one, ids in zip(texts, words.encode_all(texts), strict=True):
+                    ids = np.frombuffer(ids, "<u4")
+                    if (ids == separator).any():
+                        ids = np.frombuffer(PlainIds.of(tokenizer).encode(one), "<u4")
+                    if (ids == separator).any() or (ids >> np.uint32(8 * width - 1) > 1).any():
+                        raise ValueError(f"a text has the separator {separator}, or an id above {width} bytes, among its ids")
+                    out.write(ids.astype(kind).tobytes() + end)
+                    documents, tokens = documents + 1, tokens + len(ids) + 1
         system.move(part, f"{root}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([documents]), pa.array([tokens])], names=["file", "documents", "tokens"])
 
