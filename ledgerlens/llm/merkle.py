@@ -6,7 +6,8 @@ hashes differ: at each level the children of differing nodes are compared, and o
 the logarithm of a file's size, so the loop over them is short; payloads are read once, for their hashes.
 
 Defined cases: records without a file or offset take part with those values as keys; a null payload hashes like an empty one but keeps a null length;
-records of equal file and offset are told apart by number in the order of their hashes; a file that only one replica has differs in all of its records.
+records of equal file and offset are told apart by number in the order of their hashes; records that stand elsewhere in the same file of the other
+replica, as all do that follow a lost one, are moved, equal ones paired in order; a file that only one replica has differs in all of its records.
 Equal replicas give no rows. Only the named columns are read.
 """
 
@@ -52,9 +53,10 @@ def tree(records: DataFrame, levels: int, fan: int = FAN) -> DataFrame:
 
 
 def audit(left: DataFrame, right: DataFrame, fan: int = FAN) -> DataFrame:
-    """Differing records of two indexes: file, offset, copy, status (changed, missing, extra), left and right length and sha256.
+    """Differing records of two indexes: file, offset, copy, status, left and right length and sha256, right_offset.
 
-    ``missing``: only the left replica has the record; ``extra``: only the right one.
+    ``changed``: other content at the same offset; ``missing``: only the left replica has the record; ``extra``: only the right one;
+    ``moved``: the right replica has it at ``right_offset``. A record that was changed behind a lost one is missing and extra.
     """
     left, right = written(left, "replica-left"), written(right, "replica-right")
     # Ranges are numbered from -1 (no offset) up, so a tree is complete when the highest number's path ends at 0 and -1 stays apart.
@@ -75,10 +77,26 @@ def audit(left: DataFrame, right: DataFrame, fan: int = FAN) -> DataFrame:
     sides = [
         side.join(ranges, ["file", "range"], "left_semi").select("file", "offset", "copy", F.col("length").alias(f"{n}_length"), F.col("sha256").alias(f"{n}_sha256"))
         for side, n in ((left, "left"), (right, "right"))]
-    both = sides[0].join(sides[1], ["file", "offset", "copy"], "full")
-    status = F.when(F.col("right_sha256").isNull(), "missing").when(F.col("left_sha256").isNull(), "extra").otherwise("changed")
+    at, kinds = ["file", "offset", "copy"], ("left", "right")
     differs = ~(F.col("left_sha256").eqNullSafe(F.col("right_sha256")) & F.col("left_length").eqNullSafe(F.col("right_length")))
-    return both.where(differs).select("file", "offset", "copy", status.alias("status"), "left_length", "left_sha256", "right_length", "right_sha256")
+    both = written(sides[0].join(sides[1], at, "full").where(differs), "merkle-records")
+    # Equal records of both sides are paired in order; both ranges of a moved record differ, so none is overlooked.
+    turn = Window.partitionBy("file", "sha256", "length").orderBy("offset", "copy")
+    left, right = (
+        both.where(F.col(f"{n}_sha256").isNotNull()).select(*at, F.col(f"{n}_length").alias("length"), F.col(f"{n}_sha256").alias("sha256")).withColumn(
+            "turn", F.row_number().over(turn)) for n in kinds)
+    there = right.select(*[F.col(c).alias(f"_{c}") for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("file", "sha256", "length", "turn")]
+    moved = written(left.join(there, same).select(
+        *at, "length", "sha256", F.col("_offset").alias("right_offset"), F.col("_copy").alias("right_copy")), "merkle-moved")
+    sides = [
+        side.join(moved.select("file", F.col(f"{p}offset").alias("offset"), F.col(f"{p}copy").alias("copy")), at, "left_anti").select(
+            *at, F.col("length").alias(f"{n}_length"), F.col("sha256").alias(f"{n}_sha256"))
+        for side, n, p in ((left, "left", ""), (right, "right", "right_"))]
+    status = F.when(F.col("right_sha256").isNull(), "missing").when(F.col("left_sha256").isNull(), "extra").otherwise("changed")
+    rest = sides[0].join(sides[1], at, "full").select(
+        *at, status.alias("status"), "left_length", "left_sha256", "right_length", "right_sha256", F.lit(None).cast("long").alias("right_offset"))
+    return rest.union(moved.select(*at, F.lit("moved"), "length", "sha256", "length", "sha256", "right_offset"))
 
 
 def warc_records(pages: DataFrame, per_file: int = 1000) -> DataFrame:

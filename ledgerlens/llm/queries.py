@@ -36,7 +36,7 @@ def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages table as WARC records against a replica with planted faults."""
     records = merkle.warc_records(table(spark, sf_dir, "pages"))
-    return merkle.audit(merkle.index(records), merkle.index(merkle.damaged(records)))
+    return merkle.audit(merkle.index(records), merkle.index(merkle.damaged(records))).drop("right_offset")
 
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
