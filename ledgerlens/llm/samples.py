@@ -16,16 +16,19 @@ MOST_LABELS = 1000
 
 
 def bounded(rows: DataFrame, label: str, most: int, *keys: str) -> DataFrame:
-    """At most about ``most`` rows of each label, chosen by a hash of ``keys``; all rows of a label that has fewer.
+    """At most about ``most`` rows of each label, chosen by a hash of ``keys``; all of a label that has fewer. Rows of a label whose
+    ``keys`` are equal count as one and give one.
 
-    The share of a label is set from exact counts, so the result has the same size at every size of the input. Shares are literals
-    in a filter: no row moves. More than ``MOST_LABELS`` labels are refused.
+    The share of a label is set from exact counts of distinct hashes, so the result has the same size at every size of the input and
+    however often a row repeats. Shares are literals in a filter, before anything but hashes moves. More than ``MOST_LABELS`` labels
+    are refused.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().limit(MOST_LABELS + 1).collect()
+    distinct = rows.where(F.col(label).isNotNull()).select(label, F.xxhash64(*keys).alias("_hash")).distinct()
+    counts = distinct.groupBy(label).count().limit(MOST_LABELS + 1).collect()
     if len(counts) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
     if not counts:
         return rows.where("false")
     shares = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(most / r[1]))])
     draw = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where(draw < F.try_element_at(shares, F.col(label)))
+    return rows.where(draw < F.try_element_at(shares, F.col(label))).dropDuplicates([label, *keys])

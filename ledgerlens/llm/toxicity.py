@@ -10,7 +10,8 @@ first gives every window its text's label, then takes all windows of the clean t
 through the distinct words of a block: input projections are computed once per distinct word.
 
 Defined cases: null and wordless texts are scored like a text without any word (one window of padding); without labelled rows every
-score is 0. Repeated rows and ids give a row each; if an id has several labels, one toxic label counts. Only the named columns are read.
+score is 0. Repeated rows and ids give a row each; if an id has several labels, one toxic label counts, and if it has several texts, training takes the
+one with the smallest hash, so the bound of the sample holds however often an id repeats. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -329,6 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
     chosen = bounded(known, "toxic", TRAIN_TEXTS, "doc_id")  # about twice TRAIN_TEXTS ids: small enough for every task
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
