@@ -9,7 +9,8 @@ extends the head to the right and to the left as far as any other document allow
 
 Sorting is by range over head, words and document together, so a head that a third of all documents share is cut into many
 partitions; what neighbours across partitions share is found from the rows at the edges. Overlapping matches of a document are merged; as they may be
-with different documents, all windows of ``least`` words inside the merged stretches are hashed, and those of two documents, merged, are the result.
+with different documents, all windows of ``least`` words inside the merged stretches are hashed; what is left of the stretches without the windows
+that one document has only is the result.
 
 Defined cases: null and short texts have no repeats; rows of equal id are one document and don't repeat each other, nor does a document repeat
 itself; a null id is an id. Spans belong to a text: an id with several texts has the spans of each, told apart by the hash of the text, and rows
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,22 +75,31 @@ def heads_of(docs: DataFrame, least: int, windows: int, gram: int) -> DataFrame:
     return found.where("low <> high").select("head")
 
 
-def suffixes(docs: DataFrame, heads: DataFrame, least: int, windows: int, gram: int) -> DataFrame:
-    """key, row, head, right and left (neighbouring words), places (word positions): a row for equal suffixes of a text."""
-    used = heads.select(F.expr(f"head & {FILTER_BITS - 1}").alias("slot"))
+def bit_table(values: DataFrame, name: str) -> np.ndarray:
+    """A table of fixed size with a bit for the low bits of each value: what has none is not among the values."""
+    used = values.select(F.expr(f"{name} & {FILTER_BITS - 1}").alias("slot"))
     used = used.select(F.expr("cast(shiftright(slot, 3) as int)").alias("byte"), F.expr("shiftleft(1, cast(slot & 7 as int))").alias("bit"))
     used = used.groupBy("byte").agg(F.bit_or("bit").cast("smallint").alias("bits")).toArrow()  # at most FILTER_BITS / 8 rows of six bytes
     table = np.zeros(FILTER_BITS >> 3, np.uint8)
     table[used["byte"].to_numpy()] = used["bits"].to_numpy().astype(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = (values & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (table[slot >> 3] & (1 << (slot & 7)).astype(np.uint8)) > 0
+
+
+def suffixes(docs: DataFrame, heads: DataFrame, least: int, windows: int, gram: int) -> DataFrame:
+    """key, row, head, right and left (neighbouring words), places (word positions): a row for equal suffixes of a text."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(heads, "head"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in blocks(batches, "text"):
             words = words_of(batch.column("text"), SPACE_LOWER)
             found, at = suffix_places(words, least, windows, gram)
-            slot = (found & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-            keep = (table[slot >> 3] & (1 << (slot & 7)).astype(np.uint8)) > 0
+            keep = in_table(table, found)
             found, at = found[keep], at[keep]
             document = words.document()[at] if len(at) else at
             right = sides(words, at, least - windows + 1, 1, windows) if len(at) else np.zeros((0, windows), ">u4")
@@ -141,14 +152,14 @@ def neighbours(rows: DataFrame, side: str, width: int) -> DataFrame:
     ordered = rows.select("key", "row", "head", F.col(side).alias("words"), "places").repartitionByRange("head", "words", "key").sortWithinPartitions("head", "words", "key")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with their best match inside the partition; rows at the partition's edges with their words, to be compared across."""
+        """Rows with their best match inside the partition; only rows at the partition's edges keep their words, to be compared across."""
         part = TaskContext.get().partitionId()
 
         def out(batch: pa.Table, best: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
             n = len(best)
             return pa.RecordBatch.from_arrays([
                 batch["key"].combine_chunks(), batch["row"].combine_chunks(), batch["head"].combine_chunks(), pa.array(np.full(n, part, np.int32)), pa.array(best),
-                pa.array(edge), batch["words"].combine_chunks(), batch["places"].combine_chunks()],
+                pa.array(edge), pc.if_else(pa.array(edge), batch["words"].combine_chunks(), pa.scalar(None, pa.binary())), batch["places"].combine_chunks()],
                 names=["key", "row", "head", "part", "more", "edge", "words", "places"])
 
         tail, tail_best, first = None, np.zeros(0, np.int64), True
@@ -214,7 +225,7 @@ def joined(spans: DataFrame) -> DataFrame:
 
 
 def windows_inside(rows: DataFrame, stretches: DataFrame, least: int) -> DataFrame:
-    """key, row, start and hash of each window of ``least`` words within a stretch of its text."""
+    """key, row, stretch (its start), start and hash of each window of ``least`` words within a stretch of its text."""
     listed = stretches.groupBy("key", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
     listed = listed.select("key", "row", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
 
@@ -229,11 +240,42 @@ def windows_inside(rows: DataFrame, stretches: DataFrame, least: int) -> DataFra
             of = np.searchsorted(starts, at, "right") - 1
             keep = (of >= 0) & (at + least <= ends[of]) if len(ends) else np.zeros(len(at), bool)
             document = words.document()[at[keep]]
+            begin = words.offsets[document]
+            stretch = starts[of[keep]] - begin if len(ends) else begin
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).take(pa.array(document)) for c in ("key", "row")], pa.array((at[keep] - words.offsets[document]).astype(np.int64)), pa.array(hashes[keep].view(np.int64))],
-                names=["key", "row", "start", "hash"])
+                [*[batch.column(c).take(pa.array(document)) for c in ("key", "row")], pa.array(stretch.astype(np.int32)),
+                 pa.array((at[keep] - begin).astype(np.int32)), pa.array(hashes[keep].view(np.int64))],
+                names=["key", "row", "stretch", "start", "hash"])
+
+    there = rows.join(listed, ["key", "row"]).select("key", "row", "text", "starts", "ends")
+    return there.mapInArrow(scan, "key long, row long, stretch int, start int, hash long")
+
+
+def lone_windows(inside: DataFrame) -> DataFrame:
+    """key, row, stretch, start of the windows that one document has only.
+
+    Nearly all windows of a stretch are shared, and most of these are told by a bit table of the lone hashes, so few rows move.
+    """
+    lone = inside.groupBy("hash").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low = high").select("hash")
+    lone = written(lone, "suffix-lone")
+    table = inside.sparkSession.sparkContext.broadcast(bit_table(lone, "hash"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_table(table.value, batch.column("hash").to_numpy().view(np.uint64))))
+
+    doubtful = inside.mapInArrow(scan, "key long, row long, stretch int, start int, hash long")
+    return doubtful.join(lone, "hash", "left_semi").select("key", "row", "stretch", "start").distinct()
+
 
-    return rows.join(listed, ["key", "row"]).select("key", "row", "text", "starts", "ends").mapInArrow(scan, "key long, row long, start long, hash long")
+def without(stretches: DataFrame, lone: DataFrame, least: int) -> DataFrame:
+    """key, row, start, end: the runs of windows of each stretch that its lone windows leave."""
+    border = stretches.select("key", "row", F.col("start").alias("stretch"), (F.col("start") - 1).alias("at"), (F.col("end") - least + 1).alias("last"))
+    inner = lone.select("key", "row", F.col("stretch").cast("long").alias("stretch"), F.col("start").cast("long").alias("at"), F.lit(None).cast("long").alias("last"))
+    whole = Window.partitionBy("key", "row", "stretch")
+    runs = border.union(inner).select(
+        "key", "row", (F.col("at") + 1).alias("start"), F.coalesce(F.lead("at").over(whole.orderBy("at")), F.max("last").over(whole)).alias("stop"))
+    return runs.where("start < stop").select("key", "row", "start", (F.col("stop") - 1 + least).alias("end"))
 
 
 def repeats(
@@ -254,8 +296,7 @@ def repeats(
     spans = right.union(left.select("key", "row", "start", "length", "before")).select(
         "key", "row", (F.col("start") - F.col("before")).cast("long").alias("start"), (F.col("start") + F.col("length")).alias("end"))
     spans = spans.groupBy("key", "row", "start").agg(F.max("end").alias("end"))
-    long = joined(spans).where(F.col("end") - F.col("start") >= least)
+    long = written(joined(spans).where(F.col("end") - F.col("start") >= least), "suffix-stretches")
     inside = written(windows_inside(rows, long, least), "suffix-windows")
-    shared = inside.groupBy("hash").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("hash")
-    merged = joined(inside.join(shared, "hash", "left_semi").select("key", "row", "start", (F.col("start") + least).alias("end")).distinct())
+    merged = joined(without(long, lone_windows(inside), least))
     return merged.join(ids.select("doc_id", "key").distinct(), "key").select("doc_id", F.col("row").alias("text_hash"), "start", "end")
