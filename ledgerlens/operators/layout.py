@@ -1,21 +1,24 @@
 """Tables and values out of OCR boxes (page_id, box_id, text, x_min, y_min, x_max, y_max).
 
 Every step is keyed by ``keys``: by page where a page is one table, by page and cluster (``clustered``) where it may hold
-several. Summaries of a table hold only what its header needs (region, row starts, header cells), so cells meet them by a join
-that adaptive execution can split.
+several. The boxes are shuffled once by these keys (``by_table``); summaries, header columns and cells of a table are made and
+merged where its boxes are. A summary per table grows with the input, so it is never broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.geometry import axis_gap, cells, center
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import cut_lineage, written
 
 NEAR = 50.0
 ROW_GAP = 10.0
@@ -66,6 +69,16 @@ def numeric_cell(text: Column, column: Column) -> Column:
         F.when(is_number_column, F.when(number.isNotNull(), 0.95).otherwise(0.1)).otherwise(0.9).alias("confidence"))
 
 
+def by_table(boxes: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
+    """Boxes shuffled by table, so that no later step by table shuffles them again."""
+    return boxes.repartition(*keys)
+
+
+def merged(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a frame of a row per table, without a broadcast however small the optimizer thinks it is."""
+    return left.join(right.hint("merge"), [*keys], how)
+
+
 def regions(boxes: DataFrame, min_cells: int = MIN_CELLS, keys: Sequence[str] = PAGE) -> DataFrame:
     """Bounding region per table; fewer than ``min_cells`` boxes make no table."""
     return boxes.groupBy(*keys).agg(
@@ -121,61 +134,68 @@ def row_groups_exact(boxes: DataFrame, threshold: float = ROW_GAP) -> DataFrame:
     return ordered.mapInPandas(assign, "page_id long, box_id long, row_idx int")
 
 
+def _placed(rows: DataFrame, gap: float, keys: Sequence[str]) -> DataFrame:
+    """Adds ``place`` (rows that start up to here, the first of a table always does) and ``row_idx`` (rows of a known height before it) by ``yc``."""
+    w = Window.partitionBy(*keys).orderBy("yc")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    step = F.col("yc") - F.lag("yc").over(w)
+    rows = rows.withColumn("starts", F.when((F.row_number().over(w) == 1) | ((step >= gap) & (step > 0)), 1).otherwise(0))
+    known = F.when(F.col("yc").isNotNull(), F.col("starts")).otherwise(0)
+    return rows.select("*", F.sum("starts").over(upto).cast("int").alias("place"), (F.sum(known).over(upto) - 1).cast("int").alias("row_idx")).drop("starts")
+
+
+def _totals(candidates: int, n: Column, marked: Column, chars: Column, sides: Sequence[str]) -> dict[str, Column]:
+    """Aggregates of a table: region, rows, and the sizes of its first rows."""
+    x0, y0, x1, y1 = sides
+    first = F.col("place") <= candidates
+    out = {"cells": F.sum(n), "rx_min": F.min(x0), "ry_min": F.min(y0), "rx_max": F.max(x1), "ry_max": F.max(y1), "num_rows": F.max("place")}
+    for r in range(candidates):
+        here = first & (F.col("row_idx") == r)
+        out |= {f"n_{r}": F.sum(F.when(here, n)), f"marked_{r}": F.sum(F.when(here, marked)), f"chars_{r}": F.sum(F.when(here, chars))}
+    return out
+
+
+def _with_header(tables: DataFrame, candidates: int) -> DataFrame:
+    """header_row and header_confidence instead of the sizes: the best scored of the first rows; a single row is row 0 at confidence 0.5."""
+
+    def scored(r):
+        n = F.col(f"n_{r}")
+        position = F.lit(1.0) - F.lit(r) / (F.col("num_rows") + 1)
+        length = F.when(F.try_divide(f"chars_{r}", n).between(5, 30), 1.0).otherwise(0.6)
+        points = F.try_divide(F.col(f"marked_{r}"), n) * 0.5 + position * 0.3 + length * 0.2
+        return F.when(F.col("num_rows") > r, F.struct(points.alias("score"), F.lit(-r).alias("turn")))
+
+    best, single = F.array_max(F.array(*[scored(r) for r in range(candidates)])), F.col("num_rows") < 2
+    sizes = [f"{c}_{r}" for c in ("n", "marked", "chars") for r in range(candidates)]
+    return tables.withColumn("best", best).withColumns({
+        "header_row": F.when(single, 0).otherwise(-F.col("best.turn")),
+        "header_confidence": F.when(single, 0.5).otherwise(F.least(F.lit(1.0), F.col("best.score") * 1.2))}).drop("best", "cells", "place", *sizes)
+
+
 def page_summary(
     boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = MIN_CELLS, candidates: int = 3, keys: Sequence[str] = PAGE,
 ) -> DataFrame:
-    """One row per table: region, row starts, header row and its confidence.
+    """One row per table: region, number of rows, header row and its confidence.
 
-    Boxes shrink to one row per (table, height) before they meet per table. The header is the best scored
-    of the first rows; a single row is row 0 at confidence 0.5.
+    Boxes shrink to one row per (table, height) before they meet per table.
     """
-    t = F.lower("text")
     heights = boxes.groupBy(*keys, center(F.col("y_min"), F.col("y_max")).alias("yc")).agg(
-        F.count("*").alias("n"), F.count_if(contains_any(t, HEADER_WORDS)).alias("marked"), F.sum(F.length("text")).alias("chars"),
+        F.count("*").alias("n"), F.count_if(contains_any(F.lower("text"), HEADER_WORDS)).alias("marked"), F.sum(F.length("text")).alias("chars"),
         F.min("x_min").alias("x0"), F.min("y_min").alias("y0"), F.max("x_max").alias("x1"), F.max("y_max").alias("y1"))
-    page = heights.groupBy(*keys).agg(
-        F.sum("n").alias("cells"), F.min("x0").alias("rx_min"), F.min("y0").alias("ry_min"), F.max("x1").alias("rx_max"),
-        F.max("y1").alias("ry_max"), F.sort_array(F.collect_list(F.struct("yc", "n", "marked", "chars"))).alias("h")).where(
-        F.col("cells") >= min_cells)
-    starts = F.transform(F.filter("h", lambda h, i: (i == 0) | (h["yc"] - F.get("h", i - 1)["yc"] >= gap)), lambda h: h["yc"])
-    page = page.withColumn("row_starts", starts).withColumn("num_rows", F.size("row_starts"))
-
-    # heights of the first rows only, each with its row
-    below = F.get("row_starts", F.lit(candidates))
-    top = F.filter("h", lambda h: below.isNull() | (h["yc"] < below))
-    page = page.withColumn("top", top).drop("h")
-    page = page.withColumn("top", F.transform("top", lambda h: F.struct(
-        (F.size(F.filter(F.slice("row_starts", 1, candidates), lambda s: s <= h["yc"])) - 1).alias("row"), h["n"].alias("n"),
-        h["marked"].alias("marked"), h["chars"].alias("chars"))))
-    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "marked", "chars")])
-
-    def total(r):
-        return F.aggregate("top", zero, lambda acc, h: F.when(h["row"] == r, F.struct(
-            *[(acc[c] + h[c]).alias(c) for c in ("n", "marked", "chars")])).otherwise(acc))
-
-    page = page.withColumns({f"row_{r}": total(r) for r in range(candidates)})
-
-    def scored(r):
-        n = F.col(f"row_{r}.n")
-        position = F.lit(1.0) - F.lit(r) / (F.col("num_rows") + 1)
-        length = F.when((F.col(f"row_{r}.chars") / n).between(5, 30), 1.0).otherwise(0.6)
-        points = F.col(f"row_{r}.marked") / n * 0.5 + position * 0.3 + length * 0.2
-        return F.when(F.col("num_rows") > r, F.struct(points.alias("score"), F.lit(-r).alias("turn")))
+    totals = _totals(candidates, F.col("n"), F.col("marked"), F.col("chars"), ["x0", "y0", "x1", "y1"])
+    page = _placed(heights, gap, keys).groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()]).where(F.col("cells") >= min_cells)
+    return _with_header(page, candidates)
 
-    page = page.withColumn("best", F.array_max(F.array(*[scored(r) for r in range(candidates)])))
-    single = F.col("num_rows") < 2
-    return page.select(
-        *keys, "rx_min", "ry_min", "rx_max", "ry_max", "row_starts", "num_rows",
-        F.when(single, 0).otherwise(-F.col("best.turn")).alias("header_row"),
-        F.when(single, 0.5).otherwise(F.least(F.lit(1.0), F.col("best.score") * 1.2)).alias("header_confidence"))
 
-
-def with_rows(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = MIN_CELLS, keys: Sequence[str] = PAGE) -> DataFrame:
-    """Boxes of tables with ``row_idx`` and the table's summary."""
-    page = page_summary(boxes, gap, min_cells, keys=keys)
-    b = boxes.withColumns({"xc": center(F.col("x_min"), F.col("x_max")), "yc": center(F.col("y_min"), F.col("y_max"))})
-    row = F.size(F.filter("row_starts", lambda s: s <= F.col("yc"))) - 1
-    return b.join(page, [*keys]).withColumn("row_idx", row).drop("row_starts")
+def with_rows(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = MIN_CELLS, keys: Sequence[str] = PAGE, candidates: int = 3) -> DataFrame:
+    """Boxes of tables with ``row_idx`` and the table's summary, by windows over the boxes of a table: one shuffle, no join."""
+    b = by_table(boxes, keys).withColumns({
+        "xc": center(F.col("x_min"), F.col("x_max")), "yc": center(F.col("y_min"), F.col("y_max")),
+        "marked": contains_any(F.lower("text"), HEADER_WORDS).cast("int")})
+    totals = _totals(candidates, F.lit(1), F.coalesce("marked", F.lit(0)), F.length("text"), ["x_min", "y_min", "x_max", "y_max"])
+    table = Window.partitionBy(*keys)
+    b = _placed(b, gap, keys).select("*", *[c.over(table).alias(n) for n, c in totals.items()]).where(F.col("cells") >= min_cells)
+    return _with_header(b, candidates).drop("marked")
 
 
 def header_rows(boxes: DataFrame) -> DataFrame:
@@ -205,7 +225,7 @@ def assign_columns(cells_df: DataFrame, columns: DataFrame, keys: Sequence[str]
         F.when((c["c_min"] <= xc) & (xc <= c["c_max"]), 0.0).otherwise(1.0).alias("outside"),
         F.when((c["c_min"] <= xc) & (xc <= c["c_max"]), 0.0).otherwise(F.abs(xc - (c["c_min"] + c["c_max"]) / 2)).alias("distance"),
         c["col_idx"].alias("col_idx"), c["standard_name"].alias("standard_name")))
-    j = cells_df.join(per_table, [*keys]).withColumn("best", F.array_min(ranked))
+    j = merged(cells_df, per_table, keys).withColumn("best", F.array_min(ranked))
     return j.withColumns({"col_idx": F.col("best.col_idx"), "standard_name": F.col("best.standard_name")}).drop("best", "cols")
 
 
@@ -244,17 +264,25 @@ def row_totals(cells_df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def extracted_tables(boxes: DataFrame) -> DataFrame:
     """One row per page: is there a table, its size and confidences."""
     rows = row_totals(table_cells(boxes), PAGE)
-    pages = boxes.select("page_id").distinct()
+    pages = by_table(boxes).select("page_id").distinct()
     n = F.coalesce("rows", F.lit(0))
-    return pages.join(rows, "page_id", "left").select(
+    return merged(pages, rows, PAGE, "left").select(
         "page_id", F.col("rows").isNotNull().alias("table_found"), n.alias("rows"), F.coalesce("cells", F.lit(0)).alias("cells"),
         F.coalesce(F.col("micro") / F.col("rows") / 1000000, F.lit(0.0)).alias("overall_confidence"),
         F.least(F.lit(1.0), n / 10).alias("table_confidence"))
 
 
 def clustered(boxes: DataFrame, distance: float = NEAR) -> DataFrame:
-    """Boxes with the ``cluster_id`` of the table they belong to, written once because every later step reads them."""
-    return cut_lineage(boxes.join(cluster_boxes(boxes, distance), ["page_id", "box_id"]))
+    """Boxes with the ``cluster_id`` of the table they belong to, written once because every later step reads them.
+
+    Clusters of a page of at most ``PAGE_BOXES`` boxes are found where the page's boxes lie; larger pages go by rounds of joins over all tasks.
+    """
+    kept = boxes.where("page_id is not null and box_id is not null")
+    found = written(by_page(kept, "cluster_id", near_labels, distance), "clusters")
+    large = found.where("cluster_id is null").drop("cluster_id")
+    if large.isEmpty():
+        return found
+    return found.where("cluster_id is not null").unionByName(large.join(cluster_rounds(large, distance), ["page_id", "box_id"]))
 
 
 @dataclass(frozen=True)
@@ -277,7 +305,8 @@ def page_tables(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = MIN_CEL
     columns = header_columns(rowed, TABLE)
     cells_df = cells_of(rowed, columns, TABLE)
     n, head = F.coalesce("rows", F.lit(0)), columns.groupBy(*TABLE).agg(F.count("*").alias("columns"))
-    tables = page_summary(split, gap, min_cells, keys=TABLE).join(head, [*TABLE]).join(row_totals(cells_df, TABLE), [*TABLE], "left").select(
+    summary = merged(page_summary(by_table(split, TABLE), gap, min_cells, keys=TABLE), head, TABLE)
+    tables = merged(summary, row_totals(cells_df, TABLE), TABLE, "left").select(
         *TABLE, "rx_min", "ry_min", "rx_max", "ry_max", "header_row", "header_confidence", "columns", n.alias("rows"),
         F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce(F.col("micro") / F.col("rows") / 1000000, F.lit(0.0)).alias("overall_confidence"),
         F.least(F.lit(1.0), n / 10).alias("table_confidence"))
@@ -290,7 +319,7 @@ def column_detection(found: PageTables) -> DataFrame:
     A column counts the rows of the tables whose header names it, once per header cell of that name; of a row's cells under one name
     the last column's counts.
     """
-    possible = found.columns.join(found.tables.select(*TABLE, "rows"), [*TABLE]).groupBy("standard_name").agg(F.sum("rows").alias("possible"))
+    possible = merged(found.columns, found.tables.select(*TABLE, "rows"), TABLE).groupBy("standard_name").agg(F.sum("rows").alias("possible"))
     hundredths = F.round(F.col("confidence") * 100).cast("long")
     last = found.cells.groupBy(*TABLE, "row_idx", "standard_name").agg(F.max_by("confidence", "col_idx").alias("confidence"))
     cells_df = last.groupBy("standard_name").agg(F.count("*").alias("extracted"), (F.sum(hundredths) / F.count("*") / 100).alias("avg_confidence"))
@@ -315,12 +344,18 @@ def table_statistics(tables: DataFrame) -> DataFrame:
 
 
 def column_statistics(cells_df: DataFrame) -> DataFrame:
-    """Per standard column: cells and mean confidence; the rate is over all table rows."""
-    rows = cells_df.select("page_id", "row_idx").distinct().agg(F.count("*").alias("n"))
+    """Per standard column: cells and mean confidence; the rate is over all table rows.
+
+    Cells are read once: the first cell of each row stands for the row, so rows are counted beside the cells.
+    """
     hundredths = F.round(F.col("confidence") * 100).cast("long")
-    return cells_df.groupBy("standard_name").agg(
-        F.count("*").alias("total_extracted"), (F.sum(hundredths) / F.count("*") / 100).alias("avg_confidence")).withColumn(
-        "total_rows", rows.scalar()).withColumn("detection_rate", F.col("total_extracted") / F.col("total_rows"))
+    rows = cells_df.groupBy("page_id", "row_idx").agg(F.collect_list(F.struct("standard_name", hundredths.alias("hundredths"))).alias("cells"))
+    names = rows.select(F.posexplode("cells").alias("place", "cell")).groupBy(F.col("cell.standard_name").alias("standard_name")).agg(
+        F.count("*").alias("total_extracted"), (F.sum("cell.hundredths") / F.count("*") / 100).alias("avg_confidence"),
+        F.count_if(F.col("place") == 0).alias("first_cells"))
+    every = F.sum("first_cells").over(Window.partitionBy(F.lit(1)))  # a row per standard column
+    return names.select("standard_name", "total_extracted", "avg_confidence", every.alias("total_rows")).withColumn(
+        "detection_rate", F.col("total_extracted") / F.col("total_rows"))
 
 
 # Neighbours and clusters
@@ -359,8 +394,113 @@ def near_pairs(boxes: DataFrame, distance: float = NEAR, grid: float = GRID) ->
     return j.select("page_id", c("a", "box_id").alias("a"), c("b", "box_id").alias("b"), gap_x.alias("gap_x"), gap_y.alias("gap_y"))
 
 
+#: Boxes of a page that are compared in one task; pages with more are compared by joins over grid cells. Pairs compared at a time.
+PAGE_BOXES, PAIRS = 1000, 1_000_000
+
+
+def whole_pages(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows, starts of pages, whether a page is whole) of batches sorted by page. Pages above ``most`` rows come in parts that are not whole."""
+    held, large = None, None  # rows of the page at the end of a batch, or its id once it has too many
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        page = t.column("page_id")
+        cuts = np.flatnonzero(pc.not_equal(page.slice(1), page.slice(0, len(page) - 1)).to_numpy()) + 1 if len(page) > 1 else np.zeros(0, np.int64)
+        starts = np.concatenate([[0], cuts]).astype(np.int64)
+        whole = np.diff(np.append(starts, len(page))) <= most
+        if large is not None and held is None:
+            whole[0] &= page[0] != large
+        if whole[-1]:
+            held, end, n = t.slice(starts[-1]), int(starts[-1]), len(starts) - 1
+        else:
+            held, large, end, n = None, page[-1], len(page), len(starts)
+        if n:
+            yield t.slice(0, end), starts[:n], whole[:n]
+    if held is not None:
+        yield held, np.zeros(1, np.int64), np.ones(1, bool)
+
+
+def page_pairs(rows: pa.Table, starts: np.ndarray, whole: np.ndarray, distance: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row behind the last, a, b) of runs of whole pages: the pairs of rows a < b of a page whose gaps are below ``distance`` on both axes."""
+    low_x, high_x, low_y, high_y = (rows.column(c).cast(pa.float64()).to_numpy() for c in ("x_min", "x_max", "y_min", "y_max"))
+    ends = np.append(starts[1:], rows.num_rows)
+    starts, ends = starts[whole], ends[whole]
+    sizes = ends - starts
+    run = np.cumsum(sizes * (sizes - 1) // 2) // PAIRS
+    first = np.flatnonzero(np.diff(run, prepend=-1))
+    for i, j in zip(first, np.append(first[1:], len(starts))):
+        n = sizes[i:j]
+        row = np.repeat(starts[i:j] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        place = row - np.repeat(starts[i:j], n)
+        b = np.repeat(row, place)
+        a = np.repeat(row - place, place) + np.arange(len(b)) - np.repeat(np.cumsum(place) - place, place)
+
+        def gap(low, high):
+            return np.minimum(np.minimum(np.abs(low[a] - high[b]), np.abs(low[b] - high[a])), np.abs((low[a] + high[a]) / 2 - (low[b] + high[b]) / 2))
+
+        near = (gap(low_x, high_x) < distance) & (gap(low_y, high_y) < distance)
+        yield int(starts[i]), int(ends[j - 1]), a[near], b[near]
+
+
+def near_labels(rows: pa.Table, starts: np.ndarray, whole: np.ndarray, distance: float) -> np.ndarray:
+    """``cluster_id`` per row (see ``cluster_rounds``); rows come by page and box. Rows of one box id have one label."""
+    ids = rows.column("box_id").to_numpy()
+    first = np.append(True, ids[1:] != ids[:-1])
+    first[starts] = True
+    first = np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
+    label = first.copy()
+    for _, _, a, b in page_pairs(rows, starts, whole, distance):
+        a, b = first[a], first[b]
+        a, b = a[a < b], b[a < b]
+        at = np.flatnonzero(np.diff(b, prepend=-1))
+        while len(at):
+            new = np.minimum(label[b[at]], np.minimum.reduceat(label[a], at))
+            new = np.minimum(new, label[new])
+            if (new == label[b[at]]).all():
+                break
+            label[b[at]] = new
+    return ids[label[first]]
+
+
+def near_counts(rows: pa.Table, starts: np.ndarray, whole: np.ndarray, distance: float) -> np.ndarray:
+    """Number of near rows per row."""
+    out = np.zeros(rows.num_rows, np.int64)
+    for low, high, a, b in page_pairs(rows, starts, whole, distance):
+        out[low:high] += np.bincount(a - low, minlength=high - low) + np.bincount(b - low, minlength=high - low)
+    return out
+
+
+def by_page(boxes: DataFrame, name: str, value: Callable[[pa.Table, np.ndarray, np.ndarray, float], np.ndarray], distance: float, most: int | None = None) -> DataFrame:
+    """Boxes with a long column that ``value`` makes of whole pages, null on pages of more than ``most`` boxes.
+
+    Pages stream through their task sorted; a page that has too many boxes is let go as soon as this is seen.
+    """
+    most = PAGE_BOXES if most is None else most
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts, whole in whole_pages(batches, most):
+            rows = rows.combine_chunks()
+            sizes = np.diff(np.append(starts, rows.num_rows))
+            found = pa.array(value(rows, starts, whole, distance), pa.int64(), mask=~np.repeat(whole, sizes))
+            yield from rows.append_column(name, found).to_batches()
+
+    fields = ", ".join(f"`{n}` {k}" for n, k in boxes.dtypes)
+    return boxes.repartition("page_id").sortWithinPartitions("page_id", "box_id").mapInArrow(scan, f"{fields}, `{name}` long")
+
+
 def neighbour_counts(boxes: DataFrame, distance: float = NEAR) -> DataFrame:
-    """Number of near boxes per box. Equal rectangles of a page collapse to one weighted box first."""
+    """Number of near boxes per box: where the page's boxes lie, for pages above ``PAGE_BOXES`` by joins over grid cells."""
+    rect = ["page_id", "x_min", "y_min", "x_max", "y_max"]
+    found = written(by_page(boxes.select("box_id", *rect).dropna(subset=rect), "neighbours", near_counts, distance), "neighbours")
+    large = found.where("neighbours is null")
+    out = found.select("page_id", "box_id", "neighbours")
+    if large.isEmpty():
+        return out
+    return out.where("neighbours is not null").unionByName(neighbour_joins(large.drop("neighbours"), distance))
+
+
+def neighbour_joins(boxes: DataFrame, distance: float = NEAR) -> DataFrame:
+    """Number of near boxes per box, by joins. Equal rectangles of a page collapse to one weighted box first."""
     rect = ["page_id", "x_min", "y_min", "x_max", "y_max"]
     distinct = boxes.groupBy(*rect).agg(F.count("*").alias("copies"), F.min("box_id").alias("box_id"))
     pairs = near_pairs(distinct, distance).select("page_id", "a", "b")
@@ -374,14 +514,20 @@ def neighbour_counts(boxes: DataFrame, distance: float = NEAR) -> DataFrame:
 
 
 def cluster_boxes(boxes: DataFrame, distance: float = NEAR) -> DataFrame:
-    """Ordered clustering: a box joins the earliest cluster that holds an earlier near box, else starts one.
+    """Ordered clustering: a box joins the earliest cluster that holds an earlier near box, else starts one. A row per box."""
+    sides = boxes.select("page_id", "box_id", "x_min", "y_min", "x_max", "y_max")
+    return clustered(sides, distance).select("page_id", "box_id", "cluster_id")
+
+
+def cluster_rounds(boxes: DataFrame, distance: float = NEAR) -> DataFrame:
+    """page_id, box_id, cluster_id of pages of any size, one row per box id, by joins.
 
     label(b) = least label among earlier near boxes, else b: repeated for all pages at once until nothing changes. Each round
     also jumps to the label's own label, which is reachable over earlier boxes as well, so rounds grow with the logarithm
     of a chain. No page has to fit into one task.
     """
     edges = cut_lineage(near_pairs(boxes, distance).select("page_id", "a", "b"))
-    labels = cut_lineage(boxes.select("page_id", "box_id", F.col("box_id").alias("label")))
+    labels = cut_lineage(boxes.select("page_id", "box_id", F.col("box_id").alias("label")).distinct())
     while True:
         src = labels.select("page_id", F.col("box_id").alias("a"), "label")
         seen = edges.join(src, ["page_id", "a"]).groupBy("page_id", F.col("b").alias("box_id")).agg(F.min("label").alias("seen"))
