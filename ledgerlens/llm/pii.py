@@ -6,8 +6,8 @@ cover the same text. Boosted trees score a proposal by features of its format an
 sample of the corpus without repeated texts. Its base spans are rewritten where they stand, in formats that the patterns miss (at-sign words, no plus,
 other separators), and these are the positives beside the base spans; negatives are proposals of the sample that fail the format check of
 their kind, and rewritten spans that were broken so that they fail it. A proposal that passes the check and is no known span has no label.
-The threshold of each kind is the lowest that keeps the asked precision on rewritten spans and negatives that the trees
-have not seen. Of overlapping selected proposals the best scored stays; base spans always stay.
+The threshold of each kind is the lowest that keeps the asked precision on rewritten spans and negatives of the whole
+corpus (repeated texts once) whose spans the trees have not seen. Of overlapping selected proposals the best scored stays; base spans always stay.
 
 Defined cases: null and empty texts have no spans; rows are independent, so repeated rows and ids give a row each; without any proposal in the
 sample only base spans are found. Positions are code points. Only the named columns are read.
@@ -32,8 +32,9 @@ from ledgerlens.llm.words import blocks, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = tuple(f"{k}_like" for k in KINDS)
-#: Bounds of the training sample (documents, proposals) and the precision that thresholds keep.
-TRAIN_DOCS, TRAIN_PROPOSALS, PRECISION = 6000, 40_000, 0.98
+#: Bounds of the training sample of the trees (documents, proposals), the precision that thresholds keep, and the steps of a score in which
+#: thresholds are looked for.
+TRAIN_DOCS, TRAIN_PROPOSALS, PRECISION, STEPS = 6000, 40_000, 0.98, 1 << 16
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -258,17 +259,50 @@ class Finder:
         return base + sorted(more, key=lambda s: (FOUND.index(s[0]), s[1], s[2]))
 
 
-def thresholds(scores: np.ndarray, labels: np.ndarray, kinds: np.ndarray, precision: float) -> list[float]:
+def thresholds(steps: np.ndarray, seen: np.ndarray, right: np.ndarray, kinds: np.ndarray, precision: float) -> list[float]:
+    """Per kind the lowest step of the score from which on the precision holds. seen, right: proposals and true ones per kind and step."""
     out = []
     for k in range(len(KINDS)):
-        s, y = scores[kinds == k], labels[kinds == k]
-        order = np.argsort(-s, kind="stable")
-        right = np.cumsum(y[order])
-        good = np.flatnonzero((right >= precision * np.arange(1, len(s) + 1)) & (right > 0))
-        out.append(max(0.5, float(s[order][good[-1]])) if len(good) else 2.0)
+        order = np.flatnonzero(kinds == k)
+        order = order[np.argsort(-steps[order])]
+        true = np.cumsum(right[order])
+        good = np.flatnonzero((true >= precision * np.cumsum(seen[order])) & (true > 0))
+        out.append(max(0.5, float(steps[order][good[-1]] / STEPS)) if len(good) else 2.0)
     return out
 
 
+def held_out(span: np.ndarray) -> np.ndarray:
+    """Spans kept from the trees. A span, its rewritten form and its copies are on one side."""
+    return span % 3 == 0
+
+
+def scored_examples(texts: DataFrame, trees: boosting.BoostedTrees) -> DataFrame:
+    """kind, step, seen, right: how many held-out proposals of all texts have a score in a step, and how many of them are true. Equal texts count once."""
+    shared = texts.sparkSession.sparkContext.broadcast(trees)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = shared.value
+        for batch in blocks(batches, "text"):
+            data, bounds = text_bytes(batch.column("text"))
+            ids = batch.column("text_id").to_numpy()
+            x, y, of, place = [], [], [], []
+            for i in has_signs(data, bounds):
+                for n, (row, label, missed, span) in enumerate(examples(data[bounds[i] : bounds[i + 1]].tobytes().decode())):
+                    if missed and held_out(span):
+                        x.append(row)
+                        y.append(int(label))
+                        of.append(ids[i])
+                        place.append(n)
+            x = np.array(x, float).reshape(-1, FEATURES)
+            step = np.floor(trees.score(x) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(of, pa.int64()), pa.array(place, pa.int64()), pa.array(x[:, 0].astype(np.int64)), pa.array(step), pa.array(y, pa.int64())],
+                names=["text_id", "place", "kind", "step", "label"])
+
+    rows = texts.select(F.xxhash64("text").alias("text_id"), "text").mapInArrow(scan, "text_id long, place long, kind long, step long, label long")
+    return rows.dropDuplicates(["text_id", "place"]).groupBy("kind", "step").agg(F.count("*").alias("seen"), F.sum("label").alias("right"))
+
+
 def has_signs(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Documents with a digit, an at sign or a bracket (no span lacks all)."""
     signs = ((data >= 48) & (data <= 57)) | (data == 64) | (data == 40) | (data == 91)
@@ -277,11 +311,11 @@ def has_signs(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text: str = "text", most: int = TRAIN_DOCS) -> Finder:
-    """A finder from at most about ``most`` documents."""
-    rows = docs.select(F.col(text).alias("text")).where("text is not null")
-    total = rows.count()
+    """A finder: trees from at most about ``most`` documents, thresholds from all."""
+    texts = docs.select(F.col(text).alias("text")).where("text is not null")
+    total = texts.count()
     share = F.lit(most / max(total, 1))
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).distinct()
+    rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).distinct()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
@@ -295,11 +329,10 @@ def fit(docs: DataFrame, text: str = "text", most: int = TRAIN_DOCS) -> Finder:
     sample = found.orderBy(F.xxhash64("x"), "y", "missed", "span").limit(TRAIN_PROPOSALS).toPandas()
     x = np.array(sample["x"].tolist(), float).reshape(-1, FEATURES)
     y = sample["y"].to_numpy(float)
-    # A span, its rewritten form and its copies are on one side.
-    held = sample["span"].to_numpy(np.int64) % 3 == 0
+    held = held_out(sample["span"].to_numpy(np.int64))
     trees = boosting.fit(x[~held], y[~held])
-    held &= sample["missed"].to_numpy(bool)
-    return Finder(trees, thresholds(trees.score(x[held]), y[held], x[held][:, 0], PRECISION))
+    counts = scored_examples(texts, trees).toPandas().astype("int64")  # at most STEPS rows per kind
+    return Finder(trees, thresholds(*(counts[c].to_numpy() for c in ("step", "seen", "right", "kind")), PRECISION))
 
 
 def find_spans(docs: DataFrame, finder: Finder, doc_id: str = "doc_id", text: str = "text", redact: bool = False, *extra: Column) -> DataFrame:

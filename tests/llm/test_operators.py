@@ -520,3 +520,15 @@ def test_query_matches_sql(spark, name):
     con = duck(sf)
     assert compare(queries.QUERIES[name](spark, sf), con, queries.ORACLE_SQL[name]) is None
     assert con.execute(f"select * from ({queries.ORACLE_SQL[name]}) limit 2000000").fetchall() is not None
+
+
+def test_thresholds_come_from_all_texts(spark):
+    # Held-out examples of every text are counted, those of equal texts once, whatever the trees were fitted on.
+    texts_ = [f"Write to user{i}@mail{i}.example.org or +49 30 {1000000 + 7919 * i}." for i in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts_ + texts_[:20]], "text string").repartition(4)
+    want = [(int(x[0]), int(y)) for t in texts_ for x, y, missed, span in pii.examples(t) if missed and span % 3 == 0]
+    got = pii.scored_examples(df, pii.boosting.BoostedTrees(3)).collect()
+    assert {r.kind: (r.seen, r.right) for r in got} == {k: (sum(a == k for a, _ in want), sum(y for a, y in want if a == k)) for k, _ in want}
+    few, every = pii.fit(df, most=1), pii.fit(df)
+    assert len(few.thresholds) == len(every.thresholds) == 4 and all(0.5 <= t for t in every.thresholds)
+    assert pii.thresholds(np.array([60000, 50000, 40000]), np.array([5, 95, 9]), np.array([5, 93, 0]), np.zeros(3), 0.98)[0] == 50000 / pii.STEPS
