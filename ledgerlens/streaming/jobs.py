@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,11 +22,14 @@ def job_states(job_events: DataFrame) -> DataFrame:
     return frozen_states(job_events)
 
 
+RetryRow = Row("job_id", "event_id", "attempt", "outcome", "delay_seconds")
+
+
 class RetryCounter(StatefulProcessor):
     """Failures per job: each one becomes a retry with its delay or, at the limit, a dead letter.
 
-    Failures are numbered in the order of their micro-batches, inside a batch by time; the rows of a key come in Arrow chunks, one after the
-    other. The count of a job goes once the watermark is ``ttl_seconds`` past its last failure.
+    Failures are numbered in the order of their micro-batches, inside a batch by time; a key with more than ``CHUNK`` rows in a batch is
+    ordered chunk by chunk. The count of a job goes once the watermark is ``ttl_seconds`` past its last failure.
     """
 
     def __init__(self, max_attempts: int = 3, base: int = 5, top: int = 60, ttl_seconds: int = 7 * 86400):
@@ -35,28 +39,29 @@ class RetryCounter(StatefulProcessor):
         self.handle = handle
         self.failures = handle.getValueState("failures", "n int, due_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, due = tuple(self.failures.get()) if self.failures.exists() else (0, None)
-        last = None
-        for pdf in rows:
-            failed = pdf[pdf.status == "error"].sort_values(["at_us", "event_id"])
-            attempt = list(range(n + 1, n + len(failed) + 1))
-            n += len(failed)
-            if attempt:
-                last = max(last or 0, int(failed.at_us.iloc[-1]))
-                dead = [a >= self.max_attempts for a in attempt]
-                yield pd.DataFrame({
-                    "job_id": key[0], "event_id": failed.event_id.tolist(), "attempt": attempt,
-                    "outcome": ["dead_letter" if d else "retry" for d in dead],
-                    "delay_seconds": [0 if d else min(self.top, self.base * 2 ** (a - 1)) for a, d in zip(attempt, dead)]})
-        if last is not None:
-            if due is not None:
-                self.handle.deleteTimer(due)
-            due = max(last // 1000 + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1, due or 0)
-            self.handle.registerTimer(due)
-            self.failures.update((n, due))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    CHUNK = 10_000
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        n, due, last = None, None, None  # the state is read for jobs with a failure only
+        while chunk := list(islice(rows, self.CHUNK)):
+            # without a time or id: behind the others
+            failed = sorted((r.at_us is None, r.at_us or 0, r.event_id is None, r.event_id or 0) for r in chunk if r.status == "error")
+            if failed and n is None:
+                n, due = self.failures.get() or (0, None)
+            for no_time, at_us, no_id, event_id in failed:
+                n += 1
+                last = last if no_time else max(last or 0, at_us)
+                dead = n >= self.max_attempts
+                yield RetryRow(key[0], None if no_id else event_id, n, "dead_letter" if dead else "retry", 0 if dead else min(self.top, self.base * 2 ** (n - 1)))
+        if n is not None:
+            later = max((last or 0) // 1000 + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1, due or 0)
+            if later != due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(later)
+            self.failures.update((n, later))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.failures.clear()
         return iter(())
 
@@ -71,7 +76,7 @@ RETRY_SINKS = {"retries": "outcome = 'retry'", "dead_letters": "outcome = 'dead_
 def retries(job_events: DataFrame, max_attempts: int = 3, ttl_seconds: int = 7 * 86400, late: str = "1 day") -> DataFrame:
     """Needs the RocksDB state store. ``runner.write_batches(path, RETRY_SINKS)`` writes retries and dead letters to sinks of their own."""
     e = job_events.withWatermark("event_time", late).select("job_id", "event_id", "status", "event_time", F.unix_micros("event_time").alias("at_us"))
-    return e.groupBy("job_id").transformWithStateInPandas(
+    return e.groupBy("job_id").transformWithState(
         RetryCounter(max_attempts, ttl_seconds=ttl_seconds), "job_id long, event_id long, attempt int, outcome string, delay_seconds int", "append",
         "eventtime")
 
