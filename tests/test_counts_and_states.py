@@ -92,3 +92,17 @@ def test_retries_read_the_state_of_failed_jobs_only():
     got = list(counter.handleInputRows((1,), iter([event("error", 9, 3), event("error", None, 4), event("error", 5, 2)]), calls))
     assert [tuple(r) for r in got] == [(1, 2, 1, "retry", 5), (1, 3, 2, "retry", 10), (1, 4, 3, "dead_letter", 0)]
     assert calls.value[0] == 3 and calls.calls == 3 and len(calls.timers) == 1
+
+
+def test_cells_are_found_without_a_join(spark):
+    """The header's columns come by a window over the table: boxes are read and shuffled once."""
+    from ledgerlens.operators import layout as L
+
+    rows = [(p, 10 * line + col, text, x, x + 70.0, 30.0 * line, 30.0 * line + 20) for p in (1, 2, None) for line in range(3)
+            for col, (x, text) in enumerate([(10.0, "Item" if not line else f"Part {line}"), (90.0, "Qty" if not line else str(line))])]
+    boxes = spark.createDataFrame(rows, "page_id long, box_id long, text string, x_min double, x_max double, y_min double, y_max double")
+    cells = L.table_cells(boxes)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan") == 1
+    got = {(r.page_id, r.row_idx, r.col_idx): (r.standard_name, r.value) for r in cells.collect()}
+    assert got == {(p, n, c): (name, f"Part {n}" if not c else str(n)) for p in (1, 2) for n in (1, 2) for c, name in ((0, "item_name"), (1, "quantity"))}
