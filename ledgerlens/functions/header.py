@@ -74,24 +74,50 @@ def anchor_hits(lines: Column, lower: Column, field: str, window: int = WINDOW)
     def value_in(text: Column) -> Column:
         return F.trim(F.coalesce(F.regexp_extract(text, shape, 1), F.lit("")), F.lit(" \t\r\n"))
 
+    def found(text: Column, distance: int) -> Column:
+        """The value of a line, null without one, so that ``coalesce`` leaves the lines behind the first value alone."""
+        return F.get(F.filter(F.array(F.struct(value_in(text).alias("value"), F.lit(distance).alias("distance"))), lambda v: v["value"] != ""), F.lit(0))
+
     def hit(i, turn, w, low):
         rest = F.substr(F.get(lines, i), F.instr(low, w) + len(w))
-        near = F.array(rest, *[F.get(lines, i + k) for k in range(1, window + 1)])
+        near = [rest, *[F.get(lines, i + k) for k in range(1, window + 1)]]
         return F.when(F.contains(low, F.lit(w)), F.struct(
-            (-i).alias("line"), F.lit(-turn).alias("turn"), F.get(F.filter(F.transform(near, lambda t, d: F.struct(
-                value_in(t).alias("value"), d.alias("distance"))), lambda v: v["value"] != ""), F.lit(0)).alias("v")))
+            (-i).alias("line"), F.lit(-turn).alias("turn"), F.coalesce(*[found(t, d) for d, t in enumerate(near)]).alias("v")))
 
     hits = F.flatten(F.transform(lower, lambda low, i: F.filter(
         F.array(*[hit(i, turn, w, low) for turn, w in enumerate(words)]), lambda h: h.isNotNull() & h["v"].isNotNull())))
 
     def candidate(h):
-        conf = F.element_at(F.when(F.length(h["v"]["value"]) < 2, scores(0.5)).otherwise(scores(1.0)), h["v"]["distance"] + 1)
+        conf = anchor_confidence(h["v"]["value"], h["v"]["distance"], window)
         return F.struct(conf.alias("confidence"), h["line"].alias("line"), h["turn"].alias("turn"), h["v"]["value"].alias("value"))
 
+    return F.transform(hits, candidate)
+
+
+def anchor_table(fields: Sequence[str]) -> Column:
+    """All anchors as an array of struct<field_name, turn, word>."""
+    return F.array(*[F.struct(F.lit(f).alias("field_name"), F.lit(turn).alias("turn"), F.lit(w).alias("word"))
+                     for f in fields for turn, w in enumerate(ANCHORS[f][0])])
+
+
+def shaped_value(text: Column, field_name: Column, fields: Sequence[str]) -> Column:
+    """The value that a text shows for the field named by a column; a pattern that several fields share is there once."""
+    shapes: dict[str, list[str]] = {}
+    for f in fields:
+        shapes.setdefault(ANCHORS[f][1], []).append(f)
+    cases = F
+    for shape, names in shapes.items():
+        cases = cases.when(field_name.isin(names), F.regexp_extract(text, shape, 1))
+    return F.trim(F.coalesce(cases, F.lit("")), F.lit(" \t\r\n"))
+
+
+def anchor_confidence(value: Column, distance: Column, window: int = WINDOW) -> Column:
+    """Confidence of an anchored value by its distance in lines, halved for a value of one character."""
+
     def scores(factor):
         return F.array(*[F.lit(Decimal(str(round(x * factor, 4)))) for x in anchor_scores(window)]).cast("array<decimal(5,4)>")
 
-    return F.transform(hits, candidate)
+    return F.element_at(F.when(F.length(value) < 2, scores(0.5)).otherwise(scores(1.0)), distance + 1)
 
 
 def by_anchor(lines: Column, lower: Column, field: str, window: int = WINDOW) -> Column:

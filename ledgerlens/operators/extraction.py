@@ -30,9 +30,9 @@ def _with_labels(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Adds ``l_<field>`` results of the label stage. Every step is a projection of its own: one regex per field."""
     money = [f for f in fields if f in header.AMOUNT_FIELDS]
     d = docs.withColumns({f"f_{f}": header.label_text(F.col("text"), f) for f in fields})
-    d = d.withColumns({f"c_{f}": clean_amount(f"f_{f}") for f in money}) if money else d
-    d = d.withColumns({f"m_{f}": parse_clean_amount(F.col(f"c_{f}")) for f in money}) if money else d
-    d = d.withColumns({f"v_{f}": header.label_value(F.col(f"f_{f}"), F.col(f"m_{f}") if f in money else None, f) for f in fields})
+    if money:  # one expression for all of them, else the compiled method passes what the JVM compiles
+        d = d.withColumn("money", F.transform(F.array(*[clean_amount(f"f_{f}") for f in money]), parse_clean_amount))
+    d = d.withColumns({f"v_{f}": header.label_value(F.col(f"f_{f}"), F.get("money", F.lit(money.index(f))) if f in money else None, f) for f in fields})
     return d.select(*docs.columns, *[header.label_result(F.col(f"v_{f}")).alias(f"l_{f}") for f in fields])
 
 
@@ -91,16 +91,21 @@ def label_results(docs: DataFrame, fields: Sequence[str] = HEADER_FIELDS) -> Dat
 
 
 def anchor_candidates(docs: DataFrame, fields: Sequence[str] = HEADER_FIELDS) -> DataFrame:
-    """Every value behind every anchor, long form: doc_id, field_name, value, confidence, line_no, anchor_no (both from 0)."""
-    d = docs.select("doc_id", "lines", F.transform("lines", F.lower).alias("lower"))
-    d = d.select("doc_id", *[header.anchor_hits(F.col("lines"), F.col("lower"), f).alias(f) for f in fields])
+    """Every value behind every anchor, long form: doc_id, field_name, value, confidence, line_no, anchor_no (both from 0).
 
-    def as_rows(field: str) -> Column:
-        return F.transform(field, lambda h: F.struct(
-            F.lit(field).alias("field_name"), h["value"].alias("value"), h["confidence"].alias("confidence"), (-h["line"]).alias("line_no"),
-            (-h["turn"]).alias("anchor_no")))
-
-    return d.select("doc_id", F.inline(F.concat(*[as_rows(f) for f in fields])))
+    Lines become rows, then the anchors they hold, so that no search runs inside an array: only a hit without a value of its own looks
+    at the lines behind it.
+    """
+    d = docs.select("doc_id", "lines", F.posexplode("lines").alias("line_no", "line")).withColumn("low", F.lower("line"))
+    d = d.select("*", F.inline(header.anchor_table(fields))).where(F.contains("low", F.col("word")))
+    rest = F.substr(F.col("line"), F.instr("low", F.col("word")) + F.length("word"))
+    name = F.col("field_name")
+    d = d.select("doc_id", "lines", "line_no", "field_name", F.col("turn").alias("anchor_no"), header.shaped_value(rest, name, fields).alias("own"))
+    behind = F.filter(F.transform(F.slice("lines", F.col("line_no") + 2, header.WINDOW), lambda t, i: F.struct(
+        header.shaped_value(t, name, fields).alias("value"), (i + 1).alias("distance"))), lambda v: v["value"] != "")
+    own = F.struct(F.col("own").alias("value"), F.lit(0).alias("distance"))
+    d = d.withColumn("v", F.when(F.col("own") != "", own).otherwise(F.get(behind, F.lit(0)))).where("v is not null")
+    return d.select("doc_id", "field_name", "v.value", header.anchor_confidence(F.col("v.value"), F.col("v.distance")).alias("confidence"), "line_no", "anchor_no")
 
 
 def best_candidates(candidates: DataFrame) -> DataFrame:

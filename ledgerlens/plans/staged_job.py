@@ -48,7 +48,7 @@ def label_stage() -> Stage:
 
 def anchor_stage() -> Stage:
     """Closed when all wanted fields are there."""
-    return Stage(2, lambda d: extraction.anchor_results(d, HEADER_FIELDS), lambda n, found, sure: found >= n, STAGES[2][1])
+    return Stage(2, lambda d: extraction.best_candidates(extraction.anchor_candidates(d, HEADER_FIELDS)), lambda n, found, sure: found >= n, STAGES[2][1])
 
 
 def model_stage(model: Callable[[pd.DataFrame], pd.DataFrame], no: int = 3) -> Stage:
