@@ -32,11 +32,10 @@ def arabic_digits(text: Column | str) -> Column:
 
 
 def month_numbers(text: Column | str) -> Column:
-    """Thai month names as numbers. Texts without Thai letters skip the replacements."""
-    t = out = col(text)
-    for name, number in THAI_MONTHS:
-        out = F.replace(out, F.lit(name), F.lit(str(number)))
-    return F.when(t.rlike("[ก-ฺ]"), out).otherwise(t)
+    """Thai month names as numbers. Texts without Thai letters skip the replacements, which run over an array to keep the compiled method short."""
+    t = col(text)
+    names = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(str(number)).alias("number")) for name, number in THAI_MONTHS])
+    return F.when(t.rlike("[ก-ฺ]"), F.aggregate(names, t, lambda out, m: F.replace(out, m["name"], m["number"]))).otherwise(t)
 
 
 def gregorian_year(year: Column) -> Column:
@@ -64,7 +63,10 @@ def date_parts(t: Column) -> list[Column]:
 
 
 def date_of_parts(parts: list[Column]) -> Column:
-    """struct<value: date, confidence, format>; null where no format gives a real date."""
+    """struct<value: date, confidence, format>; null where no format gives a real date.
+
+    The formats are tried as elements of an array: one expression for all of them, else the compiled method passes what the JVM compiles.
+    """
     tries = []
     for (name, _, (y, m, d), conf), groups in zip(DATE_FORMATS, parts, strict=True):
 
@@ -72,12 +74,15 @@ def date_of_parts(parts: list[Column]) -> Column:
             return F.get(groups, g - 1).try_cast("int")
 
         year = part(y) + 2000 if name == "DD/MM/YY" else part(y)
-        iso = F.concat(
-            F.lpad(gregorian_year(year).cast("string"), 4, "0"), F.lit("-"),
-            F.lpad(part(m).cast("string"), 2, "0"), F.lit("-"), F.lpad(part(d).cast("string"), 2, "0"))
-        tries.append(F.struct(iso.try_cast("date").alias("value"), score(conf).alias("confidence"), F.lit(name).alias("format")))
-    found = [F.when(x["value"].isNotNull(), x) for x in tries]
-    return F.coalesce(*found)
+        tries.append(F.struct(year.alias("y"), part(m).alias("m"), part(d).alias("d"), score(conf).alias("confidence"), F.lit(name).alias("format")))
+
+    def real(t):
+        iso = F.concat(F.lpad(gregorian_year(t["y"]).cast("string"), 4, "0"), F.lit("-"), F.lpad(t["m"].cast("string"), 2, "0"), F.lit("-"),
+                       F.lpad(t["d"].cast("string"), 2, "0"))
+        return F.struct(iso.try_cast("date").alias("value"), t["confidence"].alias("confidence"), t["format"].alias("format"))
+
+    known = F.filter(F.array(*tries), lambda t: t["y"].isNotNull())
+    return F.get(F.filter(F.transform(known, real), lambda x: x["value"].isNotNull()), F.lit(0))
 
 
 def parse_clean_date(t: Column) -> Column:

@@ -30,7 +30,7 @@ def check_values(values: DataFrame, today: str, weights: int = 12) -> DataFrame:
         "__d": F.when(k == "date", date_text(v)), "__a": F.when(k == "currency", clean_amount(v)), "__digits": F.when(number, digits_only(v))})
     parts = {f"__p{i}": F.when(k == "date", p) for i, p in enumerate(date_parts(F.col("__d")))}
     step = step.withColumns({**parts, "__amount": parse_clean_amount(F.col("__a")), "__whole": integer_text(v, F.col("__digits"))})
-    step = step.withColumn("__day", date_of_parts([F.col(p) for p in parts]))
+    step = step.withColumn("__day", F.when(k == "date", date_of_parts([F.col(p) for p in parts])))
     step = step.withColumns({
         "__day_issue": date_problem(F.col("__day.value"), F.lit(today).cast("date")),
         "__tax_issue": F.when(k == "tax_id", tax_id_problem(v, weights, F.col("__digits")))})
@@ -61,7 +61,9 @@ def validation_report(checked: DataFrame, extra: Sequence[Column] = ()) -> DataF
 
     Only the listed header fields reach this point, so the list of names stays short.
     """
-    amount = parse_amount(F.col("normalized_value"))
+    amount = F.col("__amount")
+    checked = checked.withColumn("__clean", F.when(F.col("field_name").isin(AMOUNT_NAMES), clean_amount("normalized_value"))).withColumn(
+        "__amount", parse_clean_amount(F.col("__clean")))
     agg = checked.groupBy("doc_id").agg(
         F.count("*").alias("validation_count"), F.count_if("is_valid").alias("valid_count"),
         F.count_if(~F.col("is_valid")).alias("field_issues"),
