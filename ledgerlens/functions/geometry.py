@@ -16,9 +16,9 @@ def ltrb_to_xywh(left: Column, top: Column, right: Column, bottom: Column) -> Co
 
 def quad_to_xywh(quad: Column) -> Column:
     """Four corner points (array of arrays) to the box around them; null unless there are four."""
-    xs, ys = F.transform(quad, lambda p: F.get(p, F.lit(0))), F.transform(quad, lambda p: F.get(p, F.lit(1)))
-    x, y = F.array_min(xs), F.array_min(ys)
-    box = F.struct(x.alias("x"), y.alias("y"), (F.array_max(xs) - x).alias("width"), (F.array_max(ys) - y).alias("height"))
+    xs, ys = ([F.get(F.get(quad, F.lit(i)), F.lit(axis)) for i in range(4)] for axis in (0, 1))
+    x, y = F.least(*xs), F.least(*ys)
+    box = F.struct(x.alias("x"), y.alias("y"), (F.greatest(*xs) - x).alias("width"), (F.greatest(*ys) - y).alias("height"))
     return F.when(F.size(quad) == 4, box)
 
 

@@ -57,23 +57,20 @@ def quad_fields(raw: DataFrame, results: str = "results") -> DataFrame:
 
 
 def paged_fields(raw: DataFrame, results: str = "results") -> DataFrame:
-    """Fields of paged results: short entries are skipped, one running index over all pages of a document."""
+    """Fields of paged results: short entries are skipped, one running index over all pages of a document.
+
+    The text of an entry is parsed once, in its array, since it tells whether the entry counts; its corners are parsed once, in its row.
+    """
     pages = F.from_json(results, PAGED_RESULTS)
 
     def entry(e, page):
-        text = F.from_json(e[1], "array<string>")
-        return F.struct(
-            (page + 1).alias("page_number"), F.trim(F.get(text, F.lit(0))).alias("field_value"),
-            F.get(text, F.lit(1)).try_cast("double").alias("confidence"),
-            quad_to_xywh(F.from_json(e[0], "array<array<double>>")).alias("b"))
-
-    def usable(e):
-        return (F.size(e) >= 2) & (F.size(F.from_json(F.get(e, F.lit(1)), "array<string>")) >= 1)
+        return F.struct((page + 1).alias("page_number"), F.get(e, F.lit(0)).alias("corners"), F.from_json(F.get(e, F.lit(1)), "array<string>").alias("text"))
 
     flat = F.flatten(F.transform(pages, lambda p, i: F.transform(
-        F.filter(F.coalesce(p, F.array().cast("array<array<string>>")), usable), lambda e: entry(e, i))))
-    rows = raw.select("doc_id", F.posexplode(flat).alias("i", "e"))
+        F.filter(F.coalesce(p, F.array().cast("array<array<string>>")), lambda e: F.size(e) >= 2), lambda e: entry(e, i))))
+    rows = raw.select("doc_id", F.posexplode(F.filter(flat, lambda e: F.size(e["text"]) >= 1)).alias("i", "e"))
+    rows = rows.select("doc_id", "i", "e.page_number", "e.text", F.from_json("e.corners", "array<array<double>>").alias("quad"))
     return rows.select(
-        "doc_id", F.concat(F.lit("text_"), F.col("i").cast("string")).alias("field_name"), F.col("e.field_value").alias("field_value"),
-        F.col("e.confidence").alias("confidence"), F.col("e.page_number").alias("page_number"), F.col("e.b.x").alias("x"),
-        F.col("e.b.y").alias("y"), F.col("e.b.width").alias("width"), F.col("e.b.height").alias("height"))
+        "doc_id", F.concat(F.lit("text_"), F.col("i").cast("string")).alias("field_name"), F.trim(F.get("text", F.lit(0))).alias("field_value"),
+        F.get("text", F.lit(1)).try_cast("double").alias("confidence"), "page_number", quad_to_xywh(F.col("quad")).alias("b")).select(
+        "doc_id", "field_name", "field_value", "confidence", "page_number", "b.*")
