@@ -604,6 +604,10 @@ def layout_results(boxes: DataFrame, doc_of_page: str = "page_id") -> DataFrame:
 
 # Template zones
 
+#: Level of the cells that list the zones of a template; zones themselves have levels from 0 on.
+ZONE_LIST = -1
+
+
 def apply_zones(fields: DataFrame, zones: Sequence[tuple[str, int, float, float, float, float]]) -> DataFrame:
     """Template zones (label, page, x, y, width, height) over placed fields: new value per (document, label).
 
@@ -636,48 +640,73 @@ def zone_upsert(fields: DataFrame, zones: DataFrame, applied: DataFrame) -> Data
     in it, null if there is none; of zones with one label and page the last counts. Of several fields with the label the first is updated. A null
     page is page 1. Adds ``change``: kept, updated or added.
 
-    Zones and centres meet in grid cells whose size fits the zone (a power of two), so a zone of any size touches at most four cells.
+    Zones and centres meet in grid cells whose size fits the zone (a power of two), so a zone of any size touches at most four cells. Fields and
+    templates are shuffled once, together and by document; values, targets and wanted labels meet in windows inside these partitions.
     """
     page = F.coalesce("page_number", F.lit(1))
     z = zones.withColumn("page_number", page).groupBy("template_id", "label", "page_number").agg(
         F.max_by(F.struct("x", "y", "width", "height"), "sort_order").alias("z")).select(
         "template_id", "label", "page_number", *[F.col(f"z.{c}").alias(f"z_{c}") for c in ("x", "y", "width", "height")])
+    page_type = z.schema["page_number"].dataType
     size = F.greatest(F.col("z_width"), F.col("z_height"), F.lit(1.0))
     z = z.withColumn("level", F.ceil(F.log2(size)).cast("int"))
-    levels = [r[0] for r in z.select("level").distinct().collect()]  # powers of two of a coordinate: few
+    levels = [r[0] for r in z.select("level").distinct().collect() if r[0] is not None]  # powers of two of a coordinate: few
     unit = F.pow(F.lit(2.0), F.col("level"))
     spread = z.withColumn("gx", F.explode(F.sequence(F.floor(F.col("z_x") / unit), F.floor((F.col("z_x") + F.col("z_width")) / unit)))).withColumn(
         "gy", F.explode(F.sequence(F.floor(F.col("z_y") / unit), F.floor((F.col("z_y") + F.col("z_height")) / unit))))
-    spread = spread.select("template_id", "label", F.col("page_number").alias("z_page"), "z_x", "z_y", "z_width", "z_height", "level", "gx", "gy")
+    # A row of cell (0, 0) of a level that no zone has lists a template's zones for its documents.
+    listed = z.withColumns({"level": F.lit(ZONE_LIST), "gx": F.lit(0).cast("long"), "gy": F.lit(0).cast("long")})
+    cell = ["template_id", "cell_page", "level", "gx", "gy"]
+    lookup = spread.withColumn("cell_page", F.col("page_number")).unionByName(listed.withColumn("cell_page", F.lit(0).cast(page_type))).select(
+        *[F.col(c).alias(f"z_{c}") for c in cell], F.col("label").alias("z_label"), F.col("page_number").alias("z_page"), "z_x", "z_y", "z_width", "z_height")
 
-    centres = fields.join(applied, "doc_id").select(
-        "doc_id", "template_id", "field_id", "field_value", "confidence", page.alias("z_page"), (F.col("x") + F.col("width") / 2).alias("cx"),
-        (F.col("y") + F.col("height") / 2).alias("cy")).where("cx is not null and cy is not null")
-    centres = centres.withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))).withColumns(
-        {"gx": F.floor(F.col("cx") / unit), "gy": F.floor(F.col("cy") / unit)})
-    inside = F.col("cx").between(F.col("z_x"), F.col("z_x") + F.col("z_width")) & F.col("cy").between(F.col("z_y"), F.col("z_y") + F.col("z_height"))
-    key = ["doc_id", "label", "z_page"]
-    first = centres.join(spread, ["template_id", "z_page", "level", "gx", "gy"]).where(inside).groupBy(*key).agg(
-        F.min_by(F.struct("field_value", "confidence"), "field_id").alias("v"))
-
-    wanted = applied.join(z, "template_id").withColumnRenamed("page_number", "z_page")
-    targets = fields.select("doc_id", F.col("field_name").alias("label"), page.alias("z_page"), "field_id").groupBy(*key).agg(F.min("field_id").alias("target"))
-    set_ = wanted.join(first, key, "left").join(targets, key, "left").select(
-        *key, "target", F.col("v.field_value").alias("n_field_value"), F.col("v.confidence").alias("n_confidence"),
-        *[F.col(f"z_{c}").alias(f"n_{c}") for c in ("x", "y", "width", "height")])
     changed = ["field_value", "confidence", "x", "y", "width", "height"]
     names = ["doc_id", "field_id", "field_name", "page_number", *changed]
-    updates = set_.where("target is not null").select(
-        F.col("doc_id").alias("u_doc"), F.col("target").alias("u_id"), *[F.col(f"n_{c}") for c in changed])
-    old = fields.join(updates, (F.col("doc_id") == F.col("u_doc")) & (F.col("field_id") == F.col("u_id")), "left")
-    hit = F.col("u_id").isNotNull()
-    old = old.select(
-        "doc_id", "field_id", "field_name", "page_number", *[F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in changed],
-        F.when(hit, "updated").otherwise("kept").alias("change"))
-    added = set_.where("target is null").select(
-        "doc_id", F.xxhash64(*key).alias("field_id"), F.col("label").alias("field_name"), F.col("z_page").alias("page_number"),
-        *[F.col(f"n_{c}").alias(c) for c in changed], F.lit("added").alias("change"))
-    return old.unionByName(added).select(*names, "change")
+    parts = 2 * int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a task sorts fields, hits and wanted labels
+    rows = fields.select(*names, F.lit(True).alias("is_field")).unionByName(
+        applied.select("doc_id", "template_id", F.lit(False).alias("is_field")), allowMissingColumns=True).repartition(parts, "doc_id")
+    is_field = F.col("is_field")
+    templates = F.collect_list("template_id").over(Window.partitionBy("doc_id"))  # null keys meet nothing
+    rows = rows.withColumn("templates", F.when(is_field & F.col("doc_id").isNotNull(), templates)).select(
+        "*", F.posexplode_outer("templates").alias("turn", "of_template")).drop("templates")
+    rows = rows.withColumns({"cx": F.col("x") + F.col("width") / 2, "cy": F.col("y") + F.col("height") / 2, "page": page, "first": F.coalesce("turn", F.lit(0)) == 0})
+
+    def cell_of(template, cell_page, level, gx, gy):
+        return F.struct(template.alias("template_id"), cell_page.cast("long").alias("cell_page"), level.cast("int").alias("level"),
+                        gx.cast("long").alias("gx"), gy.cast("long").alias("gy"))
+
+    none = F.lit(None)
+    itself = cell_of(F.col("of_template"), F.col("page"), none, none, none)
+    placed = [cell_of(F.col("of_template"), F.col("page"), F.lit(n), F.floor(F.col("cx") / 2.0 ** n), F.floor(F.col("cy") / 2.0 ** n)) for n in levels]
+    there = F.col("of_template").isNotNull() & F.col("cx").isNotNull() & F.col("cy").isNotNull()
+    cells = F.when(~is_field, F.array(cell_of(F.col("template_id"), F.lit(0), F.lit(ZONE_LIST), F.lit(0), F.lit(0)))) \
+        .when(there & F.col("first"), F.array(itself, *placed)).when(there, F.array(*placed) if placed else none).when(F.col("first"), F.array(itself))
+    rows = rows.select(*names, "page", F.explode(cells).alias("cell"), "cx", "cy")
+    rows = rows.select("*", "cell.level").join(lookup, F.col("cell.level").isNotNull() & (F.col("cell.template_id") == F.col("z_template_id")) & (
+        F.col("cell.cell_page") == F.col("z_cell_page")) & (F.col("cell.level") == F.col("z_level")) & (F.col("cell.gx") == F.col("z_gx")) & (
+        F.col("cell.gy") == F.col("z_gy")), "left")
+    old, want = F.col("level").isNull(), F.coalesce(F.col("level") == ZONE_LIST, F.lit(False))
+    inside = F.col("cx").between(F.col("z_x"), F.col("z_x") + F.col("z_width")) & F.col("cy").between(F.col("z_y"), F.col("z_y") + F.col("z_height"))
+    zone = F.struct(*[F.col(f"z_{c}").alias(c) for c in ("x", "y", "width", "height")])
+    rows = rows.where(old | (want & F.col("z_page").isNotNull()) | inside).select(
+        *names, F.when(old, "field").when(want, "wanted").otherwise("hit").alias("kind"), F.when(old, F.col("field_name")).otherwise(F.col("z_label")).alias("label"),
+        F.when(old, F.col("page")).otherwise(F.col("z_page")).alias("page"), F.when(want, zone).alias("zone"))
+
+    key = ["doc_id", "label", "page"]
+    group, kind = Window.partitionBy(*key), F.col("kind")
+    known = F.col("doc_id").isNotNull() & F.col("label").isNotNull()
+    value = F.min_by(F.when(kind == "hit", F.struct("field_value", "confidence")), F.when(kind == "hit", F.col("field_id"))).over(group)
+    rows = rows.select(
+        "*", F.when(known, F.min(F.when(kind == "field", F.col("field_id"))).over(group)).alias("target"), F.when(known, value).alias("v"),
+        F.collect_list("zone").over(group).alias("zones"))
+    new = F.when(kind == "wanted", F.array("zone")).when((F.col("field_id") == F.col("target")) & (F.size("zones") > 0), F.col("zones"))
+    rows = rows.where((kind == "field") | ((kind == "wanted") & F.col("target").isNull())).select("*", F.explode_outer(new).alias("n"))
+    hit, added = F.col("n").isNotNull(), kind == "wanted"
+    return rows.select(
+        "doc_id", F.when(added, F.xxhash64("doc_id", "label", F.col("page").cast(page_type))).otherwise(F.col("field_id")).alias("field_id"),
+        F.col("label").alias("field_name"), F.when(added, F.col("page")).otherwise(F.col("page_number")).alias("page_number"),
+        *[F.when(hit, F.col(f"v.{c}")).otherwise(F.col(c)).alias(c) for c in changed[:2]], *[F.when(hit, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in changed[2:]],
+        F.when(added, "added").when(hit, "updated").otherwise("kept").alias("change"))
 
 
 # Line items out of named fields
