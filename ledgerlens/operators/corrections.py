@@ -149,12 +149,17 @@ def document_summary(fields: DataFrame, corrections: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if("is_critical").alias("critical"),
         F.count("feedback_sentiment").alias("feedback"), F.min("corrected_at").alias("first_at"),
         F.max("corrected_at").alias("last_at"))
-    agg = fields.select("doc_id", "field_id").join(per_field, "field_id", "left").groupBy("doc_id").agg(
-        F.count("*").alias("total_fields"), F.count("n").alias("corrected_fields"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_corrections"),
-        F.coalesce(F.sum("critical"), F.lit(0)).alias("critical_count"),
-        F.coalesce(F.sum("feedback"), F.lit(0)).alias("feedback_count"),
+    known = fields.select("doc_id", "field_id")
+    # The fields of a document are counted where they lie: after the join they are spread by their ids and nothing combines.
+    # The joins hold a row per corrected field or document of a partition and sort neither side.
+    per_doc = known.join(per_field.hint("shuffle_hash"), "field_id").groupBy(F.col("doc_id").alias("of_doc")).agg(
+        F.count("n").alias("fields"), F.sum("n").alias("n"), F.sum("critical").alias("critical"), F.sum("feedback").alias("feedback"),
         F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    counted = known.groupBy("doc_id").agg(F.count("*").alias("total_fields"))
+    agg = counted.join(per_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of_doc")), "left").select(
+        "doc_id", "total_fields", *[F.coalesce(c, F.lit(0)).alias(name) for c, name in (
+            ("fields", "corrected_fields"), ("n", "total_corrections"), ("critical", "critical_count"), ("feedback", "feedback_count"))],
+        "first_at", "last_at")
     rate = F.col("corrected_fields") / F.col("total_fields") * 100
     return agg.withColumn("correction_rate", rate).withColumn(
         "requires_review", (F.col("critical_count") > 0) | (F.col("total_corrections") > 5)).withColumn(
