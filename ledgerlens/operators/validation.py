@@ -164,14 +164,25 @@ def mandatory_check(docs: DataFrame, fields: DataFrame) -> DataFrame:
     return docs.select("doc_id", "type").join(have, "doc_id", "left").select("doc_id", "type", ok.alias("is_complete"))
 
 
-def fields_to_extract(docs: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Field list per document: the active definition (name, fields_schema JSON) of its type, else the built-in list."""
-    d = definitions.where("active").select(
-        F.col("name").alias("type"), F.from_json("fields_schema", "array<string>").alias("defined"))
+def field_lists(kind: Column, definitions: DataFrame) -> Column:
+    """Field lists of a type, one per active definition (name, fields_schema JSON), else the built-in list.
+
+    The definitions, a row per type, are looked up as one value, so no document is moved for them.
+    """
     built_in = F.create_map(*[x for t, ns in SUPPORTED_FIELDS.items() for x in (F.lit(t), F.array(*[F.lit(n) for n in ns]))])
-    default = F.array(*[F.lit(n) for n in SUPPORTED_FIELDS["invoice"]])
-    return docs.select("doc_id", "type").join(d, "type", "left").select(
-        "doc_id", "type", F.coalesce("defined", F.try_element_at(built_in, F.col("type")), default).alias("fields"))
+
+    def default(of):
+        return F.coalesce(F.try_element_at(built_in, of), F.array(*[F.lit(n) for n in SUPPORTED_FIELDS["invoice"]]))
+
+    defined = F.coalesce(F.from_json("fields_schema", "array<string>"), default(F.col("name")))
+    d = definitions.where("active and name is not null").groupBy("name").agg(F.collect_list(defined).alias("lists"))
+    table = d.agg(F.map_from_entries(F.collect_list(F.struct("name", "lists")))).scalar()
+    return F.coalesce(F.try_element_at(table, kind), F.array(default(kind)))
+
+
+def fields_to_extract(docs: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Field list per document: the active definition of its type, else the built-in list."""
+    return docs.select("doc_id", "type", F.explode(field_lists(F.col("type"), definitions)).alias("fields"))
 
 
 def audit_issues(docs: DataFrame, fields: DataFrame) -> DataFrame:

@@ -43,8 +43,8 @@ class Tables:
         k = F.col("o_orderkey")
         extra = F.when(k % 10 == 0, F.lit(7)).otherwise(F.lit(0))
         return (
-            self.orders.join(sums, k == F.col("l_orderkey"))
-            .join(self.customer, F.col("o_custkey") == F.col("c_custkey"))
+            self.orders.join(self.customer, F.col("o_custkey") == F.col("c_custkey"))
+            .join(sums, k == F.col("l_orderkey"))  # last, so the rows lie by document
             .select(
                 k.alias("doc_id"),
                 F.col("o_custkey").alias("user_id"),

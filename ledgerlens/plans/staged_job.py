@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import hooks
@@ -21,7 +21,7 @@ from ledgerlens.functions.normalize import SCORE
 from ledgerlens.operators import extraction, layout, routing, validation
 from ledgerlens.operators.extraction import STAGES
 from ledgerlens.schemas import HEADER_FIELDS
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import written
 
 #: Results of all documents: doc_id, field_name, value, confidence, stage_no.
 FOUND = ["doc_id", "field_name", "value", "confidence", "stage_no"]
@@ -64,43 +64,77 @@ class Staged:
 
 
 def prepared(docs: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Documents (doc_id, text, lines) with their type, classified by the text unless they have one, and wanted fields."""
+    """Documents (doc_id, text, lines) with their type, classified by the text unless they have one, and wanted fields.
+
+    An id with several documents or definitions has a row for each document and list.
+    """
     kind = F.col("type") if "type" in docs.columns else pattern_classify("text")
-    typed = docs.select("doc_id", "text", "lines", kind.alias("type"))
-    wanted = validation.fields_to_extract(typed, definitions)
-    return typed.join(wanted.select("doc_id", "fields"), "doc_id")
+    typed = docs.where("doc_id is not null").select("doc_id", "text", "lines", kind.alias("type"))
+    own = typed.withColumn("lists", validation.field_lists(F.col("type"), definitions))
+    every = F.flatten(F.collect_list("lists").over(Window.partitionBy("doc_id")))
+    return own.withColumn("lists", every).select("doc_id", "text", "lines", "type", F.explode("lists").alias("fields"))
+
+
+RESULT = f"struct<field_name string, value string, confidence {SCORE}, stage_no int>"
+
+
+def best_results(held: Column, more: Column) -> Column:
+    """The best of several results per field: the highest confidence, then the earlier stage."""
+    both = F.concat(held, more)
+
+    def best(name):
+        ranked = F.transform(F.filter(both, lambda r: r["field_name"] == name), lambda r: F.struct(
+            r["confidence"].alias("confidence"), (-r["stage_no"]).alias("turn"), r["value"].alias("value")))
+        return F.array_max(ranked)
+
+    def found(name):
+        b = best(name)
+        return F.struct(name.alias("field_name"), b["value"].alias("value"), b["confidence"].alias("confidence"), (-b["turn"]).alias("stage_no"))
+
+    return F.transform(F.array_distinct(F.transform(both, lambda r: r["field_name"])), found)
 
 
 def extract(docs: DataFrame, stages: Sequence[Stage]) -> Staged:
     """Runs the stages over prepared documents with unique ids.
 
-    A later result replaces an earlier one only with a higher confidence. The documents and, between
-    stages, the results are checkpointed; the documents that a stage closed are taken out by an anti join, so a costly stage
-    reads open documents only.
+    A later result replaces an earlier one only with a higher confidence. The texts are written once, and after each stage one row per document with
+    its best results. Documents that a stage closed are taken out by an anti join, so a costly stage reads open documents only.
+
+    That row holds ``copies`` (type and wanted fields, several if the id came several times), ``best`` (the best results), ``closed_at`` (the stage that
+    closed it, else null) and ``closings`` (copies that it closed).
     """
-    spark, docs = docs.sparkSession, cut_lineage(docs)
-    found = spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, field_name string, value string, confidence {SCORE}, stage_no int")
-    closed = spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, closed_at int")
-    seen = []
+    docs = written(docs, "documents")
+    state = None
+    none = F.array().cast(f"array<{RESULT}>")
     for stage in stages:
-        open_docs = docs.join(closed.select("doc_id"), "doc_id", "left_anti")
-        results = stage.extract(open_docs).select("doc_id", "field_name", "value", F.col("confidence").cast(SCORE).alias("confidence"))
-        wanted = open_docs.select("doc_id", F.explode(F.array_distinct("fields")).alias("field_name"))
-        results = results.where(F.col("confidence") > stage.least).join(wanted, ["doc_id", "field_name"], "left_semi")
-        best = F.struct("confidence", -F.col("stage_no"), "value")
-        found = cut_lineage(found.union(results.withColumn("stage_no", F.lit(stage.no)).select(FOUND)).groupBy("doc_id", "field_name").agg(
-            F.max_by(F.struct("value", "confidence", "stage_no"), best).alias("b")).select("doc_id", "field_name", "b.*").select(FOUND))
-        state = found.groupBy("doc_id").agg(F.count("*").alias("found"), F.count_if(F.col("confidence") > 0.8).alias("sure"))
-        state = open_docs.select("doc_id", F.size(F.array_distinct("fields")).alias("n")).join(state, "doc_id", "left")
-        done = stage.enough(F.col("n"), F.coalesce("found", F.lit(0)), F.coalesce("sure", F.lit(0)))
-        state = state.select("doc_id", F.when(done, F.lit(stage.no)).alias("closed_at"))
-        closed = cut_lineage(closed.union(state.where("closed_at is not null").select("doc_id", "closed_at")))
-        seen.append(stage.no)
-    last = docs.select("doc_id", "type").join(closed, "doc_id", "left").select("doc_id", "type", F.coalesce("closed_at", F.lit(seen[-1])).alias("last_stage"), "closed_at")
+        open_docs = docs if state is None else docs.join(state.where("closed_at is not null").select("doc_id"), "doc_id", "left_anti")
+        results = stage.extract(open_docs).select("doc_id", F.struct(
+            "field_name", "value", F.col("confidence").cast(SCORE).alias("confidence"), F.lit(stage.no).alias("stage_no")).cast(RESULT).alias("r")).where(
+            (F.col("r.confidence") > stage.least) & F.col("doc_id").isNotNull())
+        if state is None:  # documents and results meet in one shuffle
+            copies = docs.select("doc_id", F.struct("type", "fields").alias("copy"), F.lit(None).cast(RESULT).alias("r"))
+            both = copies.unionByName(results.select("doc_id", F.lit(None).cast(copies.schema["copy"].dataType).alias("copy"), "r"))
+            state = both.groupBy("doc_id").agg(F.collect_list("copy").alias("copies"), F.collect_list("r").alias("new")).where(F.size("copies") > 0).withColumns(
+                {"best": none, "closed_at": F.lit(None).cast("int"), "closings": F.lit(0)})
+        else:
+            state = state.join(results.groupBy("doc_id").agg(F.collect_list("r").alias("new")), "doc_id", "left")
+        is_open = F.col("closed_at").isNull()
+        wanted = F.array_distinct(F.flatten(F.col("copies.fields")))
+        state = state.withColumn("wanted", wanted).withColumn("new", F.filter(F.coalesce("new", none), lambda r: F.array_contains("wanted", r["field_name"])))
+        state = state.withColumn("best", F.when(is_open & (F.size("new") > 0), best_results(F.col("best"), F.col("new"))).otherwise(F.col("best")))
+        state = state.withColumns({"found": F.size("best"), "sure": F.size(F.filter("best", lambda r: r["confidence"] > 0.8))})
+        done = F.size(F.filter("copies", lambda c: stage.enough(F.size(F.array_distinct(c["fields"])), F.col("found"), F.col("sure"))))
+        state = state.withColumn("done", F.when(is_open, done).otherwise(0))
+        state = written(state.select(
+            "doc_id", "copies", "best", F.when(F.col("done") > 0, stage.no).otherwise(F.col("closed_at")).alias("closed_at"),
+            F.when(F.col("done") > 0, F.col("done")).otherwise(F.col("closings")).alias("closings")), "stage")
+    seen = [s.no for s in stages]
+    copy = F.explode(F.flatten(F.transform("copies", lambda c: F.array_repeat(c["type"], F.greatest("closings", F.lit(1)))))).alias("type")
+    last = state.select("doc_id", copy, F.coalesce("closed_at", F.lit(seen[-1])).alias("last_stage"), "closed_at")
     steps = F.array(*[F.struct(F.lit(no).alias("stage_no")) for no in seen])
     reach = last.select("last_stage", "closed_at", F.inline(steps)).where(F.col("stage_no") <= F.col("last_stage"))
     counts = reach.groupBy("stage_no").agg(F.count("*").alias("opened"), F.count_if(F.col("closed_at") == F.col("stage_no")).alias("closed"))
-    return Staged(found, counts, last.select("doc_id", "type", "last_stage"))
+    return Staged(state.select("doc_id", F.inline("best")).select(FOUND), counts, last.select("doc_id", "type", "last_stage"))
 
 
 def rule_findings(staged: Staged, rules: Mapping[str, Sequence[validation.FieldRule]]) -> DataFrame:
