@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -190,12 +190,11 @@ def page_summary(
 
 def with_rows(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = MIN_CELLS, keys: Sequence[str] = PAGE, candidates: int = 3) -> DataFrame:
     """Boxes of tables with ``row_idx`` and the table's summary, by windows over the boxes of a table: one shuffle, no join."""
-    b = by_table(boxes, keys).withColumns({
-        "xc": center(F.col("x_min"), F.col("x_max")), "yc": center(F.col("y_min"), F.col("y_max")),
-        "marked": F.lower("text").rlike("|".join(map(re.escape, HEADER_WORDS))).cast("int")})
+    b = by_table(boxes, keys).withColumns({"xc": center(F.col("x_min"), F.col("x_max")), "yc": center(F.col("y_min"), F.col("y_max"))})
+    words = F.lower("text").rlike("|".join(map(re.escape, HEADER_WORDS))).cast("int")
     totals = _totals(candidates, F.lit(1), F.coalesce("marked", F.lit(0)), F.length("text"), ["x_min", "y_min", "x_max", "y_max"])
     table = Window.partitionBy(*keys)
-    b = _placed(b, gap, keys).select("*", *[c.over(table).alias(n) for n, c in totals.items()]).where(F.col("cells") >= min_cells)
+    b = _placed(b, gap, keys).withColumn("marked", F.when(F.col("row_idx") < candidates, words)).select("*", *[c.over(table).alias(n) for n, c in totals.items()]).where(F.col("cells") >= min_cells)
     return _with_header(b, candidates).drop("marked")
 
 
@@ -214,18 +213,19 @@ def header_columns(rowed: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
         F.coalesce(F.lead("x_min").over(w), F.col("rx_max")).alias("c_max"))
 
 
-def with_columns(rowed: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
+def with_columns(rowed: DataFrame, keys: Sequence[str] = PAGE, names: bool = False) -> DataFrame:
     """Adds ``cols``, the columns of the table's header row in order (as ``header_columns`` gives them), to the boxes of ``with_rows``.
 
-    A window over the table where its boxes already are, so the boxes are not read again to be joined with their columns.
+    A window over the table where its boxes already are, so the boxes are not read again to be joined with their columns. ``names``: with the
+    detected names and their confidences.
     """
     head = F.col("row_idx") == F.col("header_row")
-    name = F.when(head, standard_column(F.col("text"))["name"])
-    found = rowed.withColumn("standard_name", name).withColumn("heads", F.sort_array(F.collect_list(F.when(
-        head, F.struct("xc", "box_id", "x_min", "standard_name"))).over(Window.partitionBy(*keys))))
+    more = {"detected_name": F.col("text"), "name_confidence": F.col("named.confidence")} if names else {}
+    found = rowed.withColumn("named", F.when(head, standard_column(F.col("text")))).withColumn("heads", F.sort_array(F.collect_list(F.when(head, F.struct(
+        "xc", "box_id", "x_min", F.col("named.name").alias("standard_name"), *[c.alias(n) for n, c in more.items()]))).over(Window.partitionBy(*keys))))
     return found.where(F.size("heads") > 0).withColumn("cols", F.transform("heads", lambda h, i: F.struct(
         i.alias("col_idx"), h["x_min"].alias("c_min"), F.coalesce(F.get("heads", i + 1)["x_min"], F.col("rx_max")).alias("c_max"),
-        h["standard_name"].alias("standard_name")))).drop("heads", "standard_name")
+        h["standard_name"].alias("standard_name"), *[h[n].alias(n) for n in more]))).drop("heads", "named")
 
 
 def assign_columns(cells_df: DataFrame) -> DataFrame:
@@ -247,15 +247,34 @@ def table_cells(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = MIN_CEL
 def cells_of(rowed: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     known = rowed.where(" and ".join(f"{k} is not null" for k in keys))
     placed = assign_columns(with_columns(known, keys).where(F.col("row_idx") != F.col("header_row")))
-    cell = placed.groupBy(*keys, "row_idx", "col_idx").agg(
-        F.max_by(F.struct("text", "standard_name"), F.struct(F.length("text"), -F.col("box_id"))).alias("c"),
-        F.min("x_min").alias("x_min"), F.min("y_min").alias("y_min"), F.max("x_max").alias("x_max"), F.max("y_max").alias("y_max"))
+    return _checked(placed.groupBy(*keys, "row_idx", "col_idx").agg(*_cell()), keys)
+
+
+def _cell() -> list[Column]:
+    return [F.max_by(F.struct("text", "standard_name"), F.struct(F.length("text"), -F.col("box_id"))).alias("c"),
+            F.min("x_min").alias("x_min"), F.min("y_min").alias("y_min"), F.max("x_max").alias("x_max"), F.max("y_max").alias("y_max")]
+
+
+def _checked(cell: DataFrame, keys: Sequence[str]) -> DataFrame:
     check = numeric_cell(F.col("c.text"), F.col("c.standard_name"))
     return cell.select(
         *keys, "row_idx", "col_idx", F.col("c.standard_name").alias("standard_name"), F.col("c.text").alias("value"),
         check.alias("k"), "x_min", "y_min", "x_max", "y_max").select("*", "k.*").drop("k")
 
 
+#: What a table has once.
+REGION = ["rx_min", "ry_min", "rx_max", "ry_max", "header_row", "header_confidence"]
+
+
+def table_parts(rowed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cells of tables, and a row per table (``header``: region, header and columns, else null), so the windows over the boxes run once for both."""
+    known = rowed.where(" and ".join(f"{k} is not null" for k in keys))
+    head = F.col("row_idx") == F.col("header_row")
+    found = with_columns(known, keys, names=True).withColumn("header", F.when(head, F.struct("cols", *REGION)))
+    placed = assign_columns(found.withColumn("cols", F.when(~head, F.col("cols"))))  # header boxes get no column
+    return placed.groupBy(*keys, "row_idx", "col_idx").agg(*_cell(), F.first("header", ignorenulls=True).alias("header"))
+
+
 def row_confidence(cells_df: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Mean cell confidence and validity per row. Confidences are hundredths, so the sum is exact."""
     hundredths = F.round(F.col("confidence") * 100).cast("long")
@@ -295,13 +314,36 @@ def clustered(boxes: DataFrame, distance: float = NEAR) -> DataFrame:
     return found.where("cluster_id is not null").unionByName(large.join(cluster_rounds(large, distance), ["page_id", "box_id"]))
 
 
-@dataclass(frozen=True)
 class PageTables:
-    """All tables of all pages, each keyed by (page_id, cluster_id)."""
+    """All tables of all pages, each keyed by (page_id, cluster_id). What several of its frames are made of is written once."""
+
+    def __init__(self, rowed: DataFrame):
+        self.rowed = rowed
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        return written(table_parts(self.rowed, TABLE), "tables")
 
-    tables: DataFrame
-    columns: DataFrame
-    cells: DataFrame
+    @cached_property
+    def headers(self) -> DataFrame:
+        return self.parts.where("header is not null").select(*TABLE, "header.*")
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return self.headers.select(*TABLE, F.inline("cols")).select(*TABLE, "col_idx", "detected_name", "standard_name", "name_confidence", "c_min", "c_max")
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Alone they are not written."""
+        return _checked(self.parts.where("header is null"), TABLE) if "parts" in self.__dict__ else cells_of(self.rowed, TABLE)
+
+    @cached_property
+    def tables(self) -> DataFrame:
+        n, totals = F.coalesce("rows", F.lit(0)), row_totals(_checked(self.parts.where("header is null"), TABLE), TABLE)
+        return merged(self.headers.withColumn("columns", F.size("cols")), totals, TABLE, "left").select(
+            *TABLE, *REGION, "columns", n.alias("rows"),
+            F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce(F.col("micro") / F.col("rows") / 1000000, F.lit(0.0)).alias("overall_confidence"),
+            F.least(F.lit(1.0), n / 10).alias("table_confidence"))
 
 
 def page_tables(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = MIN_CELLS, distance: float = NEAR) -> PageTables:
@@ -310,17 +352,7 @@ def page_tables(boxes: DataFrame, gap: float = ROW_GAP, min_cells: int = MIN_CEL
     tables: region, header row, numbers of columns, rows and cells, confidences. A header without rows is a table with no rows and
     confidence 0. Boxes with a null page or coordinate have no neighbours; a null page has no table.
     """
-    split = clustered(boxes.where("page_id is not null"), distance)
-    rowed = with_rows(split, gap, min_cells, TABLE)
-    columns = header_columns(rowed, TABLE)
-    cells_df = cells_of(rowed, TABLE)
-    n, head = F.coalesce("rows", F.lit(0)), columns.groupBy(*TABLE).agg(F.count("*").alias("columns"))
-    summary = merged(page_summary(by_table(split, TABLE), gap, min_cells, keys=TABLE), head, TABLE)
-    tables = merged(summary, row_totals(cells_df, TABLE), TABLE, "left").select(
-        *TABLE, "rx_min", "ry_min", "rx_max", "ry_max", "header_row", "header_confidence", "columns", n.alias("rows"),
-        F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce(F.col("micro") / F.col("rows") / 1000000, F.lit(0.0)).alias("overall_confidence"),
-        F.least(F.lit(1.0), n / 10).alias("table_confidence"))
-    return PageTables(tables, columns, cells_df)
+    return PageTables(with_rows(clustered(boxes.where("page_id is not null"), distance), gap, min_cells, TABLE))
 
 
 def column_detection(found: PageTables) -> DataFrame:

@@ -1,8 +1,16 @@
-"""Documents of the staged job are moved once, tables are read in one pass, stateful processors and table functions do little per key."""
+"""Documents of the staged job are moved once a stage, tables of pages and arrivals of events come from one pass."""
 
+import inspect
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from ledgerlens.operators import layout as L
 from ledgerlens.operators.extraction import lines_of
 from ledgerlens.plans import staged_job as SG
 from ledgerlens.plans.fixtures import Tables
+from ledgerlens.schemas import EVENTS
+from ledgerlens.streaming.runner import dealt_events, run_now
 
 
 def plan_of(df):
@@ -52,3 +60,30 @@ def test_stages_keep_the_best_result_of_each_wanted_field(spark):
     assert sorted((r.doc_id, r.field_name, r.value, r.stage_no) for r in staged.fields.collect()) == [(1, "a", "one", 1), (2, "a", "high", 1), (2, "b", "late", 2)]
     assert sorted((r.doc_id, r.type, r.last_stage) for r in staged.documents.collect()) == [(1, "memo", 1), (1, "note", 1), (2, "memo", 2)]
     assert sorted(map(tuple, staged.stages.collect())) == [(1, 3, 2), (2, 1, 1)]
+
+
+def test_windows_over_the_boxes_run_once_for_columns_tables_and_cells(spark, monkeypatch):
+    """Repeated header boxes are columns of their own; rates come from what was written, not from the boxes again."""
+    runs = []
+    monkeypatch.setattr(L, "table_parts", lambda rowed, keys, make=L.table_parts: runs.append(1) or make(rowed, keys))
+    rows = [(p, 10 * line + col, text, 80.0 * col, 80.0 * col + 60, 30.0 * line, 30.0 * line + 20) for p in (1, 2) for line in range(3)
+            for col, text in enumerate(["Item", "Qty"] if not line else [f"Part {line}", str(line)])]
+    found = L.page_tables(spark.createDataFrame([*rows, rows[0], (None, 1, "Item", 0.0, 1.0, 0.0, 1.0)], "page_id long, box_id long, text string, x_min double, x_max double, y_min double, y_max double"))
+    assert [plan_of(f).count("Window") for f in (found.columns, found.tables, found.cells, L.column_detection(found))] == [0] * 4 and runs == [1]
+    assert sorted((r.page_id, r.col_idx, r.detected_name, r.standard_name, r.name_confidence, r.c_min, r.c_max) for r in found.columns.collect()) == [
+        (1, 0, "Item", "item_name", 0.95, 0.0, 0.0), (1, 1, "Item", "item_name", 0.95, 0.0, 80.0), (1, 2, "Qty", "quantity", 0.95, 80.0, 140.0),
+        (2, 0, "Item", "item_name", 0.95, 0.0, 80.0), (2, 1, "Qty", "quantity", 0.95, 80.0, 140.0)]
+    assert sorted((r.page_id, r["columns"], r["rows"], r["cells"], r.header_row, r.rx_max) for r in found.tables.collect()) == [(1, 3, 2, 4, 0, 140.0), (2, 2, 2, 4, 0, 140.0)]
+    rates = {r.standard_name: (r.possible, r.extracted) for r in L.column_detection(found).collect()}
+    assert rates == {"item_name": (6, 4), "quantity": (4, 4)}
+
+
+def test_events_are_dealt_in_one_pass(spark, tmp_path):
+    """A file per micro-batch, each with the rows of its hash; no events give an empty stream."""
+    events = [(i if i else None, datetime(2024, 1, 1), 1, "view", 1.0, "{}") for i in range(40)]
+    for name, rows in (("some", events), ("none", [])):
+        spark.createDataFrame(rows, EVENTS).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        out = run_now(dealt_events(spark, f"{tmp_path}/{name}", 3).select("event_id", F.pmod(F.xxhash64("event_id"), F.lit(3)).alias("part")), "dealt")
+        got = out.groupBy("batch_id").agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n")).collect() if rows else []
+        assert sum(r.n for r in got) == len(rows) and all(r.parts == 1 for r in got) and len(got) == (3 if rows else 0)
+    assert "coalesce(1)" not in inspect.getsource(dealt_events)
