@@ -1,5 +1,7 @@
 """Documents of the staged job are moved once a stage, tables of pages come from one pass."""
 
+from pyspark.sql import functions as F
+
 from ledgerlens.operators import layout as L
 from ledgerlens.operators.extraction import lines_of
 from ledgerlens.plans import staged_job as SG
@@ -69,3 +71,13 @@ def test_windows_over_the_boxes_run_once_for_columns_tables_and_cells(spark, mon
     assert sorted((r.page_id, r["columns"], r["rows"], r["cells"], r.header_row, r.rx_max) for r in found.tables.collect()) == [(1, 3, 2, 4, 0, 140.0), (2, 2, 2, 4, 0, 140.0)]
     rates = {r.standard_name: (r.possible, r.extracted) for r in L.column_detection(found).collect()}
     assert rates == {"item_name": (6, 4), "quantity": (4, 4)}
+
+
+def test_numbers_of_cells_are_searched_once(spark):
+    rows = [("amount", "1,5 kg"), ("amount", "x"), ("amount", None), ("item_name", "7"), ("item_name", None), (None, "5"), (None, "x"), ("quantity", " .5 ")]
+    out = L.with_check(spark.createDataFrame(rows, "standard_name string, value string").repartition(2), F.col("value"), F.col("standard_name"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+    got = {(r.standard_name, r.value): (r.is_valid, r.number and float(r.number), r.confidence) for r in out.collect()}
+    assert got == {
+        ("amount", "1,5 kg"): (True, 1.5, 0.95), ("amount", "x"): (False, None, 0.1), ("amount", None): (False, None, 0.1), ("item_name", "7"): (True, None, 0.9),
+        ("item_name", None): (True, None, 0.9), (None, "5"): (True, None, 0.9), (None, "x"): (None, None, 0.9), ("quantity", " .5 "): (True, 0.5, 0.95)}
